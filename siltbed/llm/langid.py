@@ -49,13 +49,15 @@ class Trees:
     """Frozen context trees of all languages as tables: bits[row, symbol, language], and the row of each context."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
-        self.langs = sorted(samples)
+        self.langs = sorted(k for k, texts in samples.items() if any(texts))
         seen = np.unique(np.frombuffer(b" " + b"".join(b for bs in samples.values() for b in bs), np.uint8))
         self.size = len(seen) + 1
         self.code = np.zeros(256, np.int32)  # 0: bytes that no sample has
         self.code[seen] = np.arange(1, len(seen) + 1)
         counts = [self._counts([self.code[np.frombuffer(b, np.uint8)] for b in samples[lang]]) for lang in self.langs]
         self.rows = np.zeros(self.size**ORDER, np.int32)
+        if not self.langs:
+            return
         table = [self._row(counts, 0, 0, np.full((self.size, len(self.langs)), 1 / self.size))]
         before: dict[int, int] = {0: 0}
         for order in range(1, ORDER + 1):
@@ -121,7 +123,7 @@ class Trees:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         seen = [symbols(t) for t in texts]
-        if not self.langs:
+        if not self.langs or not any(seen):
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         bits = self.code_lengths(seen)
         best = bits.argmin(axis=1)

@@ -4,8 +4,7 @@ Documents are counted by source and exact length, and all decisions use these co
 the budget by weight, at most CAP times its size; what is over is reshared by weight until no target is above its cap.
 A target at or over the source's size takes each document once and fits the rest; the fit takes an even share of every
 length, then, from the longest, single documents while they fit, and closes the last FINE words by a bounded-knapsack
-dynamic programme over the lengths that are left, so the words taken come as near below the target as sums of whole
-documents can. Which documents of a length are taken follows a seeded hash of doc_id: each group of a source and length
+dynamic programme over the lengths that are left. Which documents of a length are taken follows a seeded hash of doc_id: each group of a source and length
 is cut by its hash's buckets, whole buckets are taken by their counts, and only the bucket at the cut is ranked, so a hot
 length is never sorted in one task.
 """
@@ -49,24 +48,26 @@ def targets(sizes: list[int], weights: list[float], budget: float, cap: float =
     return out
 
 
-def fit(lengths: list[int], counts: list[int], goal: int) -> list[int]:
-    """How many documents of each distinct length to take: their words are at most goal and near it."""
+def fit(lengths: list[int], counts: list[int], goal: int, even: bool = True) -> list[int]:
+    """How many documents of each distinct length to take: their words are at most goal and near it.
+
+    even: start from an equal share of every length; else the longest come first.
+    """
     total = sum(a * n for a, n in zip(lengths, counts))
     if goal >= total:
         return list(counts)
-    take = [n * goal // total for n in counts]
+    take = [n * goal // total if even else 0 for n in counts]
     left = goal - sum(a * k for a, k in zip(lengths, take))
     order = sorted((k for k in range(len(lengths)) if lengths[k] > 0), key=lambda k: -lengths[k])
     for k in order:
         a = lengths[k]
-        more = left // a if a > FINE else -(-(left - FINE) // a)
-        more = max(0, min(counts[k] - take[k], left // a, more))
+        more = max(0, min(counts[k] - take[k], (left if a > FINE and not even else left - FINE) // a))
         take[k] += more
         left -= more * a
     # bounded knapsack: bit s of a row says that s words can be made; counts are cut in powers of two
     whole = (1 << (left + 1)) - 1
     rows, steps = [1], []
-    for k in order:
+    for k in sorted(order, key=lambda k: abs(8 * lengths[k] - left)):  # lengths that combine to many sums come first
         n = min(counts[k] - take[k], left // lengths[k])
         size = 1
         while n > 0 and not rows[-1] >> left & 1:
@@ -84,6 +85,27 @@ def fit(lengths: list[int], counts: list[int], goal: int) -> list[int]:
     return take
 
 
+def plan_source(lengths: list[int], counts: list[int], target: float) -> list[int]:
+    """Copies taken of all documents of each length, 0 to 2 for each document.
+
+    Every document once and a fit of the rest, if the target is at or over the source's size; where that misses the
+    target (a long document is over the rest), fits in which a document may be taken twice before another is taken.
+    """
+    goal, size = int(round(target)), sum(a * n for a, n in zip(lengths, counts))
+    base = int(goal >= size)
+    ways = [lambda: [base * n + k for n, k in zip(counts, fit(lengths, counts, goal - base * size))]]
+    ways += [lambda even=even: fit(lengths, [2 * n for n in counts], goal, even) for even in (True, False)]
+    best, least = [0] * len(counts), goal + 1
+    for way in ways:
+        copies = way()
+        miss = goal - sum(a * k for a, k in zip(lengths, copies))
+        if miss < least:
+            best, least = copies, miss
+        if not least:
+            break
+    return best
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the words of each whole text."""
 
@@ -116,10 +138,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap:
         name = None if pd.isna(group["source"].iloc[0]) else group["source"].iloc[0]
         size, target = shared.value[name]
         group = group.sort_values("size", ascending=False, ignore_index=True)
-        words = int(round(target))
-        base = 1 if words >= size else 0
-        take = fit(group["size"].tolist(), group["n"].tolist(), words - base * size)
-        return pd.DataFrame({"s": group["source"], "z": group["size"], "base": base, "take": take, "source_size": size, "target": float(target)})
+        copies = np.array(plan_source(group["size"].tolist(), group["n"].tolist(), target), np.int64)
+        n = group["n"].to_numpy()
+        return pd.DataFrame({"s": group["source"], "z": group["size"], "base": (copies // n).astype(np.int32), "take": copies % n, "source_size": size, "target": float(target)})
 
     chosen = by_length.groupBy("source").applyInPandas(choose, "s string, z long, base int, take long, source_size long, target double")
     chosen = stored(chosen, "lengths")

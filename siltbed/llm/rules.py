@@ -1,8 +1,8 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (+1), bad (-1) or abstains (0) on counts of a document's words and lines. Expectation-maximisation
-over all documents estimates, without labels, each rule's accuracy (how often its vote is right, for good and for bad
-documents) and the share of good documents; a document's posterior probability of being good replaces a chain of filters
+over all documents estimates, without labels, each rule's accuracy (how often its vote is right) and the share of good
+documents; a document's posterior probability of being good replaces a chain of filters
 that all must pass. EM needs only how often each pattern of votes occurs: at most 3 ** len(RULES) counts, whatever the
 corpus, so those go to the driver and their posteriors are joined back by a broadcast of the same bounded size.
 """
@@ -91,59 +91,71 @@ def with_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def votes(c: dict[str, Column]) -> dict[str, Column]:
-    """The rules: name to a vote of -1, 0 or +1."""
+    """The rules: name to a vote of -1, 0 or +1.
+
+    A rule that looks for a symptom votes bad or abstains: that a text lacks one symptom says little. Rules that look for
+    prose vote good or abstain, and abstain on text whose characters or repeats already look odd.
+    """
     words, lines, letters = (F.greatest(c[k], F.lit(1)).cast("double") for k in ("n_words", "n_lines", "n_letters"))
 
-    def rule(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def bad(symptom: Column) -> Column:
+        return F.when(symptom, -1).otherwise(0)
+
+    def good(sign: Column) -> Column:
+        return F.when(sign, 1).otherwise(0)
 
     mean, symbols, caps = c["word_chars"] / words, c["n_symbols"] / words, c["n_upper"] / letters
     repeats, dups, pipes, ends = c["n_repeat_words"] / words, c["n_dup_lines"] / lines, c["n_pipe_words"] / words, c["n_end_lines"] / lines
+    plain = (symbols < 0.15) & (caps < 0.25) & (pipes < 0.05) & (repeats < 0.3)
     return {
-        "length": rule(c["n_words"] < 20, c["n_words"] >= 50),
-        "word_length": rule((mean < 2) | (mean > 12), (mean >= 3) & (mean <= 9)),
-        "symbols": rule(symbols > 0.3, symbols < 0.05),
-        "capitals": rule(caps > 0.4, caps < 0.2),
-        "repeats": rule(repeats > 0.3, repeats < 0.1),
-        "lines": rule(dups > 0.3, dups < 0.1),
-        "tables": rule(pipes > 0.1, c["n_pipe_words"] == 0),
-        "sentences": rule(ends < 0.2, ends >= 0.5),
+        "short": bad(c["n_words"] < 20),
+        "odd_words": bad((mean < 2) | (mean > 12)),
+        "symbols": bad(symbols > 0.3),
+        "capitals": bad(caps > 0.4),
+        "repeats": bad(repeats > 0.3),
+        "same_lines": bad(dups > 0.3),
+        "table": bad(pipes > 0.1),
+        "no_sentences": bad((ends < 0.2) & (c["n_words"] >= 20)),
+        "sentences": good(plain & (ends >= 0.5)),
+        "fluent_words": good(plain & (mean >= 3) & (mean <= 9)),
+        "long_fresh": good(plain & (c["n_words"] >= 50) & (repeats < 0.1) & (dups < 0.1)),
     }
 
 
 class LabelModel:
-    """Conditionally independent votes given a hidden class; fitted by EM to counts of vote patterns."""
+    """Votes that are independent given a hidden class; chance[class, rule, vote + 1], class 0 is bad and 1 is good.
+
+    That a rule abstains tells something too: a class's own share of abstentions is fitted with its votes.
+    """
 
     def __init__(self, prior: float, chance: np.ndarray):
-        self.prior, self.chance = prior, chance  # chance[class 0 bad or 1 good, rule, vote + 1]
+        self.prior, self.chance = prior, chance
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, count: np.ndarray, rounds: int = 200) -> "LabelModel":
-        k = patterns.shape[1]
+    def fit(cls, patterns: np.ndarray, count: np.ndarray, rounds: int = 500) -> "LabelModel":
+        """EM on vote patterns and how often each occurs; it starts from the majority of votes, a tie meaning bad."""
+        total = count.sum()
         hot = np.stack([(patterns == v).astype(float) for v in (-1, 0, 1)], axis=2)
-        # one bad vote tells more than one good vote: most rules vote good on most texts, bad ones included
-        start = np.where((patterns == -1).any(axis=1), 0.1, 0.95)
-        good, model = start, cls(0.5, np.full((2, k, 3), 1 / 3))
+        # pseudocounts: a rule votes as it means to in most cases, and each vote is possible in each class
+        told = np.array([[2.0, 2.0, 0.1], [0.1, 2.0, 2.0]])[:, None, :]
+        good = np.where(patterns.sum(axis=1) > 0, 0.95, 0.05)
+        model = cls(0.8, np.full((2, patterns.shape[1], 3), 1 / 3))
         for _ in range(rounds):
-            prior = float((good @ count + 9) / (count.sum() + 10))
-            chance = np.stack([np.einsum("n,nkv->kv", (w * count), hot) for w in (1 - good, good)])
-            # pseudocounts: a few votes for what a rule means to say; an abstention says nothing about the class
-            told = chance + np.array([[2.0, 0.5, 1.0], [0.05, 0.5, 2.0]])[:, None, :]
-            abstain = told[:, :, 1].sum(0) / told.sum((0, 2))
-            voted = told[:, :, ::2] / told[:, :, ::2].sum(2, keepdims=True) * (1 - abstain)[None, :, None]
-            model = cls(prior, np.stack([voted[:, :, 0], np.broadcast_to(abstain, (2, k)), voted[:, :, 1]], axis=2))
+            chance = np.stack([np.einsum("n,nkv->kv", w * count, hot) for w in (1 - good, good)]) + told
+            model = cls(float((good @ count + 8) / (total + 10)), chance / chance.sum(axis=2, keepdims=True))
             after = model.posterior(patterns)
-            if np.abs(after - good).max(initial=0) < 1e-9:
+            if np.abs(after - good).max(initial=0) < 1e-10:
                 break
             good = after
         return model
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that a text with these votes is good."""
-        score = np.log([1 - self.prior, self.prior])[:, None] + sum(np.log(self.chance[:, r, patterns[:, r] + 1]) for r in range(patterns.shape[1]))
-        return 1 / (1 + np.exp(np.clip(score[0] - score[1], -700, 700)))
+        odds = np.log(self.prior / (1 - self.prior)) + sum(np.log(self.chance[1, r, v] / self.chance[0, r, v]) for r, v in enumerate((patterns + 1).T))
+        return 1 / (1 + np.exp(-np.clip(odds + np.zeros(len(patterns)), -700, 700)))
 
-    def accuracies(self) -> np.ndarray:
+    @property
+    def accuracy(self) -> np.ndarray:
         """For each rule the probability that a cast vote is right."""
         right = (1 - self.prior) * self.chance[0, :, 0] + self.prior * self.chance[1, :, 2]
         return right / (right + (1 - self.prior) * self.chance[0, :, 2] + self.prior * self.chance[1, :, 0])
