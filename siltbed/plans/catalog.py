@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from siltbed.plans import interval_queries, molecule_queries, relation_queries, summary_queries, table_queries  # noqa: F401
+    from siltbed.plans import interval_queries, model_queries, molecule_queries, relation_queries, summary_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
