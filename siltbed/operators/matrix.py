@@ -98,10 +98,10 @@ def module_scores(values: DataFrame, cells: DataFrame, genes: DataFrame, control
 
 def control_genes(means: DataFrame, module: DataFrame, bins: int = 24, per_gene: int = 100, seed: int = 0) -> DataFrame:
     """Genes outside the module from the expression bins of its genes: per gene of the module up to per_gene of its bin,
-    by a seeded hash; the union over the module's genes."""
-    from siltbed.operators.ranking import equal_frequency_bin
-
-    binned = means.select("feature", equal_frequency_bin("mean", "feature", bins).alias("bin"))
+    by a seeded hash; the union over the module's genes. Genes are a dimension, so their order is one window."""
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    place = F.row_number().over(Window.orderBy("mean", "feature")) - 1
+    binned = means.select("feature", F.floor(place * bins / n).alias("bin"))
     wanted = binned.join(module, "feature", "left_semi").select(F.col("bin"), F.col("feature").alias("gene"))
     pool = binned.join(module, "feature", "left_anti")
     rank = F.row_number().over(Window.partitionBy("gene").orderBy(F.xxhash64(F.lit(seed), "gene", "feature"), "feature"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.operators.ranking import positions
+
 KEY = ("cell", "feature", "umi")
 #: The depth thresholds of the accounting table.
 THRESHOLDS = (1, 10, 50, 100, 200, 400, 1000)
@@ -117,5 +119,5 @@ def unsigned_order(c: str) -> Column:
 
 
 def ranked(totals: DataFrame, by: str, name: str = "depth_rank") -> DataFrame:
-    """Position by depth, deepest first, ties by cell. The whole order is one sequence, so totals must be per cell."""
-    return totals.withColumn(name, F.row_number().over(Window.orderBy(F.desc(by), "cell")))
+    """Position by depth from 1, deepest first, ties by cell."""
+    return positions(totals, by, "cell", descending=True).withColumn(name, F.col("position") + 1).drop("position")

@@ -8,6 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def positions(df: DataFrame, value: str, tie: str, descending: bool = False, parts: int = 256) -> DataFrame:
+    """df with position: its place from 0 in the order of a numeric value, then of a unique numeric tie column.
+
+    A window without a partition sorts all rows in one task. Here rows are dealt out by ranges of the value, whose borders
+    are approximate quantiles; a value that fills whole ranges is dealt on by ranges of tie. Places within a range and the
+    sizes of the ranges before it add up to the exact place, wherever the borders lie.
+    """
+    v, t = F.col(value).cast("double"), F.col(tie).cast("double")
+    if descending:
+        v = -v
+    shares = [k / parts for k in range(1, parts)]
+    cut = df.agg(F.percentile_approx(v, shares, 10_000).alias("v"), F.percentile_approx(t, shares, 10_000).alias("t")).first()
+    borders, ties = cut["v"] or [], cut["t"] or []
+    hot = sorted({a for a, b in zip(borders, borders[1:]) if a == b})
+
+    def slot(x: Column, at: list[float]) -> Column:
+        if not at:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(at))]), lambda b: b < x))
+
+    # equal values always share the first slot, and a hot value's rows are alone in it
+    first = 2 * slot(v, [*borders, *hot]) + F.when(v.isin(hot), 1).otherwise(0) if hot else 2 * slot(v, borders)
+    second = F.when(v.isin(hot), slot(t, ties)).otherwise(0) if hot else F.lit(0)
+    dealt = df.withColumns({"_a": first, "_b": second})
+    sizes = dealt.groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_a", "_b", before.alias("_before"))
+    order = [F.desc(value) if descending else F.asc(value), F.asc(tie)]
+    place = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(*order)) - 1 + F.col("_before")
+    return dealt.join(offsets, ["_a", "_b"]).withColumn("position", place.cast("long")).drop("_a", "_b", "_before")
+
+
 def knee(counts: DataFrame, value: str = "total") -> DataFrame:
     """The knee of a barcode-rank curve: (rank, total, score) of the point farthest from the chord in log10-log10.
 
@@ -44,10 +76,11 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
     return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def equal_frequency_bin(value: str, tie: str, bins: int) -> Column:
-    """(position from 0) * bins / n, rounded down: unlike ntile where n is no multiple of bins."""
-    w = Window.orderBy(value, tie)
-    return F.floor((F.row_number().over(w) - 1) * bins / F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).cast("int")
+def equal_frequency_bins(df: DataFrame, value: str, tie: str, bins: int, name: str = "bin") -> DataFrame:
+    """df with (position from 0) * bins / n, rounded down: unlike ntile where n is no multiple of bins."""
+    n = df.agg(F.count("*").alias("_n"))
+    placed = positions(df, value, tie).crossJoin(F.broadcast(n))
+    return placed.withColumn(name, F.floor(F.col("position") * bins / F.col("_n")).cast("int")).drop("position", "_n")
 
 
 def holdout(cells: DataFrame, group: str, depth: str, tie: str, share: float = 0.1) -> DataFrame:

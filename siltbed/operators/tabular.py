@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.operators.ranking import positions
+
 #: Strings that mean a missing value in a factor or number column.
 MISSING = ("", "NA")
 
@@ -103,8 +105,8 @@ def train_test_split(df: DataFrame, key: str, share: float, seed: int) -> DataFr
 
 
 def alternate_split(df: DataFrame, key: str) -> DataFrame:
-    """df with part 0 or 1 by the parity of the key's position in sorted order."""
-    return df.withColumn("part", ((F.row_number().over(Window.orderBy(key)) - 1) % 2).cast("int"))
+    """df with part 0 or 1 by the parity of a numeric key's position in sorted order."""
+    return positions(df, key, key).withColumn("part", (F.col("position") % 2).cast("int")).drop("position")
 
 
 def impute_knn(df: DataFrame, key: str, columns: Sequence[str], k: int, min_common: int) -> DataFrame:

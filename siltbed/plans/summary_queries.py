@@ -196,7 +196,8 @@ def marker_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS feature, ((row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1) * 24 // (SELECT count(*) FROM part))::INT AS bin FROM part")
 def equal_freq_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), R.equal_frequency_bin("p_retailprice", "p_partkey", 24).alias("bin"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), "p_retailprice")
+    return R.equal_frequency_bins(part, "p_retailprice", "feature", 24).select("feature", "bin")
 
 
 @query("""SELECT c_custkey AS cell, c_mktsegment AS grp, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= least(count(*) OVER (PARTITION BY c_mktsegment) - 1, greatest(1, ceil(count(*) OVER (PARTITION BY c_mktsegment) * 0.1))) AS held FROM customer""")

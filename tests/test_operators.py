@@ -296,3 +296,14 @@ def test_module_controls_and_phase(spark):
     assert rows(X.control_genes(means, module, 24, 100)) == [("g02",), ("g41",)]
     phases = spark.createDataFrame([(-1.0, -2.0), (2.0, 1.0), (0.0, 1.0)], "s double, g double").select(X.phase(F.col("s"), F.col("g")).alias("p"))
     assert [r.p for r in phases.collect()] == ["G1", "S", "G2M"]
+
+
+def test_positions_with_hot_values(spark):
+    rng = random.Random(9)
+    rows_in = [(k, rng.choice([0, 0, 0, 0, 5, rng.randint(-3, 9)])) for k in range(700)]
+    df = spark.createDataFrame(rows_in, "k long, v long")
+    for down in (False, True):
+        want = [k for k, v in sorted(rows_in, key=lambda r: (-r[1] if down else r[1], r[0]))]
+        got = R.positions(df, "v", "k", down, parts=16).collect()
+        assert [r.k for r in sorted(got, key=lambda r: r.position)] == want and sorted(r.position for r in got) == list(range(700))
+    assert R.positions(df.limit(0), "v", "k").collect() == []
