@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import fresh, schema_plus
+from siltbed.llm.common import fresh, schema_plus, stored
 from siltbed.llm.urlfilter import host_and_path
 
 #: Tokens from which a repeated substring is boilerplate.
@@ -133,20 +133,31 @@ def windows(tokens: list[str], host: str) -> np.ndarray:
     return np.array([digest("\0".join([host, *tokens[k : k + REPEAT]])) for k in range(len(tokens) - REPEAT + 1)], np.uint64).view(np.int64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], declared: bool) -> Iterator[pa.RecordBatch]:
-    """(window key, page key) of the blocks outside the main text; of all, or of the open blocks only."""
+def page_key(page: str | None) -> int:
+    """Equal pages are one page."""
+    return int(np.uint64(xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace"))).view(np.int64))
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, page, open): window keys of the blocks outside the main text, open if they can be result; and a row without k for
+    each page whose result comes from its open blocks."""
     for batch in batches:
-        keys, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys: list[int | None] = []
+        owners: list[int] = []
+        opens: list[bool] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             main, others = parse(page)
-            if declared or not main:
-                own = np.uint64(xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace"))).view(np.int64)
-                for text, dropped in others:
-                    if declared or not dropped:
-                        k = np.unique(windows(text.split(), host))
-                        keys.append(k)
-                        owners.append(np.full(len(k), own))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["k", "page"])
+            own, found = page_key(page), {}
+            for text, dropped in others:
+                undecided = not main and not dropped
+                for k in windows(text.split(), host).tolist():
+                    found[k] = found.get(k, False) or undecided
+                if undecided:
+                    found[None] = True
+            keys += found
+            owners += [own] * len(found)
+            opens += found.values()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64()), pa.array(opens, pa.bool_())], ["k", "page", "open"])
 
 
 def uncovered(text: str, host: str, repeats: frozenset[int]) -> str:
@@ -170,11 +181,9 @@ def extract(pages: DataFrame) -> DataFrame:
     text, n = fresh(pages, "text"), fresh(pages, "n_chars")
     host = host_and_path(F.col("url").cast("string"))[0]
     source = pages.select(host.alias("host"), F.col("html").cast("string").alias("html"))
-    all_windows = source.mapInArrow(lambda b: _streams(b, True), "k long, page long")
-    repeated = all_windows.groupBy("k").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("k")
-    # pages that declare no main text are the only ones whose open blocks count
-    wanted = source.mapInArrow(lambda b: _streams(b, False), "k long, page long")
-    covered = wanted.join(repeated, "k").groupBy("page").agg(F.collect_set("k").alias("repeats"))
+    streams = stored(source.mapInArrow(_streams, "k long, page long, open boolean"), "suffixes")
+    repeated = streams.where("k is not null").groupBy("k").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("k")
+    covered = streams.where("open").join(repeated, "k").groupBy("page").agg(F.collect_set("k").alias("repeats"))
     h, own, got = fresh(pages, "host"), fresh(pages, "page_key"), fresh(pages, "repeats")
     rows = pages.withColumns({h: host, "html": F.col("html").cast("string")})
     at, host_at = rows.columns.index("html"), rows.columns.index(h)
@@ -189,12 +198,14 @@ def extract(pages: DataFrame) -> DataFrame:
                 todo = [] if main else [t for t, dropped in others if not dropped]
                 out.append(main)
                 blocks.append(todo)
-                keys.append(int(np.uint64(xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace"))).view(np.int64)) if todo else None)
+                keys.append(page_key(page) if todo else None)
             new = [pa.array(out, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), batch.column(host_at), *new], names=[*(batch.schema.names[i] for i in keep), h, text, own, "_blocks"])
 
     parsed = rows.mapInArrow(first, schema_plus(rows, {h: "string", text: "string", own: "long", "_blocks": "array<string>"}, without=("html", h)))
     done = parsed.where(F.col(own).isNull()).drop(h, own, "_blocks")
+    if not streams.where("k is null").take(1):  # every page declares its main text, or has no open text
+        return done.withColumn(n, F.length(text).cast("long"))
     rest = parsed.where(F.col(own).isNotNull()).join(covered.withColumnRenamed("repeats", got), F.col(own) == F.col("page"), "left").drop("page")
     i_host, i_text, i_blocks, i_got = (rest.columns.index(c) for c in (h, text, "_blocks", got))
     last = [i for i, c in enumerate(rest.columns) if c not in (h, text, own, "_blocks", got)]
