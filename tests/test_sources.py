@@ -162,3 +162,40 @@ def test_delimited_and_bundle(spark, tmp_path):
     assert (tmp_path / "split" / "s=x").is_dir()
     t = S.read_table(spark, put(tmp_path, "t.tsv", "a\tb\n1,5\t\n\tx\n"))
     assert [(r.a, r.b) for r in t.orderBy("ordinal").collect()] == [("1,5", None), (None, "x")]
+
+
+def bam_bytes(records):
+    import struct
+
+    body = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
+    for name, flag, pos, cigar, seq, tags in records:
+        ops = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar)
+        codes = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+        packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+        data = struct.pack("<iiBBHHHiiii", 0 if pos >= 0 else -1, pos, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0)
+        data += name.encode() + b"\0" + ops + packed + bytes([40] * len(seq)) + tags
+        body += struct.pack("<i", len(data)) + data
+    half = len(body) // 2
+    return gzip.compress(body[:half]) + gzip.compress(body[half:])
+
+
+def test_bam_and_2bit(spark, tmp_path):
+    import struct
+
+    from siltbed.sources import binary as B
+
+    tags = b"CBZAC-1\0" + b"NHC\x02" + b"ASi" + struct.pack("<i", -5) + b"XBBs" + struct.pack("<i2h", 2, 7, -1)
+    (tmp_path / "a.bam").write_bytes(bam_bytes([("r1", 0, 100, [(15, "M"), (59, "N"), (3, "S")], "ACGTN", tags), ("r1", 256, 5, [(5, "M")], "ACGTA", b""), ("r2", 4, -1, [], "", b""), ("r1", 0, 7, [(5, "M")], "ACGTA", b"")]))
+    df = B.read_bam(spark, str(tmp_path / "a.bam"))
+    rows = df.orderBy("ord").collect()
+    assert (rows[0].qname, rows[0].rname, rows[0].pos, rows[0].cigar, rows[0].seq, rows[0].qual) == ("r1", "chr1", 100, "15M59N3S", "ACGTN", "IIIII")
+    assert rows[0].tags == {"CB": "AC-1", "NH": "2", "AS": "-5", "XB": "7,-1"} and (rows[2].rname, rows[2].cigar, rows[2].seq) == ("*", "*", "*")
+    assert [r.grp for r in B.grouped_by_neighbours(df).orderBy("ord").collect()] == [1, 1, 2, 3]
+    seq = "ACGTNNacgtTTG"
+    bits = ["TCAG".index(c.upper()) if c != "N" else 0 for c in seq] + [0] * (-len(seq) % 4)
+    packed = bytes(a << 6 | b << 4 | c << 2 | d for a, b, c, d in zip(*(bits[k::4] for k in range(4))))
+    record = struct.pack("<I", len(seq)) + struct.pack("<3I", 1, 4, 2) + struct.pack("<3I", 1, 6, 4) + struct.pack("<I", 0) + packed
+    data = struct.pack("<4I", 0x1A412743, 0, 1, 0) + b"\x04chrX" + struct.pack("<I", 16 + 5 + 4) + record
+    (tmp_path / "g.2bit").write_bytes(data)
+    got = B.read_two_bit(spark, str(tmp_path / "g.2bit"), window=5).orderBy("start").collect()
+    assert "".join(r.seq for r in got) == seq and [r.end for r in got] == [5, 10, 13]
