@@ -25,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import as_bytes, delete_stored, fresh, stored
@@ -38,6 +38,9 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 RUN = 512
 SHINGLE_WORDS = 3
 MAX_BITS = 2
+#: Most bytes of doc_ids that are broadcast, and what one takes in a hash table.
+BROADCAST_BYTES = 64 << 20
+ID_BYTES = 32
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -90,13 +93,13 @@ def _near() -> tuple[np.ndarray, np.ndarray]:
     weight = np.array([int(p).bit_count() for p in patterns])
     table, count = np.full((2048, 6), -1, np.int64), np.zeros(2048, np.int64)
     for p, s, w in zip(patterns.tolist(), syndromes.tolist(), weight.tolist()):
-        if w <= 3 or weight_of_first(table, s) == 3:
+        if w <= 3 or _first_weight(table, s) == 3:
             table[s, count[s]] = p
             count[s] += 1
     return table, count
 
 
-def weight_of_first(table: np.ndarray, syndrome: int) -> int:
+def _first_weight(table: np.ndarray, syndrome: int) -> int:
     return int(table[syndrome, 0]).bit_count()
 
 
@@ -250,8 +253,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one for each component of near_duplicates: that of the smallest doc_id. All columns stay."""
-    found = near_duplicates(docs)
-    d, c = fresh(docs, "kept_doc_id"), fresh(docs, "component")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(d), F.col("component_id").alias(c)).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(keep[d]), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs, one for each component of near_duplicates: that of the smallest doc_id. All columns stay.
+
+    Texts are not shuffled: the doc_ids that go are broadcast if they take at most BROADCAST_BYTES, which is counted, else
+    joined. A doc_id that stays but occurs more than once keeps the row of the smallest hash of its text; rows with a null
+    doc_id count as one doc_id.
+    """
+    rows = stored(near_duplicates(docs), "components")
+    ids = rows.groupBy(F.col("doc_id").alias("gone")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
+    ids = stored(ids, "doc_ids")
+    gone, again = ids.where(~F.col("stays")).select("gone"), ids.where("stays and n > 1").select("gone")
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        small = right.count() * ID_BYTES <= BROADCAST_BYTES
+        return left.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col("gone")), how)
+
+    kept = joined(docs, gone, "left_anti")
+    if not again.take(1):
+        return kept
+    place = fresh(docs, "place")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string")))
+    one = joined(kept, again, "left_semi").withColumn(place, rank).where(F.col(place) == 1).drop(place)
+    return joined(kept, again, "left_anti").unionByName(one)

@@ -103,10 +103,14 @@ def test_empty_and_null_ids(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(None, 3), (3, 3), (None, None)}
 
 
-def test_one_of_each_group_stays(spark):
-    rows = [(1, "a b c d", "x"), (2, "A b c d", "y"), (3, "other words here", None), (3, "other words here", None)]
-    got = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert sorted(r.doc_id for r in got) == [1, 3]
+def test_one_of_each_group_stays(spark, monkeypatch):
+    rows = [(1, "a b c d", "x"), (2, "A b c d", "y"), (3, "other words here", None), (3, "other words here", None), (None, "third text entirely", "z"), (None, "third text entirely", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    for most in (S.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(S, "BROADCAST_BYTES", most)
+        got = S.deduplicate(df)
+        assert got.columns == df.columns and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3]
+    assert S.deduplicate(df.limit(0)).collect() == []
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
