@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.scratch import stored
+
 
 def positions(df: DataFrame, value: str, tie: str, descending: bool = False, parts: int = 256) -> DataFrame:
     """df with position: its place from 0 in the order of a numeric value, then of a unique numeric tie column.
@@ -41,23 +43,36 @@ def positions(df: DataFrame, value: str, tie: str, descending: bool = False, par
 
 
 def knee(counts: DataFrame, value: str = "total") -> DataFrame:
-    """The knee of a barcode-rank curve: (rank, total, score) of the point farthest from the chord in log10-log10.
+    """The knee of a barcode-rank curve, one row: knee_rank (cells at or over the cut-off), cutoff, score; none if fewer than
+    three cells have more than one molecule.
 
-    Cells of one molecule form the plateau at the end and are left out. The curve has a point per distinct depth step;
-    depths are grouped first, so the ordered pass runs over distinct depths, not over cells.
+    The knee is the cell farthest from the chord of the log10-log10 curve over cells of more than one molecule. If at least
+    10 cells lie before it and 20 after, the rest of the curve is looked at again, and a second knee with 10 cells on either
+    side and a score of 0.05 takes its place. Along cells of equal depth the distance is linear in log rank, so only the
+    first and the last of them can be farthest: the passes run over distinct depths, not over cells.
     """
-    depths = counts.where(F.col(value) > 1).groupBy(F.col(value).alias("depth")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("depth"))
-    # a depth's last cell: the running number of cells at this depth or deeper
-    points = depths.select("depth", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rank"))
-    points = points.select("depth", "rank", F.log10(F.col("rank").cast("double")).alias("x"), F.log10(F.col("depth").cast("double")).alias("y"))
-    ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("y").alias("y0"), F.min("y").alias("y1"))
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    off = F.abs(dy * F.col("x") - dx * F.col("y") + F.col("x1") * F.col("y0") - F.col("y1") * F.col("x0"))
-    score = F.coalesce(F.try_divide(off, F.sqrt(dx * dx + dy * dy)), F.lit(0.0))
-    scored = points.crossJoin(F.broadcast(ends)).withColumn("score", F.round(score, 9))
-    best = F.max(F.struct(F.col("score"), F.negative("rank").alias("r"), F.col("depth")))
-    return scored.agg(best.alias("b")).where("b is not null").select(F.negative("b.r").alias("rank"), F.col("b.depth").alias("total"), F.col("b.score").alias("score"))
+    depths = counts.where(F.col(value) > 1).groupBy(F.col(value).cast("long").alias("depth")).agg(F.count("*").alias("n"))
+    last = F.sum("n").over(Window.orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0))
+    ends = stored(depths.select("depth", "n", last.alias("last")).withColumn("first", F.col("last") - F.col("n") + 1), "depths")
+    points = ends.select("depth", "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("rank"))
+    size = ends.agg(F.max("last").alias("cells"), F.min("depth").alias("low"), F.max("depth").alias("high")).where("cells >= 3")
+
+    def farthest(start: DataFrame) -> DataFrame:
+        """start: one row with r0, d0 (the chord's first cell), cells, low. The first of equal distances counts."""
+        x0, y0 = F.log10(F.col("r0").cast("double")), F.log10(F.col("d0").cast("double"))
+        dx, dy = F.log10(F.col("cells").cast("double")) - x0, F.log10(F.col("low").cast("double")) - y0
+        off = F.abs(dy * (F.log10(F.col("rank").cast("double")) - x0) - dx * (F.log10(F.col("depth").cast("double")) - y0))
+        score = F.round(F.try_divide(off, F.sqrt(dx * dx + dy * dy)), 9)
+        inside = points.crossJoin(F.broadcast(start)).where("rank > r0 and rank < cells").withColumn("score", score).where("score is not null")
+        best = F.max(F.struct(F.col("score"), F.negative("rank").alias("r"), F.col("depth"), F.col("last")))
+        return inside.agg(best.alias("b"), F.max("cells").alias("cells"), F.max("low").alias("low")).where("b is not null").select(F.negative("b.r").alias("rank"), "b.depth", "b.last", "b.score", "cells", "low")
+
+    one = farthest(size.select(F.lit(1).cast("long").alias("r0"), F.col("high").alias("d0"), "cells", "low"))
+    again = one.where("rank - 1 >= 10 and cells - (rank - 1) >= 20").select(F.col("rank").alias("r0"), F.col("depth").alias("d0"), "cells", "low")
+    first = again.select(F.col("r0").alias("p"))
+    two = farthest(again).crossJoin(F.broadcast(first)).where("rank - p >= 10 and cells - (rank - 1) >= 10 and score >= 0.05")
+    both = one.select(F.lit(1).alias("k"), "last", "depth", "score").unionByName(two.select(F.lit(2).alias("k"), "last", "depth", "score"))
+    return both.agg(F.max(F.struct("k", "last", "depth", "score")).alias("b")).where("b is not null").select(F.col("b.last").alias("knee_rank"), F.col("b.depth").alias("cutoff"), F.col("b.score").alias("score"))
 
 
 def bh_fdr(tests: DataFrame, p: str, by: Sequence[str] = (), tie: str | None = None) -> DataFrame:

@@ -130,15 +130,27 @@ def shared_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.shared_positions(m, m.select("grp", "member"))
 
 
-@query("""WITH t AS (SELECT o_custkey AS cell, count(*) AS total FROM orders GROUP BY o_custkey), d AS (SELECT total AS depth, count(*) AS n FROM t WHERE total > 1 GROUP BY total),
-p AS (SELECT depth, sum(n) OVER (ORDER BY depth DESC ROWS UNBOUNDED PRECEDING) AS rank FROM d), q AS (SELECT *, log10(rank::DOUBLE) AS x, log10(depth::DOUBLE) AS y FROM p),
-e AS (SELECT min(x) AS x0, max(x) AS x1, max(y) AS y0, min(y) AS y1 FROM q),
-s AS (SELECT rank, depth, round(coalesce(abs((y1 - y0) * x - (x1 - x0) * y + x1 * y0 - y1 * x0) / nullif(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 0), 0), 9) AS score FROM q, e)
-SELECT rank::BIGINT AS rank, depth AS total, score FROM s ORDER BY score DESC, rank LIMIT 1""")
+#: Every cell's distance to the chord, first over all cells, then over those after the first knee.
+KNEE = """WITH r AS (SELECT total AS depth, row_number() OVER (ORDER BY total DESC) AS rank, count(*) OVER () AS n, min(total) OVER () AS low, max(total) OVER () AS high FROM t WHERE total > 1),
+one AS (SELECT rank, depth, n, low, round(abs((log10(low) - log10(high)) * log10(rank) - log10(n) * (log10(depth) - log10(high))) / sqrt(log10(n) ** 2 + (log10(low) - log10(high)) ** 2), 9) AS score FROM r WHERE rank > 1 AND rank < n AND n >= 3 ORDER BY score DESC, rank LIMIT 1),
+two AS (SELECT r.rank, r.depth, round(abs((log10(r.low) - log10(o.depth)) * (log10(r.rank) - log10(o.rank)) - (log10(r.n) - log10(o.rank)) * (log10(r.depth) - log10(o.depth))) / sqrt((log10(r.n) - log10(o.rank)) ** 2 + (log10(r.low) - log10(o.depth)) ** 2), 9) AS score, o.rank AS p, r.n
+  FROM r, one o WHERE r.rank > o.rank AND r.rank < r.n AND o.rank - 1 >= 10 AND r.n - (o.rank - 1) >= 20 ORDER BY score DESC, r.rank LIMIT 1),
+b AS (SELECT 1 AS k, depth, score FROM one UNION ALL SELECT 2, depth, score FROM two WHERE rank - p >= 10 AND n - (rank - 1) >= 10 AND score >= 0.05)
+SELECT (SELECT count(*) FROM t WHERE total >= b.depth) AS knee_rank, depth AS cutoff, score FROM b ORDER BY k DESC LIMIT 1"""
+
+
+@query(KNEE.replace("WITH r", "WITH t AS (SELECT count(*) AS total FROM orders GROUP BY o_custkey), r"))
 def knee_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knee(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("total")))
 
 
+@query(KNEE.replace("WITH r", "WITH t AS (SELECT greatest(1, 4000 // (p_partkey + 1)) + CASE WHEN p_partkey BETWEEN 100 AND 700 THEN 60 - p_partkey // 30 ELSE 0 END AS total FROM part), r"))
+def second_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    total = F.greatest(F.lit(1), F.floor(4000 / (k + 1))) + F.when(k.between(100, 700), 60 - F.floor(k / 30)).otherwise(0)
+    return R.knee(read(spark, sf_dir, "part").select(total.alias("total")))
+
+
 @query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS grp, (l_extendedprice % 1000 + 1) / 1002 AS p FROM lineitem WHERE l_partkey % 7 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS k, count(*) OVER (PARTITION BY grp) AS m FROM t)
 SELECT id, grp, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY grp ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
