@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from siltbed.functions.statistics import logsumexp
 
@@ -133,3 +134,47 @@ def infer_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
 def apply_sequences(df: DataFrame, by: Sequence[str], order: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Any processor of one ordered sequence."""
     return df.groupBy(*by).applyInPandas(lambda g: run(g.sort_values(list(order), ignore_index=True)), schema)
+
+
+#: States of a feature model, and the steps between them that get a pseudocount.
+FEATURE_STATES = ("background", "pre", "feature", "post")
+FEATURE_STEPS = ((0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 0), (3, 1))
+
+
+def feature_states(tokens: DataFrame, flank: int) -> DataFrame:
+    """tokens (seq, pos, symbol, inside) with state: 2 inside a feature, 1 up to flank before one, 3 up to flank after one (the
+    nearer of the two; before wins a tie), else 0."""
+    w = Window.partitionBy("seq").orderBy("pos")
+    at = F.when(F.col("inside"), F.col("pos"))
+    after = F.col("pos") - F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("pos")
+    pre, post = F.coalesce(before <= flank, F.lit(False)), F.coalesce(after <= flank, F.lit(False))
+    nearer = before <= F.coalesce(after, before)
+    return tokens.withColumn("state", F.when(F.col("inside"), 2).when(pre & (nearer | ~post), 1).when(post, 3).otherwise(0))
+
+
+def feature_model(states: DataFrame, symbols: int = 32) -> Hmm:
+    """The supervised model of rows (seq, pos, symbol 0 to symbols - 1, state): three counts, with a pseudocount of 1 on initials,
+    emissions and FEATURE_STEPS."""
+    k = len(FEATURE_STATES)
+    initial, transition, emission = np.ones(k), np.zeros((k, k)), np.ones((k, symbols))
+    for a, b in FEATURE_STEPS:
+        transition[a, b] = 1
+    w = Window.partitionBy("seq").orderBy("pos")
+    steps = states.withColumn("_p", F.lag("state").over(w))
+    for r in steps.groupBy("_p", "state").agg(F.count("*").alias("n")).collect():
+        if r["_p"] is None:
+            initial[r["state"]] += r["n"]
+        else:
+            transition[r["_p"], r["state"]] += r["n"]
+    for r in states.groupBy("state", "symbol").agg(F.count("*").alias("n")).collect():
+        emission[r["state"], r["symbol"]] += r["n"]
+    return Hmm(initial / initial.sum(), transition / transition.sum(axis=1, keepdims=True), Categorical(emission / emission.sum(axis=1, keepdims=True)))
+
+
+def evaluate_feature(predicted: DataFrame) -> DataFrame:
+    """One row: precision, recall and F1 of inside against state = 2, by residue."""
+    hit, told = F.col("inside"), F.col("state") == 2
+    c = predicted.agg(F.count_if(hit & told).alias("tp"), F.count_if(~hit & told).alias("fp"), F.count_if(hit & ~told).alias("fn"))
+    p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
+    return c.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
