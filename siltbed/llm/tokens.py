@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from siltbed.llm.common import fresh, schema_plus
 
 LIMIT = 512
-#: Pieces whose counts a worker keeps; then it starts anew.
+#: Pieces whose counts a worker keeps in each of two generations: a full one becomes the old one, whose pieces come back as
+#: they are met again.
 CACHE_PIECES = 600_000
 #: Longer pieces are computed each time, to bound the cache's bytes.
 CACHE_CHARS = 64
+#: Bytes of a piece's beginning whose states are kept, and how many beginnings are.
+HEAD, HEADS = 5, 100_000
 NEVER = 1 << 60
 
 
@@ -44,11 +47,13 @@ def _ends(text: str) -> np.ndarray:
 class _Totals(dict):
     """The last prefix count of pieces met so far."""
 
-    def __init__(self, counter: "PrefixTokens"):
-        self.counter = counter
+    def __init__(self, counter: "PrefixTokens", old: dict[str, int]):
+        self.counter, self.old = counter, old
 
     def __missing__(self, piece: str) -> int:
-        total = self.counter.piece(piece)[-1]
+        total = self.old.get(piece)
+        if total is None:
+            total = self.counter.piece(piece)[-1]
         if len(piece) <= CACHE_CHARS:
             self[piece] = total
         return total
@@ -82,7 +87,8 @@ class PrefixTokens:
                 self.ends.setdefault(t[k:], -1)
         self.ends |= {t: k for k, t in enumerate(self.tokens)}
         self.valid: dict[int, bool] = {}
-        self.totals = _Totals(self)
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
+        self.totals = _Totals(self, {})
 
     def _border(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The parts of token at its left (0) or right (1) border, each with the rank at which it goes up in a larger one."""
@@ -101,9 +107,11 @@ class PrefixTokens:
         """Token counts of the prefixes of a piece's UTF-8 bytes, from the empty one on."""
         raw = text.encode()
         n = len(raw)
-        last, count = [0] * (n + 1), [0] * (n + 1)
+        # words share beginnings: the programme goes on from a beginning that was met before
+        known = self.heads.get(raw[:HEAD]) if n > HEAD else None
+        last, count = (known[0] + [0] * (n - HEAD), known[1] + [0] * (n - HEAD)) if known else ([0] * (n + 1), [0] * (n + 1))
         end, valid = self.ends.__getitem__, self.valid
-        for i in range(1, n + 1):
+        for i in range(HEAD + 1 if known else 1, n + 1):
             j = i - 1
             while True:
                 t = end(raw[j:i])
@@ -120,11 +128,16 @@ class PrefixTokens:
                         break
                 j -= 1
             last[i], count[i] = t, count[j] + 1
+        if n > HEAD and not known:
+            if len(self.heads) > HEADS:
+                self.heads.clear()
+            self.heads[raw[:HEAD]] = last[: HEAD + 1], count[: HEAD + 1]
         return count
 
     def _plain(self, text: str) -> int:
         if len(self.totals) > CACHE_PIECES:
-            self.totals.clear()
+            self.totals.old = {}
+            self.totals = _Totals(self, self.totals)
         return sum(map(self.totals.__getitem__, self.pieces(text)))
 
     def count(self, text: str) -> int:
