@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import statistics as S
-from siltbed.operators.ranking import bh_fdr
+from siltbed.operators.ranking import bh_over_all
 from siltbed.scratch import delete_stored, stored
 
 
@@ -133,15 +133,8 @@ def call_guides(model: DataFrame, config: MixtureConfig = MixtureConfig()) -> Da
         return pd.Series([S.poisson_upper_tail(int(k), float(m)) for k, m in zip(count, mean)])
 
     tested = model.withColumn("p_value", tail("count", F.col("lambda") * F.col("p_ambient")))
-    # equal p-values share a q-value, so the ordered pass runs over distinct values
-    values = tested.groupBy("p_value").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("p_value")
-    ranked = values.withColumns({"rank": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "m": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    back = Window.orderBy(F.desc("p_value")).rowsBetween(Window.unboundedPreceding, 0)
-    q = ranked.select("p_value", F.least(F.lit(1.0), F.min(F.col("p_value") * F.col("m") / F.col("rank")).over(back)).alias("q"))
-    return tested.join(q, "p_value").withColumn("called", (F.col("posterior") >= config.call_posterior) & (F.col("q") <= config.call_fdr))
+    ranked = bh_over_all(tested.withColumn("_tie", F.xxhash64("cell", "guide")), "p_value", "_tie").drop("_tie")
+    return ranked.withColumn("called", (F.col("posterior") >= config.call_posterior) & (F.col("q") <= config.call_fdr))
 
 
 def candidate_em(classes: list[tuple[tuple, float]], max_iterations: int = 200, epsilon: float = 1e-6) -> dict:
@@ -195,11 +188,7 @@ def abundance_by_group(pairs: DataFrame, group: str, row: str, item: str, max_it
 
 def transcript_posterior(candidates: DataFrame, molecule: str, transcript: str, prior: str, likelihood: str) -> DataFrame:
     """Bayes posterior of each molecule's candidates: prior times likelihood, normalised by molecule; all zero gives zero."""
-    from pyspark.sql import Window
-
     joint = F.col(prior) * F.col(likelihood)
     total = F.sum(joint).over(Window.partitionBy(molecule))
     return candidates.select(molecule, transcript, F.coalesce(F.try_divide(joint, total), F.lit(0.0)).alias("posterior"))
 
-
-__all__ = ["MixtureConfig", "abundance_by_group", "bh_fdr", "binary_mixture", "call_guides", "candidate_em", "guide_mixture", "transcript_posterior"]

@@ -17,6 +17,7 @@ def positions(df: DataFrame, value: str, tie: str, descending: bool = False, par
     are approximate quantiles; a value that fills whole ranges is dealt on by ranges of tie. Places within a range and the
     sizes of the ranges before it add up to the exact place, wherever the borders lie.
     """
+    df = stored(df, "positions")  # three passes over it follow
     v, t = F.col(value).cast("double"), F.col(tie).cast("double")
     if descending:
         v = -v
@@ -75,7 +76,23 @@ def knee(counts: DataFrame, value: str = "total") -> DataFrame:
     return both.agg(F.max(F.struct("k", "last", "depth", "score")).alias("b")).where("b is not null").select(F.col("b.last").alias("knee_rank"), F.col("b.depth").alias("cutoff"), F.col("b.score").alias("score"))
 
 
-def bh_fdr(tests: DataFrame, p: str, by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
+def bh_over_all(tests: DataFrame, p: str, tie: str, blocks: int = 256) -> DataFrame:
+    """tests with q: Benjamini-Hochberg over all rows, without a window over all rows; tie is any numeric column.
+
+    Rows are cut in blocks by their exact place. The smallest p m / rank of the later rows is that of the later rows of the
+    block or of the later blocks, of which there are few.
+    """
+    n = tests.agg(F.count("*").alias("_m"))
+    placed = positions(tests, p, tie).crossJoin(F.broadcast(n)).withColumn("_block", F.floor(F.col("position") * blocks / F.col("_m")))
+    placed = stored(placed.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("position") + 1)), "tests")
+    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = placed.groupBy("_block").agg(F.min("_raw").alias("_least")).select("_block", F.min("_least").over(later).alias("_after"))
+    own = F.min("_raw").over(Window.partitionBy("_block").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.withColumn("_own", own).join(F.broadcast(after), "_block")
+    return out.withColumn("q", F.least(F.lit(1.0), "_own", F.coalesce("_after", F.lit(1.0)))).drop("_m", "position", "_block", "_raw", "_own", "_after")
+
+
+def bh_fdr(tests: DataFrame, p: str, by: Sequence[str], tie: str | None = None) -> DataFrame:
     """tests with q: Benjamini-Hochberg within each group; the number of tests is the group's own."""
     order = [F.col(p)] + ([F.col(tie)] if tie else [])
     w = Window.partitionBy(*by).orderBy(*order)

@@ -159,6 +159,13 @@ def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.bh_fdr(t, "p", ["grp"], "id"), "p", "q", digits=9)
 
 
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_extendedprice % 1000 + 1) / 1002 AS p FROM lineitem WHERE l_partkey % 7 = 0), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM t)
+SELECT id, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
+def bh_over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_extendedprice") % 1000 + 1) / 1002).alias("p"))
+    return rounded(R.bh_over_all(t, "p", "id"), "p", "q", digits=9)
+
+
 @query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS avg_rank FROM lineitem WHERE l_suppkey <= 20")
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem").where("l_suppkey <= 20")

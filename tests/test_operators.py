@@ -86,8 +86,9 @@ def test_flags(spark):
 
 def test_ranks_and_fdr(spark):
     p = [0.01, 0.02, 0.02, 0.5, 0.04]
-    got = R.bh_fdr(spark.createDataFrame(list(enumerate(p)), "k int, p double"), "p", tie="k").orderBy("k").collect()
-    assert [r.q for r in got] == pytest.approx([0.1 / 3, 0.1 / 3, 0.1 / 3, 0.5, 0.05])
+    tests = spark.createDataFrame([(k, "g", x) for k, x in enumerate(p)], "k int, g string, p double")
+    for found in (R.bh_fdr(tests, "p", ["g"], "k"), R.bh_over_all(tests, "p", "k"), R.bh_over_all(tests, "p", "k", blocks=2)):
+        assert [r.q for r in found.orderBy("k").collect()] == pytest.approx([0.1 / 3, 0.1 / 3, 0.1 / 3, 0.5, 0.05])
     df = spark.createDataFrame([(1, v) for v in (3, 1, 3, 2)], "g int, v int")
     assert rows(df.withColumn("r", R.average_rank("v", ["g"])), "v", "r") == [(1, 1.0), (2, 2.0), (3, 3.5), (3, 3.5)]
     assert R.knee(spark.createDataFrame([(1,)] * 5, "total int")).collect() == []
