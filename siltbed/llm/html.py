@@ -43,10 +43,14 @@ DROPPED = frozenset("nav header footer aside form script style head title templa
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words in a class, an id or a role that declare boilerplate.
 DROPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
-    "footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related search share sharing "
-    "sidebar social sponsor sponsored subscribe toolbar complementary contentinfo disqus respond".split()
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
+    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination paywall popup promo "
+    "promoted recommended recommendations related search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
+    "trending widget complementary contentinfo disqus respond".split()
 )
+#: Elements that hold the page, and beginnings of names that tell of what is around: neither is boilerplate by its names.
+HOLDERS = frozenset({"html", "body", "article", "main"})
+AROUND = frozenset({"has", "with", "without", "no"})
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -58,8 +62,10 @@ def _declared(tag: str, attributes: str) -> str:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         if found.get("role", "").lower() in ("main", "article"):
             return "main"
-        names = {w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", found.get(k, "").lower())}
-        if names & DROPPED_NAMES or HIDDEN.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
+        named = [re.split(r"[^a-z]+", w) for k in ("class", "id", "role") for w in found.get(k, "").lower().split()]
+        names = {w for parts in named if parts[0] not in AROUND for w in parts}
+        comment = tag == "article" and names & {"comment", "comments"}
+        if comment or (names & DROPPED_NAMES and tag not in HOLDERS) or HIDDEN.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
             return "dropped"
     return "main" if tag in MAIN else "open"
 

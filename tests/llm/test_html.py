@@ -23,6 +23,12 @@ def test_broken_and_empty_markup():
     assert H.parse("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>")[0] == "deep"
 
 
+def test_names_tell_what_an_element_is():
+    page = '<body class="with-sidebar"><div class="layout has-sidebar"><article class="post sidebar-left"><p class="lead">Yes.</p><div class="cookie-notice">no</div>'
+    page += '<div id="ad_3">no</div><p style="display: none">no</p><p hidden>no</p><div class="read-more">too</div></article></div><article class="comment">me</article><div class="widget">no</div></body>'
+    assert H.parse(page)[0] == "Yes. too"
+
+
 def windows(text):
     t = text.split()
     return {tuple(t[k : k + H.REPEAT]) for k in range(len(t) - H.REPEAT + 1)}
