@@ -8,6 +8,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -151,3 +152,82 @@ def grouped_by_neighbours(alignments: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("ord")
     new = F.when(F.lag("qname").over(w) == F.col("qname"), 0).otherwise(1)
     return alignments.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+# --- bigWig and bigBed ----------------------------------------------------------------------------------------------
+
+#: Fixed values of these formats: magic numbers of the two files and of their trees.
+_BIGWIG, _BIGBED, _NAMES, _BLOCKS = 0x888FFC26, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
+
+
+def _tree(data: bytes, order: str, at: int, leaf: str, inner: str) -> Iterator[tuple]:
+    """Leaf items of a tree of nodes (leaf flag, reserved, count, items); an inner item ends with its child's offset."""
+    todo = [at]
+    while todo:
+        at = todo.pop()
+        is_leaf, _, n = struct.unpack_from(order + "BBH", data, at)
+        form = order + (leaf if is_leaf else inner)
+        size = struct.calcsize(form)
+        items = [struct.unpack_from(form, data, at + 4 + k * size) for k in range(n)]
+        if is_leaf:
+            yield from items
+        else:
+            todo += [i[-1] for i in reversed(items)]
+
+
+def big_blocks(data: bytes) -> tuple[bool, str, dict[int, tuple[str, int]], list[bytes]]:
+    """Whether a bigWig, the byte order, chromosomes (name, size) by number, and the data blocks, decompressed."""
+    order = "<" if struct.unpack_from("<I", data)[0] in (_BIGWIG, _BIGBED) else ">"
+    magic, _, _, names, _, index, _, _, _, _, packed, _ = struct.unpack_from(order + "IHHQQQHHQQIQ", data)
+    if magic not in (_BIGWIG, _BIGBED):
+        raise ValueError("neither bigWig nor bigBed")
+    head, _, key, _, _, _ = struct.unpack_from(order + "IIIIQQ", data, names)
+    root, *_ = struct.unpack_from(order + "I", data, index)
+    if (head, root) != (_NAMES, _BLOCKS):
+        raise ValueError("broken index")
+    chroms = {i: (k.rstrip(b"\0").decode(), n) for k, i, n in _tree(data, order, names + 32, f"{key}sII", f"{key}sQ")}
+    blocks = [data[i[4] : i[4] + i[5]] for i in _tree(data, order, index + 48, "IIIIQQ", "IIIIQ")]
+    return magic == _BIGWIG, order, chroms, [zlib.decompress(b) if packed else b for b in blocks]
+
+
+def big_wig_values(block: bytes, order: str) -> Iterator[tuple[int, int, int, float]]:
+    """(chromosome number, start, end, value) of a bigWig block in any of its three forms."""
+    chrom, start, _, step, span, kind, _, n = struct.unpack_from(order + "IIIIIBBH", block)
+    for k in range(n):
+        if kind == 1:
+            yield (chrom, *struct.unpack_from(order + "IIf", block, 24 + 12 * k))
+        elif kind == 2:
+            a, v = struct.unpack_from(order + "If", block, 24 + 8 * k)
+            yield chrom, a, a + span, v
+        else:
+            yield chrom, start + k * step, start + k * step + span, struct.unpack_from(order + "f", block, 24 + 4 * k)[0]
+
+
+def read_big(spark: SparkSession, path: str) -> DataFrame:
+    """(chr, start, end, value, rest): all intervals of bigWig files (value) or bigBed files (rest: the further columns)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                wig, order, chroms, blocks = big_blocks(content)
+                for block in blocks:
+                    if wig:
+                        rows = [(chroms[c][0], s, e, v, None) for c, s, e, v in big_wig_values(block, order)]
+                    else:
+                        rows, at = [], 0
+                        while at + 12 <= len(block):
+                            c, s, e = struct.unpack_from(order + "III", block, at)
+                            rest, at = _cstring(block, at + 12)
+                            rows.append((chroms[c][0], s, e, None, rest))
+                    yield pd.DataFrame(rows, columns=["chr", "start", "end", "value", "rest"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "chr string, start long, end long, value double, rest string")
+
+
+def binned(intervals: DataFrame, width: int) -> DataFrame:
+    """(chr, bin, value): each interval's value in every bin that it touches, weighted by the overlap."""
+    from siltbed.operators.intervals import bins
+
+    cut = intervals.withColumn("bin", F.explode(bins(F.col("start"), F.col("end"), width)))
+    part = F.least(F.col("end"), (F.col("bin") + 1) * width) - F.greatest(F.col("start"), F.col("bin") * width)
+    return cut.groupBy("chr", "bin").agg((F.sum(F.col("value") * part) / F.sum(part)).alias("value"))
