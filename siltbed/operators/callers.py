@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import statistics as S
+from siltbed.operators.grouped import spread
 from siltbed.operators.ranking import bh_over_all
 from siltbed.scratch import delete_stored, stored
 
@@ -183,7 +184,7 @@ def abundance_by_group(pairs: DataFrame, group: str, row: str, item: str, max_it
             out["sd"] = np.std(draws, axis=0, ddof=1)
         return out
 
-    return classes.groupBy(group).applyInPandas(fit, f"{group} {kind[group]}, {item} {kind[item]}, abundance double, share double, sd double")
+    return spread(classes, [group]).groupBy(group).applyInPandas(fit, f"{group} {kind[group]}, {item} {kind[item]}, abundance double, share double, sd double")
 
 
 def transcript_posterior(candidates: DataFrame, molecule: str, transcript: str, prior: str, likelihood: str) -> DataFrame:

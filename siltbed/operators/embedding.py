@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.operators.grouped import spread
 from siltbed.scratch import delete_stored, stored
 
 
@@ -156,7 +157,7 @@ def trees(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
         edges = spanning_tree(np.stack(g[vector].to_numpy()).astype(float))
         return pd.DataFrame({group: g[group].iloc[0], "a": [g[key][i] for i, _, _ in edges], "b": [g[key][j] for _, j, _ in edges], "length": [d for *_, d in edges]})
 
-    return df.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, a {kinds[key]}, b {kinds[key]}, length double")
+    return spread(df.select(group, key, vector), [group]).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, a {kinds[key]}, b {kinds[key]}, length double")
 
 
 def newick(edges: Sequence[tuple], root: object) -> str:

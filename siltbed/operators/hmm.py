@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions.statistics import logsumexp
+from siltbed.operators.grouped import spread
 
 _FLOOR = 1e-300
 
@@ -128,12 +129,12 @@ def infer_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
         return g[names].assign(state=r["path"], p_state=r["posterior"][np.arange(len(g)), r["path"]])
 
     fields = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.groupBy(*by).applyInPandas(run, f"{fields}, state long, p_state double")
+    return spread(df, by).groupBy(*by).applyInPandas(run, f"{fields}, state long, p_state double")
 
 
 def apply_sequences(df: DataFrame, by: Sequence[str], order: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Any processor of one ordered sequence."""
-    return df.groupBy(*by).applyInPandas(lambda g: run(g.sort_values(list(order), ignore_index=True)), schema)
+    return spread(df, by).groupBy(*by).applyInPandas(lambda g: run(g.sort_values(list(order), ignore_index=True)), schema)
 
 
 #: States of a feature model, and the steps between them that get a pseudocount.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.alignment import anchored, global_alignment
 from siltbed.functions.sequences import AMINO_ACIDS, CODON_ORDER
+from siltbed.operators.grouped import spread
 
 #: Chains, and the names of their constant genes (alone or numbered).
 CHAINS = ("IGH", "IGK", "IGL", "TRA", "TRB", "TRG", "TRD")
@@ -187,7 +188,7 @@ def clone_families(receptors: DataFrame, max_cdr3: int = 3, min_identity: float
     The rule depends on order, so a (chain, V, J) is one group; rows lacking a part are left out."""
     whole = receptors.dropna(subset=["cell", "chain", "v", "j", "cdr3", "naive", "observed"]).where("v <> '' and j <> '' and cdr3 <> '' and naive <> '' and observed <> ''")
     kind = dict(receptors.dtypes)["cell"]
-    return whole.groupBy("chain", "v", "j").applyInPandas(lambda g: families_of(g, max_cdr3, min_identity, hard_identity), f"cell {kind}, chain string, v string, j string, family string, mutations long")
+    return spread(whole, ["chain", "v", "j"]).groupBy("chain", "v", "j").applyInPandas(lambda g: families_of(g, max_cdr3, min_identity, hard_identity), f"cell {kind}, chain string, v string, j string, family string, mutations long")
 
 
 def reference_outliers(values: DataFrame, value: str) -> DataFrame:
@@ -212,4 +213,4 @@ def hypothetical_models(evidence: DataFrame, min_identity: float = 0.75, least_r
             out.append(known)
         return pd.DataFrame({"chain": g["chain"], "v": g["v"], "sequence": g["sequence"], "model": pd.array(out, "Int64")})
 
-    return evidence.groupBy("chain", "v").applyInPandas(run, "chain string, v string, sequence string, model long")
+    return spread(evidence, ["chain", "v"]).groupBy("chain", "v").applyInPandas(run, "chain string, v string, sequence string, model long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.functions.statistics import splitmix64
+from siltbed.operators.grouped import spread
 
 
 def _uniform(seed: int, stream: int, n: int) -> np.ndarray:
@@ -51,7 +52,7 @@ def resample(counts: DataFrame, depth: int, seed: int = 42) -> DataFrame:
         keep = value > 0
         return pd.DataFrame({"cell": g["cell"][keep], "feature": g["feature"][keep], "value": value[keep]})
 
-    return counts.where("value > 0").groupBy("cell").applyInPandas(run, f"cell {kinds['cell']}, feature {kinds['feature']}, value long")
+    return spread(counts.where("value > 0"), ["cell"]).groupBy("cell").applyInPandas(run, f"cell {kinds['cell']}, feature {kinds['feature']}, value long")
 
 
 def hash_text(text: str) -> int:
