@@ -121,3 +121,20 @@ def intersect_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x, y = a.select(key).distinct().withColumn("x", F.lit(1)), b.select(key).distinct().withColumn("y", F.lit(1))
     j = x.join(y, key, "full")
     return j.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("both"), F.count_if(F.col("y").isNull()).alias("left_only"), F.count_if(F.col("x").isNull()).alias("right_only"))
+
+
+def partner_sets(neighbours: DataFrame, isoforms: DataFrame) -> DataFrame:
+    """(tx_id, partners): the sorted partners of each isoform's protein; isoforms: tx_id, protein; none gives an empty set."""
+    j = isoforms.join(neighbours.select(F.col("seed").alias("protein"), "partner"), "protein", "left")
+    return j.groupBy("tx_id").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
+
+
+def rewrite_ids(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """df with column's old ids replaced by mapping (old, new); others stay."""
+    m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    return df.join(m, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", F.col(column))).drop("_old", "_new")
+
+
+def grouped_members(df: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, members sorted, n) of a group table; empty group names don't count."""
+    return df.where(F.col(group).isNotNull() & (F.col(group) != "")).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"), F.count_distinct(member).alias("n"))

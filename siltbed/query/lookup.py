@@ -173,3 +173,16 @@ def execute(text: str, catalog: Catalog | Callable[[], Catalog]) -> DataFrame:
     """Parse, check against the schema, and only then open the catalog and plan."""
     query = validate(parse(text))
     return _PLANS[query.entity](query, catalog() if callable(catalog) else catalog)
+
+
+def capabilities(catalog: Catalog) -> dict[str, tuple[str, ...]]:
+    """The entities that a catalog can answer, with their fields: which payloads there are decides."""
+    from siltbed.query.language import FIELDS
+
+    need = {"gene": ("genes",), "transcript": ("transcripts",), "protein": ("proteins",), "feature": ("features",), "variant": ("variants",)}
+    out = {e: FIELDS[e] for e, tables in need.items() if all(t in catalog for t in tables)}
+    if "variant" in out and "clinical" not in catalog:
+        out["variant"] = tuple(f for f in out["variant"] if f != "clinical_effect")
+    if "feature" in out and "proteins" not in catalog:
+        out["feature"] = tuple(f for f in out["feature"] if f != "protein")
+    return out

@@ -291,3 +291,12 @@ def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The parquet form of an annotated matrix: x, obs, var and, where they are there, obsm and layers."""
     names = ("x", "obs", "var", "obsm", "layers")
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names if n in ("x", "obs", "var") or _exists(spark, f"{folder}/{n}")}
+
+
+def read_domain_matches(spark: SparkSession, path: str, accessions: DataFrame | None = None) -> DataFrame:
+    """(accession, entry, description, signature, aa_start, aa_end) of a protein-to-domain table (1-based, inclusive in the
+    file; 0-based, half-open here), kept for the given accessions only: the far larger file is filtered as it is read."""
+    df = spark.read.csv(path, sep="\t", schema="accession string, entry string, description string, signature string, first long, last long")
+    if accessions is not None:
+        df = df.join(accessions.select("accession").distinct(), "accession", "left_semi")
+    return df.select("accession", "entry", "description", "signature", (F.col("first") - 1).alias("aa_start"), F.col("last").alias("aa_end")).where("aa_end > aa_start")

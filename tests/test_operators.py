@@ -308,3 +308,14 @@ def test_positions_with_hot_values(spark):
         got = R.positions(df, "v", "k", down, parts=16).collect()
         assert [r.k for r in sorted(got, key=lambda r: r.position)] == want and sorted(r.position for r in got) == list(range(700))
     assert R.positions(df.limit(0), "v", "k").collect() == []
+
+
+def test_partner_sets_ids_and_groups(spark):
+    links = spark.createDataFrame([("p1", "p2", 900), ("p3", "p1", 800), ("p1", "p4", 100)], "a string, b string, score long")
+    near = J.seed_neighbours(links, spark.createDataFrame([("p1",), ("p9",)], "id string"), 700)
+    iso = spark.createDataFrame([("t1", "p1"), ("t9", "p9")], "tx_id string, protein string")
+    assert {r.tx_id: r.partners for r in J.partner_sets(near, iso).collect()} == {"t1": ["p2", "p3"], "t9": []}
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    assert rows(J.rewrite_ids(df, "id", spark.createDataFrame([("a", "z")], "old string, new string"))) == [("b", 2), ("z", 1)]
+    g = spark.createDataFrame([("x", "m2"), ("x", "m1"), ("", "m3"), (None, "m4")], "clone string, cell string")
+    assert [(r.clone, r.members, r.n) for r in J.grouped_members(g, "clone", "cell").collect()] == [("x", ["m1", "m2"], 2)]

@@ -199,3 +199,9 @@ def test_bam_and_2bit(spark, tmp_path):
     (tmp_path / "g.2bit").write_bytes(data)
     got = B.read_two_bit(spark, str(tmp_path / "g.2bit"), window=5).orderBy("start").collect()
     assert "".join(r.seq for r in got) == seq and [r.end for r in got] == [5, 10, 13]
+
+
+def test_domain_matches_of_wanted_proteins(spark, tmp_path):
+    path = put(tmp_path, "d.tsv", "P1\tIPR1\tRing\tPF1\t1\t10\nP2\tIPR1\tRing\tPF1\t5\t9\nP1\tIPR2\tx\tPF2\t7\t6\n")
+    got = S.read_domain_matches(spark, path, spark.createDataFrame([("P1",)], "accession string"))
+    assert [(r.accession, r.entry, r.aa_start, r.aa_end) for r in got.collect()] == [("P1", "IPR1", 0, 10)]
