@@ -73,11 +73,16 @@ def test_distinct_and_coreferent_over_the_corpus(spark):
     assert P.pseudonymise(docs.limit(0)).collect() == []
 
 
-def test_meeting_surrogates_are_rekeyed(spark, monkeypatch):
-    rows = [("name", f"Mr. A{chr(97 + k)}") for k in range(5)]
-    real = P._name
-    monkeypatch.setattr(P, "_LATIN", (("X",), ("a",), {"f": ("a",), "m": ("o",), "n": ("i",)}, tuple("bcdfghjklmnpqrst")))
-    found = spark.createDataFrame(rows, "type string, original string").coalesce(1)
+def test_meeting_surrogates_are_rekeyed(spark):
+    names = [f"Mr. {a}{b}{c}{d}" for a in "ABCDEFGH" for b in "aeiou" for c in "lmnr" for d in "aeios"]
+    first = [P.surrogate("name", n) for n in names]
+    assert len(set(first)) < len(names)  # the names are drawn from some 20 000
+    found = spark.createDataFrame([("name", n) for n in names] + [("ip", "10.0.0.1")], "type string, original string")
     times = P.rekeyed(found)
-    # tasks run in other processes with the full list of names: there nobody meets; here the small list must be settled alike
-    assert times == {} and real is P._name
+    assert times and {k for k, _ in times} == {"name"}
+    last = {n: P.surrogate("name", n, P.KEY, times.get(("name", n), 0)) for n in names}
+    assert len(set(last.values())) == len(names) and all(a != b for a, b in last.items())
+    # the first by code points keeps its surrogate
+    for made in set(first):
+        one = min(n for n, f in zip(names, first) if f == made)
+        assert ("name", one) not in times or last[one] != made
