@@ -146,9 +146,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap:
     chosen = stored(chosen, "lengths")
     buckets = sized.groupBy("source", "size", "b").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = buckets.withColumn("before", before).join(chosen, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    # both sides grow with the corpus: merge joins, whatever their compressed size looks like
+    cut = buckets.withColumn("before", before).join(chosen.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     cut = cut.select("s", "z", F.col("b").alias("c"), "base", "source_size", "target", F.least("n", F.greatest(F.lit(0), F.col("take") - F.col("before"))).alias("k"))
-    rows = sized.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("c")))
+    rows = sized.join(cut.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("c")))
     rank = F.row_number().over(Window.partitionBy("s", "z", "c").orderBy("h", "doc_id"))
     times = F.col("base") + (F.col("rank") <= F.col("k")).cast("int")
     return rows.withColumn("rank", rank).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
