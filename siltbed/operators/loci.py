@@ -146,8 +146,10 @@ def is_control(name: Column) -> Column:
 
 
 def gene_model(means: DataFrame, group: str) -> DataFrame:
-    """(group, feature, centroid) with each feature's mean over groups taken off."""
-    return means.withColumn("centroid", F.col("mean") - F.avg("mean").over(Window.partitionBy("feature"))).select(group, "feature", "centroid")
+    """(group, feature, centroid) with each feature's mean over groups taken off; a group without a feature has mean 0 of it."""
+    every = means.select("feature").distinct().crossJoin(F.broadcast(means.select(group).distinct()))
+    full = every.join(means.select(group, "feature", "mean"), [group, "feature"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    return full.withColumn("centroid", F.col("mean") - F.avg("mean").over(Window.partitionBy("feature"))).select(group, "feature", "centroid")
 
 
 def apply_gene_model(model: DataFrame, values: DataFrame, group: str, least: int = 10, share: float = 0.5) -> DataFrame:

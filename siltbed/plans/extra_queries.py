@@ -67,7 +67,7 @@ def resampled_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("enough", F.lit(True))
 
 
-@query(f"""WITH {MEANS}, m AS (SELECT cluster, feature, mean - avg(mean) OVER (PARTITION BY feature) AS centroid FROM means), t AS (SELECT cell, sum(value) AS s FROM counts GROUP BY cell), norm AS (SELECT cell, feature, ln(1 + 10000 * value / s) AS value FROM counts JOIN t USING (cell)),
+@query(f"""WITH {MEANS}, z AS (SELECT g.cluster, f.feature, coalesce(mean, 0) AS mean FROM (SELECT DISTINCT cluster FROM means) g CROSS JOIN (SELECT DISTINCT feature FROM means) f LEFT JOIN means ON means.cluster = g.cluster AND means.feature = f.feature), m AS (SELECT cluster, feature, mean - avg(mean) OVER (PARTITION BY feature) AS centroid FROM z), t AS (SELECT cell, sum(value) AS s FROM counts GROUP BY cell), norm AS (SELECT cell, feature, ln(1 + 10000 * value / s) AS value FROM counts JOIN t USING (cell)),
 d AS (SELECT c.cell, m.cluster, m.centroid AS y, coalesce(n.value, 0) AS x FROM (SELECT DISTINCT cell FROM norm) c CROSS JOIN m LEFT JOIN norm n ON n.cell = c.cell AND n.feature = m.feature)
 SELECT cell, cluster, round(corr(x, y), 5) AS score FROM d GROUP BY cell, cluster""")
 def gene_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
