@@ -6,7 +6,7 @@ originals never meet in one surrogate, and the same original gets the same surro
 Cards that pass the Luhn check get surrogates that do. Names behind a title are replaced by a name of the title's gender
 in the name's script and case from a keyed choice, which is no bijection; so the distinct originals of the whole corpus
 are grouped by surrogate, and where two meet (or one is its own surrogate) the later ones are rekeyed by a counter until
-none do.
+none do. Each rekeying adds a syllable to the name, so that the names to choose from outgrow those that meet.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import fresh, schema_plus, stored
+from siltbed.llm.common import delete_stored, fresh, schema_plus, stored
 
 KEY = b"replace this key in production"
-#: Most rekeyed originals that are sent to the tasks; the names are drawn from a far larger set, so there are few.
-MAX_REKEYED = 1_000_000
+#: Most bytes of rekeyed originals that are broadcast, and what one takes in a dict besides its text; more are joined.
+REKEYED_BYTES = 32 << 20
+ENTRY_BYTES = 250
 
 _PATTERNS = (
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    ("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \")|(?<=token: \")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))[A-Za-z0-9+/_-]{8,256}"),
+    ("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \")|(?<=token: \")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,256}"),
     ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -49,6 +50,9 @@ MALE = frozenset({"Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господ
 TITLES = tuple(sorted(FEMALE | MALE | {"Dr"}))
 _LATIN = (("Bel", "Cor", "Dan", "El", "Fer", "Gar", "Hal", "Jor", "Kel", "Lor", "Mar", "Nor", "Ol", "Per", "Ros", "Sel", "Tor", "Val", "Wil", "Yor"), ("an", "en", "in", "on", "el", "ar", "or", "ir", "ul", "am"), {"f": ("a", "ia", "ette", "ina"), "m": ("o", "us", "ard", "ic"), "n": ("is", "y", "e", "ael")}, ("son", "field", "ham", "ley", "mann", "worth", "by", "ton", "berg", "court"))
 _CYRILLIC = (("Бел", "Вол", "Гор", "Дан", "Зор", "Кор", "Лад", "Мир", "Нов", "Сав"), ("ан", "ен", "ин", "ол", "ар", "ор"), {"f": ("а", "ия", "ина"), "m": ("ик", "ен", "ор"), "n": ("ай", "ей")}, ("ов", "ин", "ский", "енко"))
+#: Consonants and vowels of the syllables that rekeying adds, Latin and Cyrillic; so many of them that NAME still finds the name.
+_ADDED = (("bdfgklmnprstv", "aeiou"), ("бвгдзклмнпрст", "аеиоу"))
+MOST_ADDED = 9
 
 
 @lru_cache(1 << 16)
@@ -115,8 +119,8 @@ def surrogate(kind: str, text: str, key: bytes = KEY, again: int = 0) -> str:
     tweak = kind if not again else f"{kind}#{again}"
     if kind == "email":
         local, _, domain = text.partition("@")
-        *labels, top = domain.lower().split(".")
-        return same_format(local, key, tweak) + "@" + ".".join([*(same_format(x, key, f"{tweak}|domain") for x in labels), top])
+        *labels, top = domain.split(".")
+        return same_format(local, key, tweak) + "@" + ".".join([*(_cased(same_format(x.lower(), key, f"{tweak}|domain"), x) for x in labels), top])
     if kind == "ip":
         return str(ipaddress.IPv4Address(permuted(int(ipaddress.IPv4Address(text)), 1 << 32, key, tweak)))
     if kind == "aws_key":
@@ -136,21 +140,27 @@ def surrogate(kind: str, text: str, key: bytes = KEY, again: int = 0) -> str:
         country = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)[0]
         return country + same_format(text[len(country) :], key, f"{tweak}|{country}")
     if kind == "name":
-        return _name(text, key, tweak)
+        return _name(text, key, tweak, min(again, MOST_ADDED))
     return same_format(text, key, tweak)
 
 
-def _name(text: str, key: bytes, tweak: str) -> str:
-    """Title and as many names as before: the title's gender, the name's script, its case."""
+def _cased(made: str, like: str) -> str:
+    """Domains in another case are the same domain; each spelling has its own, so that no two originals meet."""
+    return "".join(m.upper() if c.isupper() else m for m, c in zip(made, like))
+
+
+def _name(text: str, key: bytes, tweak: str, added: int) -> str:
+    """Title and as many names as before, with added syllables: the title's gender, the name's script, its case."""
     title, *names = text.split(" ")
     bare = title.rstrip(".")
     gender = "f" if bare in FEMALE else "m" if bare in MALE else "n"
-    first, middle, ends, last = _CYRILLIC if re.search("[а-яА-Я]", names[0]) else _LATIN
+    cyrillic = bool(re.search("[а-яА-Я]", names[0]))
+    first, middle, ends, last = _CYRILLIC if cyrillic else _LATIN
     out = [title]
     for k, name in enumerate(names):
         n = _mac(key, f"{tweak}|{gender}|{k}|{len(names)}|{name.casefold()}")
         picks = []
-        for choices in (first, middle, middle, ends[gender] if k + 1 < len(names) else last):
+        for choices in (first, middle, middle, *_ADDED[cyrillic] * added, ends[gender] if k + 1 < len(names) else last):
             n, r = divmod(n, len(choices))
             picks.append(choices[r])
         made = "".join(picks)
@@ -202,33 +212,39 @@ def originals(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "type string, original string").distinct()
 
 
-def rekeyed(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
-    """How often originals must be rekeyed so that no two of a type share a surrogate and none is its own.
+def rekeyings(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(type, original, again) of the originals that must be rekeyed so that no two of a type share a surrogate and none is its own.
 
     found holds distinct (type, original). Each round groups all of them by surrogate; the first by code points keeps its
-    surrogate, the others go up by one. Ends when a round finds nobody; only rekeyed originals come to the driver.
+    surrogate, the others go up by one. Ends when a round finds nobody; the states are tables, nothing comes to the driver.
     """
-    spark = found.sparkSession
-    times: dict[tuple[str, str], int] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, texts, again, old = (c.to_pylist() for c in batch.columns)
+            made = [o if o is not None else surrogate(k, t, key, n) for k, t, n, o in zip(kinds, texts, again, old)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())], ["type", "original", "again", "made"])
+
+    def state(rows: DataFrame) -> DataFrame:
+        return stored(rows.mapInArrow(run, "type string, original string, again int, made string"), "surrogates")
+
+    now = state(found.select("type", "original", F.lit(0).alias("again"), F.lit(None).cast("string").alias("made")))
     while True:
-        shared = spark.sparkContext.broadcast(dict(times))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                made = [surrogate(k, t, key, shared.value.get((k, t), 0)) for k, t in zip(kinds, texts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["type", "original", "made"])
-
-        made = found.mapInArrow(run, "type string, original string, made string")
-        first = made.groupBy("type", "made").agg(F.min("original").alias("first"), F.count("*").alias("n"))
-        met = made.join(first.where("n > 1"), ["type", "made"]).where("original <> first").select("type", "original")
-        again = met.union(made.where("original = made").select("type", "original")).distinct().limit(MAX_REKEYED + 1).collect()
-        if len(again) + len(times) > MAX_REKEYED:
-            raise ValueError(f"over {MAX_REKEYED} originals share surrogates: choose another key")
-        if not again:
-            return times
-        for r in again:
-            times[r["type"], r["original"]] = times.get((r["type"], r["original"]), 0) + 1
+        first = now.groupBy("type", "made").agg(F.min("original").alias("first"), F.count("*").alias("n"))
+        met = now.join(first.where("n > 1"), ["type", "made"]).where("original <> first").select("type", "original")
+        met = stored(met.union(now.where("original = made").select("type", "original")).distinct(), "rekeyed")
+        if not met.take(1):
+            return now.where("again > 0").select("type", "original", "again")
+        more = now.join(met.withColumn("more", F.lit(1)), ["type", "original"], "left")
+        after = state(more.select("type", "original", (F.col("again") + F.coalesce("more", F.lit(0))).alias("again"), F.when(F.col("more").isNull(), F.col("made")).alias("made")))
+        for old in (now, met):
+            delete_stored(old)
+        now = after
+
+
+def rekeyed(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
+    """rekeyings() as a dict."""
+    return {(r["type"], r["original"]): r["again"] for r in rekeyings(found, key).collect()}
 
 
 def replaced(text: str | None, make: Callable[[str, str], str]) -> tuple[str | None, list[str]]:
@@ -251,18 +267,38 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """
     n, kinds = fresh(docs, "n_entities"), fresh(docs, "entity_types")
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    times = rekeyed(stored(originals(docs), "originals"), key)
-    shared = docs.sparkSession.sparkContext.broadcast(times)
-    at = docs.columns.index("text")
+    times = rekeyings(stored(originals(docs), "originals"), key)
+    names = docs.columns
+    at, schema = names.index("text"), schema_plus(docs, {n: "long", kinds: "array<string>"})
+    few = times.agg(F.coalesce(F.sum(F.octet_length("original") + ENTRY_BYTES), F.lit(0))).first()[0] <= REKEYED_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast({(r["type"], r["original"]): r["again"] for r in times.collect()} if few else {})
+    if not few:
+        docs = _with_rekeyings(docs, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again = shared.value
-        make = lru_cache(1 << 16)(lambda kind, text: surrogate(kind, text, key, again.get((kind, text), 0)))
+        known = shared.value
+        make = lru_cache(1 << 16)(lambda kind, text, again: surrogate(kind, text, key, again))
         for batch in batches:
-            got = [replaced(t, make) for t in batch.column(at).to_pylist()]
-            columns = batch.columns
+            columns = batch.columns[: len(names)]
+            own = [{(x["type"], x["original"]): x["again"] for x in r or ()} for r in batch.column(len(names)).to_pylist()] if not few else [known] * batch.num_rows
+            got = [replaced(t, lambda kind, text, again=again: make(kind, text, again.get((kind, text), 0))) for t, again in zip(columns[at].to_pylist(), own)]
             columns[at] = pa.array([g[0] for g in got], pa.string())
             new = [pa.array([len(g[1]) for g in got], pa.int64()), pa.array([sorted(set(g[1])) for g in got], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, *new], names=[*batch.schema.names, n, kinds])
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=[*names, n, kinds])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _with_rekeyings(docs: DataFrame, times: DataFrame) -> DataFrame:
+    """docs with the rekeyings of each text's own originals in a last column, joined by a digest of the text."""
+    digest, own = fresh(docs, "digest"), fresh(docs, "rekeyings")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted({(d, kind, t[a:b]) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, kind in entities(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], ["d", "type", "original"])
 
-    return docs.mapInArrow(run, schema_plus(docs, {n: "long", kinds: "array<string>"}))
+    held = docs.select(F.sha2("text", 256), "text").mapInArrow(run, "d string, type string, original string").distinct()
+    held = held.join(times, ["type", "original"]).groupBy("d").agg(F.collect_list(F.struct("type", "original", "again")).alias(own))
+    rows = docs.withColumn(digest, F.sha2("text", 256))
+    return rows.join(held, F.col(digest) == F.col("d"), "left").select(*docs.columns, own)

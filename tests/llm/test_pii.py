@@ -86,3 +86,31 @@ def test_meeting_surrogates_are_rekeyed(spark):
     for made in set(first):
         one = min(n for n, f in zip(names, first) if f == made)
         assert ("name", one) not in times or last[one] != made
+
+
+def test_more_names_than_plain_surrogates(spark):
+    names = [f"господин {a}{b}{c}{d}" for a in "АБВГДЕЖЗ" for b in "аеиоу" for c in "лмнрст" for d in "абвгдежз"]
+    plain = 10 * 6 * 6 * 4
+    assert len(names) > plain
+    assert len({P.surrogate("name", n, P.KEY, 1) for n in names}) > plain  # else the rounds never end
+    found = spark.createDataFrame([("name", n) for n in names], "type string, original string")
+    times = P.rekeyed(found)
+    made = {n: P.surrogate("name", n, P.KEY, times.get(("name", n), 0)) for n in names}
+    assert len(set(made.values())) == len(names) and all(a != b for a, b in made.items())
+    longest = P.surrogate("name", "Mr. Jo Smith", P.KEY, 1000)
+    assert [(a, b) for a, b, _ in P.entities(longest)] == [(0, len(longest))]
+
+
+def test_joined_rekeyings_equal_broadcast_ones(spark, monkeypatch):
+    names = [f"Mr. {a}{b}{c}{d}" for a in "ABCDEFGH" for b in "aeiou" for c in "lmnr" for d in "aeios"]
+    rows = [(k, f"{n} met {names[-k]} at 10.0.0.1.") for k, n in enumerate(names)] + [(0, None), (0, ""), (1, f"{names[1]} met {names[-1]} at 10.0.0.1.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, P.pseudonymise(docs).collect()))
+    monkeypatch.setattr(P, "REKEYED_BYTES", -1)
+    assert sorted(map(repr, P.pseudonymise(docs).collect())) == want
+
+
+def test_every_original_can_get_a_surrogate():
+    assert list(P.entities("password=--------")) == []  # nothing in it can be replaced, so rekeying it never ends
+    mails = ["a@B.org", "a@b.org", "a@b.ORG"]
+    assert len({P.surrogate("email", m) for m in mails}) == 3
