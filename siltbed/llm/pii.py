@@ -29,14 +29,28 @@ KEY = b"replace this key in production"
 REKEYED_BYTES = 32 << 20
 ENTRY_BYTES = 250
 
+_PHONES = (
+    # international: a plus and 7 to 15 digits, grouped anyhow or not at all; a decimal number with a sign is none
+    r"(?<![\w+])\+(?!\d+\.\d+(?![\d.()-]| \d))[1-9](?:[ .()-]{0,2}\d){6,14}(?!\d)",
+    # ten digits: 3, 3 and 4, the last two together or not
+    r"(?<!\w)\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    r"(?<![\w.+-])\d{3}[ .-]\d{3} ?\d{4}(?![\w-])",
+    # a trunk zero: area code and one long number, area code and two groups, or pairs
+    r"(?<![\w.,+/-])(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{5,8}(?![\w/-])",
+    r"(?<![\w.,+/-])(?:\(0\d{2,4}\) ?|0\d{2,4} )\d{3,4} \d{3,4}(?![\w/-])",
+    r"(?<![\w.,+/-])0\d(?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![\w/-])",
+    # digits without any separator, behind a word that tells what they are
+    r"(?:(?<=[Cc]all )|(?<=[Tt]el )|(?<=[Tt]el: )|(?<=[Tt]el\. )|(?<=[Pp]hone )|(?<=[Pp]hone: )|(?<=[Mm]obile )|(?<=[Mm]obile: )|(?<=[Ff]ax )|(?<=[Ff]ax: ))\d{7,12}(?![\w-])",
+)
 _PATTERNS = (
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    ("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \")|(?<=token: \")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,256}"),
+    ("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \")|(?<=token: \")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}"),
     ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
+    ("phone", "|".join(_PHONES)),
     ("card", r"(?<![\w.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])"),
     ("name", r"(?<!\w)(?:Mr\.?|Mrs\.?|Ms\.?|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme\.?|Señor|Señora|Sr\.|Sra\.|Dr\.|господин|госпожа) [^\W\d_a-zа-яß-ÿ][^\W\d_]{1,30}(?: [^\W\d_a-zа-яß-ÿ][^\W\d_]{1,30})?"),
 )
@@ -45,6 +59,10 @@ NAME = re.compile(dict(_PATTERNS)["name"])
 #: Every entity but a name holds one of these or follows one on its line, and begins and ends near it.
 SIGN = re.compile(r"[0-9@=\"]+|A[KS]IA")
 BEFORE, AFTER = 80, 400
+#: What follows a stretch's end within the same token; tokens have no greatest length.
+REST = re.compile(r"[A-Za-z0-9+/_.@-]*")
+#: Characters that are permuted at once; a longer text's next ones are keyed by those before them too.
+CHUNK = 1024
 FEMALE = frozenset({"Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"})
 MALE = frozenset({"Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"})
 TITLES = tuple(sorted(FEMALE | MALE | {"Dr"}))
@@ -92,6 +110,13 @@ def same_format(text: str, key: bytes, tweak: str, hexadecimal: bool = False) ->
     kinds = _CLASSES
     if hexadecimal:
         kinds = next(((k,) for k in _HEX if all(c in k[0] for c in text)), _CLASSES)
+    if len(text) > CHUNK:
+        cuts = range(0, len(text), CHUNK)
+        return "".join(_permuted_text(text[k : k + CHUNK], kinds, key, f"{tweak}|{len(text)}|{_mac(key, text[:k])}" if k else tweak) for k in cuts)
+    return _permuted_text(text, kinds, key, tweak)
+
+
+def _permuted_text(text: str, kinds: tuple[tuple[frozenset[str], str], ...], key: bytes, tweak: str) -> str:
     slots = [(i, next((a for s, a in kinds if c in s), None)) for i, c in enumerate(text)]
     slots = [(i, a) for i, a in slots if a]
     x, size = 0, 1
@@ -191,8 +216,11 @@ def _near_signs(text: str) -> Iterator[tuple[int, int]]:
         low = cut + 1 if cut >= 0 else max(0, p - BEFORE)
         cut = text.find("\n", q, q + AFTER)
         high = cut if cut >= 0 else min(len(text), q + AFTER)
+        if high <= b:
+            continue
+        high = REST.match(text, high).end()
         if low <= b:
-            b = max(b, high)
+            b = high
         else:
             if b >= 0:
                 yield a, b

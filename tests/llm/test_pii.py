@@ -114,3 +114,33 @@ def test_every_original_can_get_a_surrogate():
     assert list(P.entities("password=--------")) == []  # nothing in it can be replaced, so rekeying it never ends
     mails = ["a@B.org", "a@b.org", "a@b.ORG"]
     assert len({P.surrogate("email", m) for m in mails}) == 3
+
+
+PHONES = ["+14155552671", "+33612345678", "+1 415 5552671", "+49 30 1234567", "+4915112345678", "+49 (0)30 1234567", "+44 20 7946 0958", "415 555 2671", "415-555-2671", "(415) 5552671", "030 1234567", "0171/1234567", "020 7946 0958", "06 12 34 56 78"]
+
+
+@pytest.mark.parametrize("text", PHONES)
+def test_phones_however_grouped(text):
+    for around in (f"call {text} now", f"({text}).", text):
+        assert [(around[a:b].lstrip("("), k) for a, b, k in P.entities(around)] == [(text.lstrip("("), "phone")]
+    made = P.surrogate("phone", text)
+    assert made != text and re.sub(r"\d", "9", made) == re.sub(r"\d", "9", text)
+
+
+def test_bare_phones_behind_a_word_and_numbers_that_are_none():
+    assert [k for *_, k in P.entities("Tel: 4155552671, mobile 15112345678")] == ["phone", "phone"]
+    for text in ("+3.1415926 is pi", "on 05/2024 and 01.02.2024 12:30", "0.1234567", "rows 100 200 300", "10,000,000", "id 4155552671", "2024-01-02"):
+        assert list(P.entities(text)) == [], text
+
+
+def test_secrets_are_replaced_to_their_end():
+    random.seed(3)
+    for n in (256, 400, 5_000, 40_000):
+        for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFG", "0123456789abcdefXYZ"):
+            secret = "".join(random.choice(letters) for _ in range(n))
+            text = f"x 1 token={secret} end"
+            assert [(text[a:b], k) for a, b, k in P.entities(text)] == [(secret, "secret")]
+            made = P.surrogate("secret", secret)
+            assert len(made) == n and all(made[k : k + 64] != secret[k : k + 64] for k in range(0, n, 64))
+    same = "Aq1" * 600
+    assert P.surrogate("secret", same + "aa") != P.surrogate("secret", same + "ab")
