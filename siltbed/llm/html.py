@@ -4,11 +4,13 @@ A page is read as a stream of tags and text. Text in an <article> (or <main>, or
 declared main text. Elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 reader comments by their tag, role, class or id are declared boilerplate. What is left, text outside both, is open.
 
-For the open text, the token streams of a host's pages outside their main text are taken together, and a suffix array
+For the open text, the token streams of a host's pages outside their main text, each over all blocks of its page, are
+taken together, and a suffix array
 cut at REPEAT tokens is made of them: every suffix is keyed by host and its first REPEAT tokens, so suffixes that share
 them meet in one group, and a group with two different pages is a substring that repeats. The maximal repeats are unions
-of such windows, so a token is covered by a repeat of REPEAT or more tokens just if one of its windows repeats. Covered
-open tokens are boilerplate and go; unique runs stay. Groups are aggregated to two page keys before the shuffle, however
+of such windows, so a token is covered by a repeat of REPEAT or more tokens just if one of its windows repeats. An open
+block that is covered whole goes, so a run of short blocks does; of other open blocks, tokens that repeats within the
+block cover go, and unique runs stay. Groups are aggregated to two page keys before the shuffle, however
 hot a host; equal pages count once, so copies of a page don't make its text boilerplate.
 
 The declared main text is not cut by repeats: articles hold passages that other articles of the host hold too, and whole
@@ -72,8 +74,13 @@ def _declared(tag: str, attributes: str) -> str:
 
 def parse(page: str | None) -> tuple[str, list[tuple[str, bool]]]:
     """The declared main text, and the blocks outside it: (text, whether they are declared boilerplate), in page order."""
-    main: list[str] = []
-    others: list[tuple[str, bool]] = []
+    found = blocks_of(page)
+    return " ".join(t for t, s in found if s == "main"), [(t, s == "dropped") for t, s in found if s != "main"]
+
+
+def blocks_of(page: str | None) -> list[tuple[str, str]]:
+    """The blocks of a page in its order: (text, main, dropped or open)."""
+    found: list[tuple[str, str]] = []
     block: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements with what holds inside them
     state, at, page = "open", 0, page or ""
@@ -82,7 +89,7 @@ def parse(page: str | None) -> tuple[str, list[tuple[str, bool]]]:
         text = " ".join(html.unescape("".join(block)).split())
         block.clear()
         if text:
-            main.append(text) if state == "main" else others.append((text, state == "dropped"))
+            found.append((text, state))
 
     end = len(page)
     while at < end:
@@ -130,7 +137,25 @@ def parse(page: str | None) -> tuple[str, list[tuple[str, bool]]]:
         stack.append((tag, inside))
         state = inside
     close()
-    return " ".join(main), others
+    return found
+
+
+def undecided(found: list[tuple[str, str]]) -> bool:
+    """Whether repeats on the host decide over blocks of a page: over the open ones, if it declares no main text."""
+    states = {s for _, s in found}
+    return "open" in states and "main" not in states
+
+
+def outside(found: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
+    """The tokens of the blocks outside the main text, and the number of each token's block."""
+    tokens: list[str] = []
+    numbers: list[int] = []
+    for i, (text, state) in enumerate(found):
+        if state != "main":
+            own = text.split()
+            tokens += own
+            numbers += [i] * len(own)
+    return tokens, numbers
 
 
 def windows(tokens: list[str], host: str) -> np.ndarray:
@@ -145,35 +170,43 @@ def page_key(page: str | None) -> int:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, page, open): window keys of the blocks outside the main text, open if they can be result; and a row without k for
-    each page whose result comes from its open blocks."""
+    """(k, page, open): window keys of the tokens outside the main text, open if one can be result; and a row without k for
+    each page with undecided blocks."""
     for batch in batches:
         keys: list[int | None] = []
         owners: list[int] = []
         opens: list[bool] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            main, others = parse(page)
+            blocks = blocks_of(page)
             own, found = page_key(page), {}
-            for text, dropped in others:
-                undecided = not main and not dropped
-                for k in windows(text.split(), host).tolist():
-                    found[k] = found.get(k, False) or undecided
-                if undecided:
-                    found[None] = True
+            tokens, numbers = outside(blocks)
+            todo = undecided(blocks)
+            for at, k in enumerate(windows(tokens, host).tolist()):
+                found[k] = found.get(k, False) or (todo and any(blocks[i][1] == "open" for i in numbers[at : at + REPEAT]))
+            if todo:
+                found[None] = True
             keys += found
             owners += [own] * len(found)
             opens += found.values()
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64()), pa.array(opens, pa.bool_())], ["k", "page", "open"])
 
 
-def uncovered(text: str, host: str, repeats: frozenset[int]) -> str:
-    """The tokens of a block that are in no repeated window."""
-    tokens = text.split()
-    keep = [True] * len(tokens)
+def decided(blocks: list[tuple[str, str]], host: str, repeats: frozenset[int]) -> str:
+    """The main and open blocks of a page, without open blocks that repeated windows cover whole, and without the tokens of
+    other open blocks that such windows within the block cover."""
+    tokens, numbers = outside(blocks)
+    covered, within = [False] * len(tokens), [False] * len(tokens)
     for at, k in enumerate(windows(tokens, host).tolist()):
         if k in repeats:
-            keep[at : at + REPEAT] = [False] * REPEAT
-    return " ".join(t for t, k in zip(tokens, keep) if k)
+            covered[at : at + REPEAT] = [True] * REPEAT
+            if numbers[at] == numbers[at + REPEAT - 1]:
+                within[at : at + REPEAT] = [True] * REPEAT
+    left: dict[int, list[str]] = {}
+    stays = {i for i, c in zip(numbers, covered) if not c}
+    for token, i, w in zip(tokens, numbers, within):
+        if i in stays and not w:
+            left.setdefault(i, []).append(token)
+    return " ".join(filter(None, (t if s == "main" else " ".join(left.get(i, ())) if s == "open" else "" for i, (t, s) in enumerate(blocks))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -196,19 +229,19 @@ def extract(pages: DataFrame) -> DataFrame:
     keep = [i for i in range(len(rows.columns)) if i not in (at, host_at)]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finished texts, or the open blocks with the page's key."""
+        """Finished texts, or the blocks with the page's key."""
         for batch in batches:
             out, keys, blocks = [], [], []
             for page in batch.column(at).to_pylist():
-                main, others = parse(page)
-                todo = [] if main else [t for t, dropped in others if not dropped]
-                out.append(main)
-                blocks.append(todo)
+                found = blocks_of(page)
+                todo = undecided(found)
+                out.append(" ".join(t for t, s in found if s == "main"))
+                blocks.append([{"block": t, "state": s} for t, s in found] if todo else [])
                 keys.append(page_key(page) if todo else None)
-            new = [pa.array(out, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.list_(pa.string()))]
+            new = [pa.array(out, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.list_(pa.struct([("block", pa.string()), ("state", pa.string())])))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), batch.column(host_at), *new], names=[*(batch.schema.names[i] for i in keep), h, text, own, "_blocks"])
 
-    parsed = rows.mapInArrow(first, schema_plus(rows, {h: "string", text: "string", own: "long", "_blocks": "array<string>"}, without=("html", h)))
+    parsed = rows.mapInArrow(first, schema_plus(rows, {h: "string", text: "string", own: "long", "_blocks": "array<struct<block:string,state:string>>"}, without=("html", h)))
     done = parsed.where(F.col(own).isNull()).drop(h, own, "_blocks")
     if not streams.where("k is null").take(1):  # every page declares its main text, or has no open text
         return done.withColumn(n, F.length(text).cast("long"))
@@ -221,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for name, blocks, repeats in zip(*(batch.column(i).to_pylist() for i in (i_host, i_blocks, i_got))):
                 known = frozenset(repeats or ())
-                texts.append(" ".join(filter(None, (uncovered(b, name, known) for b in blocks))))
+                texts.append(decided([(b["block"], b["state"]) for b in blocks], name, known))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in last), pa.array(texts, pa.string())], names=[*(batch.schema.names[i] for i in last), text])
 
     filled = rest.mapInArrow(second, schema_plus(rest, {text: "string"}, without=(h, text, own, "_blocks", got)))

@@ -73,3 +73,10 @@ def test_edges(spark):
     got = H.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 9), (3, 9), (4, 199_999)]
     assert H.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_runs_of_short_blocks_are_repeats(spark):
+    menu = "<div>Home</div><div>Contact us</div><div>Log in</div><div>Help</div>"
+    pages = [(k, "http://a.org/x", f"{menu}<div>Story number {k} is told {k} here</div><div>Home {k}</div>") for k in range(4)]
+    got = sorted(H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    assert [r.text for r in got] == [f"Story number {k} is told {k} here Home {k}" for k in range(4)]
