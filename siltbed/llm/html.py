@@ -2,7 +2,9 @@
 
 A page is read as a stream of tags and text. Text in an <article> (or <main>, or an element of that role) is the page's
 declared main text. Elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments by their tag, role, class or id are declared boilerplate. What is left, text outside both, is open.
+reader comments by their tag, role, class or id are declared boilerplate; within the main text a class or id declares it
+only if a whole name does (cookie-notice, but not related-work), else it leaves the element open. What is left, text
+outside both, is open, on pages with and without a main text.
 
 For the open text, the token streams of a host's pages outside their main text, each over all blocks of its page, are
 taken together, and a suffix array
@@ -41,8 +43,8 @@ RAW = frozenset({"script", "style", "textarea", "title", "xmp", "iframe", "noemb
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset({"article", "main"})
 #: Boilerplate by tag. A header or footer within the main text counts too.
-DROPPED = frozenset("nav header footer aside form script style head title template noscript iframe object svg canvas math button select option textarea label input dialog menu audio video noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("nav header footer aside form script style head title template noscript iframe object svg button select option textarea input dialog menu audio video noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words in a class, an id or a role that declare boilerplate.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
@@ -53,25 +55,37 @@ DROPPED_NAMES = frozenset(
 #: Elements that hold the page, and beginnings of names that tell of what is around: neither is boilerplate by its names.
 HOLDERS = frozenset({"html", "body", "article", "main"})
 AROUND = frozenset({"has", "with", "without", "no"})
+#: Their ids are targets of links, not names of what they are.
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _declared(tag: str, attributes: str) -> str:
-    """main, dropped or open: what an element's own tag says."""
+def _declared(tag: str, attributes: str, within: bool) -> str:
+    """main, dropped, open, or (within main text) doubtful: what an element's own tag says."""
     if tag in DROPPED:
         return "dropped"
     if attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         if found.get("role", "").lower() in ("main", "article"):
             return "main"
-        named = [re.split(r"[^a-z]+", w) for k in ("class", "id", "role") for w in found.get(k, "").lower().split()]
+        kinds = ("class", "role") if within and tag in HEADINGS else ("class", "id", "role")
+        named = [[x for x in re.split(r"[^a-z]+", w) if x] or [""] for k in kinds for w in found.get(k, "").lower().split()]
         names = {w for parts in named if parts[0] not in AROUND for w in parts}
         comment = tag == "article" and names & {"comment", "comments"}
-        if comment or (names & DROPPED_NAMES and tag not in HOLDERS) or HIDDEN.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
+        whole = not within or any(parts[0] not in AROUND and DROPPED_NAMES.issuperset(parts) for parts in named)
+        by_name = names & DROPPED_NAMES and tag not in HOLDERS
+        if comment or (by_name and whole) or HIDDEN.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
             return "dropped"
+        if by_name:
+            return "doubtful"
     return "main" if tag in MAIN else "open"
 
 
+def _inside(says: str, state: str) -> str:
+    """What holds inside an element in a place of some state."""
+    return next((s for s in ("dropped", "doubtful", "main") if s in (says, state)), "open")
+
+
 def parse(page: str | None) -> tuple[str, list[tuple[str, bool]]]:
     """The declared main text, and the blocks outside it: (text, whether they are declared boilerplate), in page order."""
     found = blocks_of(page)
@@ -89,7 +103,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         text = " ".join(html.unescape("".join(block)).split())
         block.clear()
         if text:
-            found.append((text, state))
+            found.append((text, "open" if state == "doubtful" else state))
 
     end = len(page)
     while at < end:
@@ -115,8 +129,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
                 if tag not in INLINE:
                     close()
             continue
-        says = _declared(tag, m[3])
-        inside = "dropped" if "dropped" in (says, state) else "main" if "main" in (says, state) else "open"
+        says = _declared(tag, m[3], state in ("main", "doubtful"))
+        inside = _inside(says, state)
         if tag not in INLINE or inside != state:
             close()
         if tag in VOID or m[3].endswith("/"):
@@ -130,7 +144,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
                 if stack[k][0] == tag:
                     if all(t in INLINE or t == tag for t, _ in stack[k:]):
                         del stack[k:]
-                        inside = "dropped" if "dropped" in (says, s := stack[-1][1] if stack else "open") else "main" if "main" in (says, s) else "open"
+                        inside = _inside(says, stack[-1][1] if stack else "open")
                     break
                 if stack[k][0] not in INLINE:
                     break
@@ -141,9 +155,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
 
 
 def undecided(found: list[tuple[str, str]]) -> bool:
-    """Whether repeats on the host decide over blocks of a page: over the open ones, if it declares no main text."""
-    states = {s for _, s in found}
-    return "open" in states and "main" not in states
+    """Whether repeats on the host decide over blocks of a page: over the open ones."""
+    return any(s == "open" for _, s in found)
 
 
 def outside(found: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
@@ -212,8 +225,7 @@ def decided(blocks: list[tuple[str, str]], host: str, repeats: frozenset[int]) -
 def extract(pages: DataFrame) -> DataFrame:
     """pages without html, with text and n_chars (code points).
 
-    The text is the declared main text; for a page that declares none, its open blocks without tokens that repeat on
-    other pages of the host. A null or empty html gives an empty text; a null url is a host of its own, the empty one.
+    The text is the declared main text and the open blocks without tokens that repeat on other pages of the host. A null or empty html gives an empty text; a null url is a host of its own, the empty one.
     Character references are decoded, white space within a block becomes one space, and blocks join in page order by one
     space. Each row gives one row; repeated rows give equal rows; an empty table gives none; clashing names get a leading _.
     """
@@ -243,7 +255,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     parsed = rows.mapInArrow(first, schema_plus(rows, {h: "string", text: "string", own: "long", "_blocks": "array<struct<block:string,state:string>>"}, without=("html", h)))
     done = parsed.where(F.col(own).isNull()).drop(h, own, "_blocks")
-    if not streams.where("k is null").take(1):  # every page declares its main text, or has no open text
+    if not streams.where("k is null").take(1):  # no page has open text
         return done.withColumn(n, F.length(text).cast("long"))
     rest = parsed.where(F.col(own).isNotNull()).join(covered.withColumnRenamed("repeats", got), F.col(own) == F.col("page"), "left").drop("page")
     i_host, i_text, i_blocks, i_got = (rest.columns.index(c) for c in (h, text, "_blocks", got))

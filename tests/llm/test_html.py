@@ -80,3 +80,18 @@ def test_runs_of_short_blocks_are_repeats(spark):
     pages = [(k, "http://a.org/x", f"{menu}<div>Story number {k} is told {k} here</div><div>Home {k}</div>") for k in range(4)]
     got = sorted(H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
     assert [r.text for r in got] == [f"Story number {k} is told {k} here Home {k}" for k in range(4)]
+
+
+def test_open_text_beside_an_article_stays_unless_repeated(spark):
+    foot = "<div>This very long line is on all pages</div>"
+    pages = [(k, "http://a.org/x", f"<article>Teaser {k}</article><div id=content>Body {k} of the {k} th page {k}</div>{foot}<article>End {k}</article>") for k in range(3)]
+    got = sorted(H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    assert [r.text for r in got] == [f"Teaser {k} Body {k} of the {k} th page {k} End {k}" for k in range(3)]
+
+
+def test_names_within_an_article_need_to_be_whole_or_repeated(spark):
+    parts = '<section id="related-work"><h3>Work {k}</h3>of others</section><h2 id="search">Search {k}</h2><div class="social-history">Past {k}</div>'
+    parts += "<p>If <math><mi>x</mi></math> is <label>so</label> <canvas>drawn</canvas></p>"
+    pages = [(k, "http://a.org/x", "<article>" + parts.replace("{k}", str(k)) + '<div class="share-buttons">Tell all of your friends now</div><div class="cookie-notice">no</div></article>') for k in range(3)]
+    got = sorted(H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    assert [r.text for r in got] == [f"Work {k} of others Search {k} Past {k} If x is so drawn" for k in range(3)]
