@@ -6,9 +6,10 @@ a window is hit.
 
 Each task turns its documents into shards of token ids. Words that no item has become separators, and a suffix counts
 only if it starts a run of item words as long as the shortest window: no other suffix can hold a match, so the suffix
-array of a shard stays small and whole. The suffixes are sorted by their first WINDOW tokens; every window of the test
-suffixes is found by binary search (the range of suffixes that it prefixes), neighbouring matches on one diagonal join
-into the longest verbatim matches, and these give spans, items and hit words. Documents go through without a shuffle.
+array of a shard stays small and whole. The suffixes are sorted by their first WINDOW tokens; every window of the items
+is found by binary search (the range of suffixes that it prefixes). Positions in the items are not kept: matches that
+overlap or touch in a document join into one span, whichever items they come from, so a span is a stretch of hit words
+and not always one verbatim match. Spans give the hit words. Documents go through without a shuffle.
 
 Benchmark items are the stated query set; they are read to the driver in blocks of BLOCK_BYTES, so that a benchmark of
 any size passes, block after block, over the same rows.
@@ -138,7 +139,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (word positions [from, to) of the longest matches, merged) and item_ids (sorted as strings).
+    """docs with n_words, hit_spans (word positions [from, to) of matched windows, touching ones merged over all items) and item_ids (sorted as strings).
 
     Every row of docs gives one row; null and empty texts have no words; repeated rows get equal values; an empty
     benchmark hits nothing; other columns of docs stay, and the new ones get a leading _ where names clash.
