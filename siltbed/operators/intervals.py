@@ -65,10 +65,17 @@ def islands(spans: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
     return numbered.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
 
 
-def coverage(spans: DataFrame, width: int, read: Sequence[str] = ("read",)) -> DataFrame:
-    """(chr, bin, value): reads that touch each bin; a read of several blocks adds 1 to a bin."""
-    touched = spans.select("chr", *read, F.explode(bins(F.col("start"), F.col("end"), width)).alias("bin")).distinct()
-    return touched.groupBy("chr", "bin").agg(F.count("*").alias("value"))
+def coverage(spans: DataFrame, width: int) -> DataFrame:
+    """(chr, bin, value): reads that touch each bin. spans has a row for each read: chr, start, end.
+
+    Reads of several blocks: block_coverage, which counts a read once in a bin without a shuffle of (read, bin)."""
+    return spans.select("chr", F.explode(bins(F.col("start"), F.col("end"), width)).alias("bin")).groupBy("chr", "bin").agg(F.count("*").alias("value"))
+
+
+def block_coverage(reads: DataFrame, width: int, blocks: str = "blocks") -> DataFrame:
+    """(chr, bin, value) of reads with an array of blocks (start, end): a read adds 1 to each bin that any block touches."""
+    touched = F.array_distinct(F.flatten(F.transform(blocks, lambda b: bins(b["start"], b["end"], width))))
+    return reads.select("chr", F.explode(touched).alias("bin")).groupBy("chr", "bin").agg(F.count("*").alias("value"))
 
 
 def full_track(track: DataFrame, chromosomes: DataFrame, width: int) -> DataFrame:
@@ -78,9 +85,14 @@ def full_track(track: DataFrame, chromosomes: DataFrame, width: int) -> DataFram
     return all_bins.join(track, ["chr", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
-def normalised(track: DataFrame, how: str, width: int) -> DataFrame:
-    """value as CPM, RPKM (per kilobase of bin) or BPM (per million of all bins' values per kilobase)."""
-    total = track.agg(F.sum("value").alias("_t"))
+def normalised(track: DataFrame, how: str, width: int, reads: DataFrame) -> DataFrame:
+    """value of coverage()'s track as CPM (per million reads), RPKM (that per kilobase of bin) or BPM (per million of the
+    sum of all bins).
+
+    reads is the table that was counted, a row for each mapped read, whether or not it fell into a bin; a read that
+    touches several bins is one read. Without reads (BPM: without values) every value is 0.
+    """
+    total = track.agg(F.sum("value").alias("_t")) if how == "BPM" else reads.agg(F.count("*").alias("_t"))
     per_million = F.col("value") * 1e6 / F.col("_t")
     factor = {"CPM": per_million, "RPKM": per_million * (1000.0 / width), "BPM": per_million}[how]
     return track.crossJoin(F.broadcast(total)).withColumn("value", F.when(F.col("_t") > 0, factor).otherwise(0.0)).drop("_t")

@@ -14,8 +14,8 @@ from siltbed.operators.matrix import pearson
 
 #: Upper borders of distance bins in bases, with their names.
 DISTANCES = ((10_000, "<10kb"), (25_000, "10-25kb"), (50_000, "25-50kb"), (100_000, "50-100kb"), (250_000, "100-250kb"), (1_000_000, "250kb-1Mb"), (None, ">=1Mb"))
-#: Names that mean a control, alone or with _, - or a number after them.
-CONTROLS = ("wt", "wildtype", "wild_type", "control", "ctrl", "mock", "untreated", "reference", "ref", "vehicle", "dmso")
+#: Names that mean a control, alone or with _, - or a digit right after them, in any ASCII case.
+CONTROLS = ("wt", "wildtype", "wild-type", "control", "ctrl", "untreated", "vehicle", "mock")
 
 
 def collapse_same_label(features: DataFrame, shared: float = 0.8, length: float = 0.5) -> DataFrame:
@@ -142,7 +142,7 @@ def holdout_recovery(calls: DataFrame) -> DataFrame:
 
 
 def is_control(name: Column) -> Column:
-    return F.lower(F.trim(name)).rlike(rf"^({'|'.join(CONTROLS)})([_-].*|\d*)$")
+    return name.rlike(rf"^(?i:{'|'.join(CONTROLS)})(?:[_0-9-]|\z)")
 
 
 def gene_model(means: DataFrame, group: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.operators.ranking import average_rank
+from siltbed.operators.ranking import average_rank, bh_fdr
 
 #: The Chebyshev coefficients of the complementary error function in its classical textbook form.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -72,10 +72,69 @@ def markers(means: DataFrame, group: str, n: int) -> DataFrame:
     return fold.withColumn("rank", rank).where(F.col("rank") <= n).select(group, "feature", "direction", "log2fc", "rank")
 
 
-def marker_scores(mean: Column, other: Column, detection: Column, other_detection: Column) -> dict[str, Column]:
-    """Rankings of a marker: by fold and detection, by detection gain, and for weak signals by fold alone."""
-    fold, gain = log2_fold(mean, other), detection - other_detection
-    return {"general": fold * detection, "sparse": gain * F.abs(fold), "low_signal": fold * F.sqrt(F.greatest(detection, F.lit(0.0)))}
+def marker_scores(detection: Column, other_detection: Column, mean: Column, other_mean: Column) -> dict[str, Column]:
+    """Rankings of a marker from detection shares and means of the values above zero, inside and outside of a group.
+
+    general rewards specific and strong signals, sparse strong ones in a minority of cells, low_signal a change either way
+    of weak ones.
+    """
+    zero, strength = F.lit(0.0), F.log1p(mean)
+    gain, lift = F.greatest(detection - other_detection, zero), strength - F.log1p(other_mean)
+    general = gain * (1 + F.greatest(lift, zero)) * strength
+    sparse = F.when(detection > 0, strength * mean / (1 + mean) * F.sqrt(detection) * F.greatest(1 - detection, zero) * gain).otherwise(zero)
+    weak = F.pow(1 + F.greatest(mean, other_mean), F.lit(-3.0))
+    change = F.abs(detection - other_detection) + 0.1 * F.abs(lift) * F.sqrt(F.least(detection, other_detection))
+    return {"general": general, "sparse": sparse, "low_signal": weak * change}
+
+
+def marker_tests(values: DataFrame, cells: DataFrame, group: str, samples: int) -> DataFrame:
+    """Each feature in each group against all cells outside of it, a row for every (group, feature) of values' features.
+
+    mean and other are means over pseudobulk samples: the cells of either side, in the order of cell, are dealt round-robin
+    into max(2, samples) samples, at most one a cell, and u and p compare the samples' means (mann_whitney); q is
+    Benjamini-Hochberg over the group's features. Then detection shares and means of values above zero, inside and outside,
+    log2fc of the means, and the marker_scores. cells: cell and group, every cell. A cell goes to every group's comparison,
+    so values are read once for each group; groups are few.
+    """
+    groups = cells.groupBy(group).agg(F.count("*").alias("_in"))
+    sides = cells.select("cell", F.col(group).alias("_own")).crossJoin(F.broadcast(groups)).withColumn("_side", F.col("_own") == F.col(group))
+    place = F.row_number().over(Window.partitionBy(group, "_side").orderBy("cell")) - 1
+    size = F.count("*").over(Window.partitionBy(group, "_side"))
+    dealt = sides.select("cell", group, "_side", size.alias("_size"), place.alias("_place")).withColumn("_sample", F.col("_place") % F.least(F.lit(max(2, samples)), F.col("_size")))
+    sizes = dealt.groupBy(group, "_side", "_sample").agg(F.count("*").alias("_n"))
+    sums = values.join(dealt, "cell").groupBy(group, "_side", "_sample", "feature").agg(F.sum("value").alias("_s"), F.count_if(F.col("value") > 0).alias("_k"), F.sum(F.when(F.col("value") > 0, F.col("value")).otherwise(0)).alias("_p"))
+    dense = sizes.crossJoin(F.broadcast(values.select("feature").distinct())).join(sums, [group, "_side", "_sample", "feature"], "left").na.fill(0, ["_s", "_k", "_p"])
+    dense = dense.withColumn("_mean", F.col("_s") / F.col("_n"))
+    test = mann_whitney(dense, [group, "feature"], "_side", "_mean").where("n1 > 0 and n2 > 0").select(group, "feature", "u", "p")
+    of = lambda f, c, inside: f(F.when(F.col("_side") == inside, F.col(c)))
+    both = [(n, inside) for n, inside in (("", True), ("other_", False))]
+    stats = dense.groupBy(group, "feature").agg(
+        *[of(F.avg, "_mean", i).alias(n + "mean") for n, i in both], *[(of(F.sum, "_k", i) / of(F.sum, "_n", i)).alias(n + "detection") for n, i in both],
+        *[F.coalesce(F.try_divide(of(F.sum, "_p", i), of(F.sum, "_k", i)), F.lit(0.0)).alias(n + "positive") for n, i in both],
+    )
+    scores = marker_scores(*(F.col(c) for c in ("detection", "other_detection", "positive", "other_positive")))
+    out = bh_fdr(test.join(stats, [group, "feature"]), "p", [group], "feature").withColumn("log2fc", log2_fold(F.col("mean"), F.col("other_mean")))
+    return out.withColumns(scores)
+
+
+def marker_rankings(tests: DataFrame, group: str, n: int = 50, digits: int = 9) -> DataFrame:
+    """(ranking, group, direction, rank, feature, score): the n first features up and down of each group by four rankings.
+
+    significance sorts marker_tests by q, p and |log2fc| (score is q); general by its score, then q; sparse and low_signal
+    by theirs; ties by name. A feature is up where log2fc is above 0, down where below. Scores of 0 aren't ranked. What is
+    sorted is rounded to digits, so that sums in another order give no other ranks.
+    """
+    t = tests.withColumns({c: F.round(c, digits) for c in ("q", "p", "log2fc", "general", "sparse", "low_signal")})
+    direction = F.when(F.col("log2fc") > 0, "up").when(F.col("log2fc") < 0, "down")
+    orders = {"significance": ("q", ["q", "p", F.desc(F.abs("log2fc"))]), "general": ("general", [F.desc("general"), "q"]), "sparse": ("sparse", [F.desc("sparse")]), "low_signal": ("low_signal", [F.desc("low_signal")])}
+    every = None
+    for name, (score, order) in orders.items():
+        one = t.withColumn("direction", direction).where("direction is not null")
+        one = one if name == "significance" else one.where(F.col(score) > 0)
+        rank = F.row_number().over(Window.partitionBy(group, "direction").orderBy(*order, "feature"))
+        one = one.withColumn("rank", rank).where(F.col("rank") <= n).select(F.lit(name).alias("ranking"), group, "direction", "rank", "feature", F.col(score).alias("score"))
+        every = one if every is None else every.unionByName(one)
+    return every
 
 
 def pseudobulk(values: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -109,8 +168,8 @@ def control_genes(means: DataFrame, module: DataFrame, bins: int = 24, per_gene:
 
 
 def phase(s: Column, g2m: Column) -> Column:
-    """Cell-cycle phase of two module scores."""
-    return F.when((s < 0) & (g2m < 0), "G1").when(s >= g2m, "S").otherwise("G2M")
+    """Cell-cycle phase of two module scores: G1 where both are below 0; a tie is G2M."""
+    return F.when((s < 0) & (g2m < 0), "G1").when(s > g2m, "S").otherwise("G2M")
 
 
 def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, degenerate: float | None = 0.0) -> Column:

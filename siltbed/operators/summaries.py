@@ -72,11 +72,23 @@ def dense_cross(rows: DataFrame, columns: DataFrame, *layers: tuple[DataFrame, s
     return out
 
 
-def dense_row(counts: DataFrame) -> DataFrame:
-    """Per cell: total, the feature with the highest count (ties: first name), its share, and the distance to the next."""
-    w = Window.partitionBy("cell").orderBy(F.desc("value"), "feature")
-    top = counts.withColumns({"r": F.row_number().over(w), "next": F.lead("value").over(w), "total": F.sum("value").over(Window.partitionBy("cell"))}).where("r = 1")
-    return top.select("cell", "total", F.col("feature").alias("top_feature"), (F.col("value") / F.col("total")).alias("share"), (F.col("value") - F.coalesce("next", F.lit(0))).alias("lead_over_next"))
+def dense_row(counts: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Per cell: total, the feature with the highest count (ties: first name), its share, and the gap to the nearest lower
+    count as a share of the highest.
+
+    features are those of the row; where a cell lacks one of them its count 0 is a lower one. Ties of the highest don't
+    count as lower; where there is no lower count the gap is 0. Without features, those of counts.
+    """
+    n = (counts if features is None else features).agg(F.count_distinct("feature").alias("_n"))
+    top = F.max("value").over(Window.partitionBy("cell"))
+    marked = counts.where("value > 0").withColumn("_top", top)
+    out = marked.groupBy("cell").agg(
+        F.sum("value").alias("total"), F.max("_top").alias("_top"), F.count_distinct("feature").alias("_k"),
+        F.min(F.when(F.col("value") == F.col("_top"), F.col("feature"))).alias("top_feature"), F.max(F.when(F.col("value") < F.col("_top"), F.col("value"))).alias("_next"),
+    )
+    lower = F.coalesce("_next", F.when(F.col("_k") < F.col("_n"), 0))
+    gap = F.coalesce((F.col("_top") - lower) / F.col("_top"), F.lit(0.0))
+    return out.crossJoin(F.broadcast(n)).select("cell", "total", "top_feature", (F.col("_top") / F.col("total")).alias("share"), gap.alias("gap_share"))
 
 
 def column_overview(df: DataFrame, columns: Sequence[str], cap: int) -> DataFrame:

@@ -54,12 +54,32 @@ def map_tags(reads: DataFrame, features: DataFrame, k: int = 16, min_hits: int =
     return out.select("id", F.when(sure, F.col("f")).alias("feature"), F.when(sure, "Mapped").otherwise("Tie").alias("status"))
 
 
-def map_tags_at_locus(reads: DataFrame, features: DataFrame, k: int = 16, min_hits: int = 1) -> DataFrame:
-    """map_tags among the features of a read's own locus only: reads and features have locus."""
-    keyed = reads.withColumn("id", F.struct("locus", "id"))
-    local = features.withColumn("feature", F.struct("locus", "feature"))
-    placed = map_tags(keyed.select("id", "seq", "qual"), local.select("feature", "fseq", "ord"), k, min_hits)
-    return placed.where(F.col("feature").isNull() | (F.col("feature.locus") == F.col("id.locus"))).select(F.col("id.id").alias("id"), F.col("feature.feature").alias("feature"), "status")
+def map_tags_at_locus(reads: DataFrame, features: DataFrame, k: int = 8, min_hits: int = 4) -> DataFrame:
+    """(id, locus, status, features, hits) of each read, judged among the features of its own locus only.
+
+    reads: id, locus, seq; features: feature, locus, fseq, a row for each locus that a feature belongs to. Words of k bases
+    without N vote for (feature, offset). A read that holds just one whole feature, found by a word at a multiple of k, is a
+    Hit with 1 hit. Otherwise the placement of most votes wins: a Hit if it stands alone, a Tie of all placements with as
+    many; without a vote, or with under min_hits, NoHit. Every read gives one row; features are sorted by name.
+    """
+
+    def words(text: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.length(text) - k), lambda p: F.struct(p.alias("pos"), F.substring(text, p + 1, F.lit(k)).alias("word")))
+        return F.when(F.length(text) >= k, F.filter(every, lambda w: w["word"].rlike("^[ACGT]+$")))
+
+    r = reads.select("id", "locus", F.upper("seq").alias("seq"))
+    placed = r.select("id", "locus", "seq", F.explode(words(F.col("seq"))).alias("q")).select("id", "locus", "seq", F.col("q.pos").alias("rp"), F.col("q.word").alias("word"))
+    tags = features.select("locus", "feature", F.upper("fseq").alias("fseq")).distinct()
+    tags = tags.select("locus", "feature", "fseq", F.explode(words(F.col("fseq"))).alias("q")).select("locus", "feature", "fseq", F.col("q.pos").alias("fp"), F.col("q.word").alias("word"))
+    hits = placed.join(tags, ["locus", "word"]).withColumn("offset", F.col("rp") - F.col("fp"))
+    whole = (F.col("rp") % k == 0) & (F.col("offset") >= 0) & F.col("fseq").rlike("^[ACGT]+$") & (F.substring("seq", F.col("offset") + 1, F.length("fseq")) == F.col("fseq"))
+    votes = hits.groupBy("id", "locus", "feature", "offset").agg(F.count("*").alias("n"), F.max(whole).alias("whole"))
+    one = votes.groupBy("id", "locus").agg(F.max("n").alias("hits"), F.collect_set(F.when(F.col("whole"), F.col("feature"))).alias("sure"))
+    top = votes.join(one, ["id", "locus"]).where(F.col("n") == F.col("hits")).groupBy("id", "locus").agg(F.first("hits").alias("hits"), F.first("sure").alias("sure"), F.array_sort(F.collect_list("feature")).alias("best"))
+    sure, enough = F.size("sure") == 1, F.col("hits") >= min_hits
+    status = F.when(sure | (enough & (F.size("best") == 1)), "Hit").when(enough, "Tie").otherwise("NoHit")
+    judged = top.select("id", "locus", status.alias("status"), F.when(sure, F.col("sure")).when(enough, F.col("best")).alias("features"), F.when(sure, 1).when(enough, F.col("hits")).cast("long").alias("hits"))
+    return r.select("id", "locus").join(judged, ["id", "locus"], "left").select("id", "locus", F.coalesce("status", F.lit("NoHit")).alias("status"), "features", "hits")
 
 
 def combinatorial_barcodes(reads: DataFrame, blocks: Sequence[tuple[int, DataFrame]], max_mismatches: int = 1) -> DataFrame:

@@ -17,7 +17,8 @@ from siltbed.operators.summaries import group_means
 from siltbed.plans.catalog import query
 from siltbed.plans.interval_queries import GENES, genes
 from siltbed.plans.molecule_queries import read
-from siltbed.plans.summary_queries import MEANS, cells, rounded, sparse
+from siltbed.plans.summary_queries import MEANS, NORMAL, cells, rounded, sparse
+from siltbed.plans.table_queries import DNA
 from siltbed.sources.binary import binned
 from siltbed.streaming import molecules as W
 
@@ -29,9 +30,9 @@ def subset_by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.subset_by_tags(al, lists, "RF").select("l_orderkey", "l_linenumber", "subset")
 
 
-@query("SELECT p_type AS feature_type, l_suppkey AS cell, p_partkey AS feature, count(DISTINCT l_quantity::INT) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey < 100 GROUP BY ALL")
+@query("SELECT p_type AS feature_type, l_suppkey AS cell, p_partkey AS feature, count(DISTINCT l_quantity::INT) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def feature_type_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = read(spark, sf_dir, "lineitem").where("l_partkey < 100").select(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("feature"), F.col("l_quantity").cast("int").alias("umi"))
+    obs = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("feature"), F.col("l_quantity").cast("int").alias("umi"))
     return G.split_features(obs, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.col("p_type").alias("feature_type")))
 
 
@@ -77,11 +78,11 @@ def gene_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell", "cluster", F.round("score", 5).alias("score"))
 
 
-@query("""WITH n AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'WT' WHEN 1 THEN 'ctrl_' || o_custkey WHEN 2 THEN 'mock-1' WHEN 3 THEN 'control' || (o_custkey % 9) WHEN 4 THEN 'wtx' ELSE o_orderpriority END AS name FROM orders)
-SELECT id, regexp_full_match(lower(trim(name)), '(wt|wildtype|wild_type|control|ctrl|mock|untreated|reference|ref|vehicle|dmso)([_-].*|\\d*)') AS control FROM n""")
+@query("""WITH n AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'WT' WHEN 1 THEN 'ctrl_' || o_custkey WHEN 2 THEN 'mock-1' WHEN 3 THEN 'control' || (o_custkey % 9) WHEN 4 THEN CASE o_custkey % 4 WHEN 0 THEN 'wtx' WHEN 1 THEN 'WT3b' WHEN 2 THEN 'Wild-Type' ELSE 'dmso' END ELSE o_orderpriority END AS name FROM orders)
+SELECT id, lower(name) IN ('wt', 'wildtype', 'wild-type', 'control', 'ctrl', 'untreated', 'vehicle', 'mock') OR regexp_matches(lower(name), '^(wt|wildtype|wild-type|control|ctrl|untreated|vehicle|mock)(_|-|[0-9])') AS control FROM n""")
 def control_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 6
-    name = F.when(k == 0, "WT").when(k == 1, F.concat(F.lit("ctrl_"), F.col("o_custkey").cast("string"))).when(k == 2, "mock-1").when(k == 3, F.concat(F.lit("control"), (F.col("o_custkey") % 9).cast("string"))).when(k == 4, "wtx").otherwise(F.col("o_orderpriority"))
+    name = F.when(k == 0, "WT").when(k == 1, F.concat(F.lit("ctrl_"), F.col("o_custkey").cast("string"))).when(k == 2, "mock-1").when(k == 3, F.concat(F.lit("control"), (F.col("o_custkey") % 9).cast("string"))).when(k == 4, F.element_at(F.array(*map(F.lit, ("wtx", "WT3b", "Wild-Type", "dmso"))), (F.col("o_custkey") % 4 + 1).cast("int"))).otherwise(F.col("o_orderpriority"))
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), L.is_control(name).alias("control"))
 
 
@@ -102,13 +103,54 @@ def interval_bin_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(binned(g, 64), "value")
 
 
-@query(f"""WITH {MEANS}, r AS (SELECT m.cluster, m.feature, m.mean, m.detection, o.mean AS om, o.detection AS od FROM means m JOIN means o ON o.feature = m.feature AND o.cluster = (m.cluster + 1) % 5), f AS (SELECT *, log2((mean + 1e-6) / (om + 1e-6)) AS l FROM r)
-SELECT cluster, feature, round(l * detection, 5) AS general, round((detection - od) * abs(l), 5) AS sparse, round(l * sqrt(detection), 5) AS low_signal FROM f""")
+#: Every feature of every cluster against the cells outside: pseudobulk samples, the rank test, and the descriptive scores.
+TESTS = f"""{NORMAL}, gr AS (SELECT DISTINCT cluster AS g FROM cells), sd AS (SELECT cell, g, cluster = g AS side, row_number() OVER (PARTITION BY g, cluster = g ORDER BY cell) - 1 AS i, count(*) OVER (PARTITION BY g, cluster = g) AS n FROM cells, gr),
+de AS (SELECT cell, g, side, i % least(4, n) AS sample FROM sd), sz AS (SELECT g, side, sample, count(*) AS n FROM de GROUP BY ALL), fe AS (SELECT DISTINCT feature FROM norm),
+su AS (SELECT g, side, sample, feature, sum(value) AS s, count(*) FILTER (value > 0) AS k, sum(value) FILTER (value > 0) AS p FROM norm JOIN de USING (cell) GROUP BY ALL),
+x AS (SELECT sz.g, sz.side, sz.sample, fe.feature, n, coalesce(s, 0) / n AS v, coalesce(k, 0) AS k, coalesce(p, 0) AS p FROM sz CROSS JOIN fe LEFT JOIN su ON su.g = sz.g AND su.side = sz.side AND su.sample = sz.sample AND su.feature = fe.feature),
+rk AS (SELECT *, rank() OVER (PARTITION BY g, feature ORDER BY v) + (count(*) OVER (PARTITION BY g, feature, v) - 1) / 2 AS r FROM x),
+ag AS (SELECT g, feature, count(*) FILTER (side) AS n1, count(*) FILTER (NOT side) AS n2, sum(r) FILTER (side) AS rs, avg(v) FILTER (side) AS ma, avg(v) FILTER (NOT side) AS mb, sum(k) FILTER (side) / sum(n) FILTER (side) AS d, sum(k) FILTER (NOT side) / sum(n) FILTER (NOT side) AS b,
+  coalesce(sum(p) FILTER (side) / nullif(sum(k) FILTER (side), 0), 0) AS pa, coalesce(sum(p) FILTER (NOT side) / nullif(sum(k) FILTER (NOT side), 0), 0) AS pb FROM rk GROUP BY g, feature),
+zt AS (SELECT *, abs(rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z FROM ag), tt AS (SELECT *, 1 / (1 + 0.5 * z / sqrt(2)) AS t FROM zt),
+pv AS (SELECT *, least(1, t * exp(-z * z / 2 - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))) AS pval FROM tt),
+pr AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pval, feature) AS k, count(*) OVER (PARTITION BY g) AS m FROM pv),
+qv AS (SELECT *, least(1.0, min(pval * m / k) OVER (PARTITION BY g ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM pr),
+ts AS (SELECT g AS cluster, feature, round(q, 9) AS q, round(pval, 9) AS p, round(log2((ma + 1e-6) / (mb + 1e-6)), 9) AS log2fc, round(greatest(d - b, 0) * (1 + greatest(ln((1 + pa) / (1 + pb)), 0)) * ln(1 + pa), 9) AS general,
+  round(CASE WHEN d > 0 THEN ln(1 + pa) * (pa / (1 + pa)) * sqrt(d) * greatest(1 - d, 0) * greatest(d - b, 0) ELSE 0 END, 9) AS sparse,
+  round(CASE WHEN d = 0 AND b = 0 THEN 0 ELSE (abs(d - b) + 0.1 * abs(ln((1 + pa) / (1 + pb))) * sqrt(least(d, b))) / (1 + greatest(pa, pb)) ** 3 END, 9) AS low_signal FROM qv)"""
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.marker_tests(X.log_normalise(sparse(spark, sf_dir)), cells(spark, sf_dir), "cluster", 4)
+
+
+@query(f"WITH {TESTS} SELECT cluster, feature, round(q, 6) AS q, round(general, 6) AS general, round(sparse, 6) AS sparse, round(low_signal, 6) AS low_signal FROM ts")
 def marker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = group_means(sparse(spark, sf_dir), cells(spark, sf_dir), "cluster")
-    o = m.select(((F.col("cluster") + 4) % 5).alias("cluster"), "feature", F.col("mean").alias("om"), F.col("detection").alias("od"))
-    s = X.marker_scores(F.col("mean"), F.col("om"), F.col("detection"), F.col("od"))
-    return rounded(m.join(o, ["cluster", "feature"]).select("cluster", "feature", *[c.alias(k) for k, c in s.items()]), *s, digits=5)
+    return rounded(tests(spark, sf_dir).select("cluster", "feature", *(s := ("q", "general", "sparse", "low_signal"))), *s)
+
+
+@query(f"""WITH {TESTS}, ud AS (SELECT *, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction FROM ts WHERE log2fc <> 0),
+al AS (SELECT 'significance' AS ranking, cluster, direction, feature, q AS score, row_number() OVER (PARTITION BY cluster, direction ORDER BY q, p, abs(log2fc) DESC, feature) AS rank FROM ud
+  UNION ALL SELECT 'general', cluster, direction, feature, general, row_number() OVER (PARTITION BY cluster, direction ORDER BY general DESC, q, feature) FROM ud WHERE general > 0
+  UNION ALL SELECT 'sparse', cluster, direction, feature, sparse, row_number() OVER (PARTITION BY cluster, direction ORDER BY sparse DESC, feature) FROM ud WHERE sparse > 0
+  UNION ALL SELECT 'low_signal', cluster, direction, feature, low_signal, row_number() OVER (PARTITION BY cluster, direction ORDER BY low_signal DESC, feature) FROM ud WHERE low_signal > 0)
+SELECT ranking, cluster, direction, rank, feature, round(score, 6) AS score FROM al WHERE rank <= 50""")
+def marker_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.marker_rankings(tests(spark, sf_dir), "cluster").withColumn("rank", F.col("rank").cast("long")), "score")
+
+
+#: Names as reads at a locus; features are stretches of names, each at the locus of a part that has it.
+@query(f"""WITH r AS (SELECT p_partkey AS id, p_size % 10 AS locus, {DNA} AS seq FROM part), f AS (SELECT DISTINCT p_size % 10 AS locus, substr({DNA}, 3, 12 + p_size % 4) AS f FROM part),
+rw AS (SELECT id, locus, seq, i AS rp, substr(seq, (i + 1)::INT, 8) AS w FROM r, unnest(range(0, length(seq) - 7)) t(i)), fw AS (SELECT locus, f, i AS fp, substr(f, (i + 1)::INT, 8) AS w FROM f, unnest(range(0, length(f) - 7)) t(i)),
+v AS (SELECT id, locus, f, rp - fp AS o, count(*) AS n, bool_or(rp % 8 = 0 AND rp >= fp AND substr(seq, (rp - fp + 1)::INT, length(f)) = f) AS whole FROM rw JOIN fw USING (locus, w) GROUP BY ALL),
+b AS (SELECT id, locus, max(n) AS hits, list_sort(list(DISTINCT f) FILTER (whole)) AS wh FROM v GROUP BY ALL),
+j AS (SELECT v.id, v.locus, any_value(hits) AS hits, any_value(wh) AS wh, list_sort(list(f)) AS best FROM v JOIN b USING (id, locus) WHERE n = hits GROUP BY ALL)
+SELECT r.id, r.locus, CASE WHEN len(wh) = 1 THEN 'Hit' WHEN hits >= 4 THEN CASE WHEN len(best) = 1 THEN 'Hit' ELSE 'Tie' END ELSE 'NoHit' END AS status, CASE WHEN len(wh) = 1 THEN wh WHEN hits >= 4 THEN best END AS features, CASE WHEN len(wh) = 1 THEN 1 WHEN hits >= 4 THEN hits END AS hits
+FROM r LEFT JOIN j USING (id, locus)""")
+def locus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("locus"), F.expr(DNA).alias("seq"), "p_size")
+    cut = F.substring(F.col("seq"), F.lit(3), 12 + F.col("p_size") % 4)
+    return G.map_tags_at_locus(s.select("id", "locus", "seq"), s.select("locus", cut.alias("fseq"), cut.alias("feature")).distinct())
 
 
 @query("""WITH l AS (SELECT c_mktsegment AS level, row_number() OVER (ORDER BY min(c_custkey), c_mktsegment) - 1 AS numeric FROM customer GROUP BY c_mktsegment)

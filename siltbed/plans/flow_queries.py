@@ -42,22 +42,22 @@ def called_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow(spark, sf_dir, min_umis=256)["cells"].select(F.col("cell").cast("long").alias("cell"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS cell, l_partkey % 40 AS name, sum((l_discount < 0.03)::INT) AS ref, sum((l_discount > 0.095)::INT) AS alt FROM lineitem WHERE l_partkey % 40 < 3 AND l_quantity < 12 GROUP BY ALL),
+@query("""WITH c AS (SELECT l_suppkey AS cell, l_partkey % 40 AS name, sum((l_discount < 0.03)::INT) AS ref, sum((l_discount > 0.095)::INT) AS alt FROM lineitem GROUP BY ALL),
 g AS (SELECT cell, count(*) FILTER (alt > 0) AS mut, count(*) FILTER (alt = 0 AND ref > 0) AS wt FROM c GROUP BY cell)
 SELECT s_suppkey AS cell, CASE WHEN coalesce(mut, 0) > 0 THEN 'MUT' WHEN coalesce(wt, 0) >= 2 THEN 'WT' ELSE 'NO_INFO' END AS call FROM supplier LEFT JOIN g ON s_suppkey = cell""")
 def cell_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "lineitem").where("l_partkey % 40 < 3 and l_quantity < 12").groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 40).alias("name"))
+    c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 40).alias("name"))
     c = c.agg(F.count_if(F.col("l_discount") < 0.03).alias("ref"), F.count_if(F.col("l_discount") > 0.095).alias("alt"))
     return V.cell_genotypes(c, read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell")))
 
 
-@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS read, l_partkey * 10 AS pos, l_quantity::INT AS q, row_number() OVER () AS i FROM lineitem WHERE l_suppkey < 10),
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS read, l_partkey * 10 AS pos, l_quantity::INT AS q, row_number() OVER () AS i FROM lineitem),
 s AS (SELECT DISTINCT o_custkey * 25 + 3 AS pos, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'C' END AS ref, ['G', 'T'] AS alts, 's' || o_custkey AS name FROM orders),
 o AS (SELECT i, read, name, s.pos - r.pos AS k, ref, alts, 35 - (s.pos - r.pos + q) % 12 AS quality FROM r JOIN s ON s.pos >= r.pos AND s.pos < r.pos + 40)
 SELECT read, name, substr('ACGT', (k % 4 + 1)::INT, 1) AS base, quality::INT AS quality, CASE WHEN substr('ACGT', (k % 4 + 1)::INT, 1) = ref THEN 'ref' WHEN list_contains(alts, substr('ACGT', (k % 4 + 1)::INT, 1)) THEN 'alt' ELSE 'other' END AS allele FROM o WHERE quality >= 28""")
 def observed_snps(spark: SparkSession, sf_dir: str) -> DataFrame:
     qual = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.char((F.lit(33 + 35) - (k + F.col("l_quantity").cast("int")) % 12).cast("int"))), "")
-    reads = read(spark, sf_dir, "lineitem").where("l_suppkey < 10").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read"), F.lit("c").alias("chr"), (F.col("l_partkey") * 10).alias("pos"), F.lit("40M").alias("cigar"), F.repeat(F.lit("ACGT"), F.lit(10)).alias("seq"), qual.alias("qual"))
+    reads = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read"), F.lit("c").alias("chr"), (F.col("l_partkey") * 10).alias("pos"), F.lit("40M").alias("cigar"), F.repeat(F.lit("ACGT"), F.lit(10)).alias("seq"), qual.alias("qual"))
     k = F.col("o_custkey")
     snps = read(spark, sf_dir, "orders").select(F.lit("c").alias("chr"), (k * 25 + 3).alias("pos"), F.when(k % 2 == 0, "A").otherwise("C").alias("ref"), F.array(F.lit("G"), F.lit("T")).alias("alts"), F.concat(F.lit("s"), k.cast("string")).alias("name")).distinct()
     return V.observe_snps(reads, snps, 28, 0)

@@ -27,9 +27,9 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("gene") % 3 == F.ascii("chr") % 3)
 
 
-@query(f"WITH {READS}, {GENES} SELECT id, gene FROM reads r JOIN genes g ON r.chr = g.chr AND r.start < g.\"end\" AND g.start < r.\"end\" WHERE id % 10 = 1")
+@query(f"WITH {READS}, {GENES} SELECT id, gene FROM reads r JOIN genes g ON r.chr = g.chr AND r.start < g.\"end\" AND g.start < r.\"end\"")
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.overlap_join(reads(spark, sf_dir).where("id % 10 = 1"), genes(spark, sf_dir), 256).select("id", F.col("gene_r").alias("gene"))
+    return I.overlap_join(reads(spark, sf_dir), genes(spark, sf_dir), 256).select("id", F.col("gene_r").alias("gene"))
 
 
 @query(f"WITH {GENES}, p AS (SELECT o_orderkey AS id, chr(CASE o_orderkey % 3 WHEN 0 THEN 65 WHEN 1 THEN 78 ELSE 82 END) AS chr, o_orderkey % 20000 AS pos FROM orders) SELECT id, gene FROM p JOIN genes g ON p.chr = g.chr AND pos >= g.start AND pos < g.\"end\"")
@@ -39,38 +39,47 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.points_in(p, genes(spark, sf_dir), 512).select("id", "gene")
 
 
-@query(f"WITH {READS}, l AS (SELECT *, max(\"end\") OVER (PARTITION BY chr ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads WHERE id % 7 = 0), i AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT chr, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n FROM i GROUP BY chr, k")
+@query(f"WITH {READS}, l AS (SELECT *, max(\"end\") OVER (PARTITION BY chr ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads), i AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT chr, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n FROM i GROUP BY chr, k")
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.islands(reads(spark, sf_dir).where("id % 7 = 0"))
+    return I.islands(reads(spark, sf_dir))
 
 
-COVER = f"{READS}, cov AS (SELECT chr, bin, count(DISTINCT id) AS value FROM (SELECT chr, id, unnest(range(start // 50, (\"end\" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL)"
+COVER = f"{READS}, cov AS (SELECT chr, bin, count(*) AS value FROM (SELECT chr, id, unnest(range(start // 50, (\"end\" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL)"
+
+
+@query(f"""WITH {READS}, r AS (SELECT row_number() OVER () AS r, chr, start, "end", "end" + id % 200 AS start2, "end" + id % 200 + 30 AS end2 FROM reads), b AS (SELECT r, chr, unnest(range(start // 50, ("end" - 1) // 50 + 1)) AS bin FROM r UNION SELECT r, chr, unnest(range(start2 // 50, (end2 - 1) // 50 + 1)) FROM r)
+SELECT chr, bin, count(*) AS value FROM b GROUP BY chr, bin""")
+def block_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.col("end") + F.col("id") % 200
+    blocks = F.array(F.struct("start", "end"), F.struct(gap.alias("start"), (gap + 30).alias("end")))
+    return I.block_coverage(reads(spark, sf_dir).select("chr", blocks.alias("blocks")), 50)
 
 
 @query(f"WITH {COVER} SELECT * FROM cov")
 def binned_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.coverage(reads(spark, sf_dir), 50, ["id"])
+    return I.coverage(reads(spark, sf_dir), 50)
 
 
-@query(f"WITH {COVER} SELECT chr, bin, round(value * 1e6 / (SELECT sum(value) FROM cov), 6) AS value FROM cov")
+@query(f"WITH {COVER} SELECT chr, bin, round(value * 1e6 / (SELECT count(*) FROM reads), 6) AS value FROM cov")
 def coverage_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.normalised(I.coverage(reads(spark, sf_dir), 50, ["id"]), "CPM", 50), "value")
+    r = reads(spark, sf_dir)
+    return rounded(I.normalised(I.coverage(r, 50), "CPM", 50, r), "value")
 
 
-@query(f"""WITH {READS}, ch AS (SELECT chr, max("end") AS length FROM reads GROUP BY chr), cov AS (SELECT chr, bin, count(DISTINCT id) AS value FROM (SELECT chr, id, unnest(range(start // 50, ("end" - 1) // 50 + 1)) AS bin FROM reads WHERE id % 50 = 1) GROUP BY ALL),
+@query(f"""WITH {READS}, ch AS (SELECT chr, max("end") AS length FROM reads GROUP BY chr), cov AS (SELECT chr, bin, count(*) AS value FROM (SELECT chr, id, unnest(range(start // 50, ("end" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL),
 b AS (SELECT chr, unnest(range(0, (length - 1) // 50 + 1)) AS bin FROM ch) SELECT chr, bin, coalesce(value, 0) AS value FROM b LEFT JOIN cov USING (chr, bin)""")
 def coverage_with_zero_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir)
     chromosomes = r.groupBy("chr").agg(F.max("end").alias("length"))
-    return I.full_track(I.coverage(r.where("id % 50 = 1"), 50, ["id"]), chromosomes, 50)
+    return I.full_track(I.coverage(r, 50), chromosomes, 50)
 
 
-@query(f"""WITH {READS}, t AS (SELECT id % 2 AS half, chr, bin, count(DISTINCT id)::DOUBLE AS v FROM (SELECT chr, id, unnest(range(start // 50, ("end" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL),
+@query(f"""WITH {READS}, t AS (SELECT id % 2 AS half, chr, bin, count(*)::DOUBLE AS v FROM (SELECT chr, id, unnest(range(start // 50, ("end" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL),
 b AS (SELECT coalesce(x.chr, y.chr) AS chr, coalesce(x.bin, y.bin) AS bin, coalesce(x.v, 0) AS a, coalesce(y.v, 0) AS b FROM (SELECT * FROM t WHERE half = 0) x FULL JOIN (SELECT * FROM t WHERE half = 1) y ON x.chr = y.chr AND x.bin = y.bin), d AS (SELECT *, abs(a - b) AS d FROM b)
 SELECT count(*) AS n, count(*) FILTER (d > 2) AS n_over_eps, round(avg(d), 6) AS mean_abs, round(avg(d * d) - avg(d) ** 2, 6) AS var_abs, round(sqrt(avg(d * d)), 6) AS rmse, (SELECT chr FROM d ORDER BY d DESC, chr DESC, bin LIMIT 1) AS worst_chr, (SELECT bin FROM d ORDER BY d DESC, chr DESC, bin LIMIT 1) AS worst_bin, max(d) AS worst_diff, round(corr(a, b), 6) AS pearson FROM d""")
 def track_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir)
-    found = I.compare_tracks(*(I.coverage(r.where(F.col("id") % 2 == h), 50, ["id"]) for h in (0, 1)), eps=2.0)
+    found = I.compare_tracks(*(I.coverage(r.where(F.col("id") % 2 == h), 50) for h in (0, 1)), eps=2.0)
     return rounded(found, "mean_abs", "var_abs", "rmse", "pearson")
 
 
@@ -92,13 +101,13 @@ def neighbour_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.neighbours(g, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-CIGARS = "cig AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey * 10 AS pos, l_quantity::INT || 'M' || (l_partkey % 90 + 1) || (CASE l_linenumber % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'D' ELSE 'I' END) || (l_suppkey % 40 + 5) || 'M' || (l_suppkey % 5 + 1) || 'S' AS cigar FROM lineitem WHERE l_suppkey < 40)"
+CIGARS = "cig AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey * 10 AS pos, l_quantity::INT || 'M' || (l_partkey % 90 + 1) || (CASE l_linenumber % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'D' ELSE 'I' END) || (l_suppkey % 40 + 5) || 'M' || (l_suppkey % 5 + 1) || 'S' AS cigar FROM lineitem)"
 
 
 def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("l_linenumber") % 3 == 0, "N").when(F.col("l_linenumber") % 3 == 1, "D").otherwise("I")
     parts = [F.col("l_quantity").cast("int"), F.lit("M"), F.col("l_partkey") % 90 + 1, op, F.col("l_suppkey") % 40 + 5, F.lit("M"), F.col("l_suppkey") % 5 + 1, F.lit("S")]
-    return read(spark, sf_dir, "lineitem").where("l_suppkey < 40").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 10).alias("pos"), F.concat(*[p.cast("string") for p in parts]).alias("cigar"))
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 10).alias("pos"), F.concat(*[p.cast("string") for p in parts]).alias("cigar"))
 
 
 @query(f"""WITH {CIGARS}, p AS (SELECT id, pos, regexp_extract(cigar, '^(\\d+)M', 1)::BIGINT AS m1, regexp_extract(cigar, '^\\d+M(\\d+)', 1)::BIGINT AS x, regexp_extract(cigar, '^\\d+M\\d+([NDI])', 1) AS op, regexp_extract(cigar, '(\\d+)M\\d+S$', 1)::BIGINT AS m2 FROM cig)
@@ -128,7 +137,7 @@ def exon_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {READS}, {GENES}, o AS (SELECT id, gene, CASE WHEN g.start <= r.start AND r."end" <= g."end" THEN 3 WHEN r.start < g.start AND r."end" > g."end" THEN 1 ELSE 2 END AS rank, greatest(0, g.start - r.start) + greatest(0, r."end" - g."end") AS overhang
-FROM reads r JOIN genes g ON r.chr = g.chr AND r.start < g."end" AND g.start < r."end" WHERE id % 10 = 2)
+FROM reads r JOIN genes g ON r.chr = g.chr AND r.start < g."end" AND g.start < r."end")
 SELECT id, gene, rank, overhang FROM (SELECT *, max(rank) OVER (PARTITION BY id) AS best FROM o) WHERE rank = best""")
 def best_match_ties_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.best_matches(reads(spark, sf_dir).where("id % 10 = 2"), genes(spark, sf_dir), 256)
+    return A.best_matches(reads(spark, sf_dir), genes(spark, sf_dir), 256)

@@ -21,7 +21,7 @@ def guide_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = counts.select("feature").distinct()
     ambient = S.dirichlet_profile(counts, features, 0.5).select(F.col("feature").alias("guide"), "p")
     obs = counts.select("cell", F.col("feature").alias("guide"), F.col("value").alias("count"))
-    model = C.guide_mixture(obs, ambient, read(spark, sf_dir, "supplier").count(), C.MixtureConfig(max_iterations=4))
+    model = C.guide_mixture(obs, ambient, read(spark, sf_dir, "supplier").count())
     return rounded(C.call_guides(model).select("cell", "guide", "count", "posterior", "q", "called"), "posterior", "q")
 
 
@@ -78,7 +78,7 @@ def stability_weighted_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grp", F.round("effect", 6).alias("effect"), F.round("effective_n", 4).alias("effective_n"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS molecule, l_linenumber AS tx, l_discount AS prior, l_tax AS lik FROM lineitem WHERE l_orderkey % 5 = 0) SELECT molecule, tx, round(coalesce(prior * lik / nullif(sum(prior * lik) OVER (PARTITION BY molecule), 0), 0), 9) AS posterior FROM c""")
+@query("""WITH c AS (SELECT l_orderkey AS molecule, l_linenumber AS tx, l_discount AS prior, l_tax AS lik FROM lineitem) SELECT molecule, tx, round(coalesce(prior * lik / nullif(sum(prior * lik) OVER (PARTITION BY molecule), 0), 0), 9) AS posterior FROM c""")
 def transcript_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("molecule"), F.col("l_linenumber").alias("tx"), F.col("l_discount").alias("prior"), F.col("l_tax").alias("lik"))
+    c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("molecule"), F.col("l_linenumber").alias("tx"), F.col("l_discount").alias("prior"), F.col("l_tax").alias("lik"))
     return rounded(C.transcript_posterior(c, "molecule", "tx", "prior", "lik"), "posterior", digits=9)

@@ -142,9 +142,9 @@ def feature_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.umi_counts(M.remap_features(molecules(spark, sf_dir), mapping))
 
 
-@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY (o_orderkey * 4611686018427387905::HUGEINT % 18446744073709551616), o_orderkey) AS position FROM orders WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY (o_orderkey * 4611686018427387905::HUGEINT % 18446744073709551616), o_orderkey) AS position FROM orders")
 def unsigned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = read(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"))
+    ids = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     # id * (2 ** 62 + 1) modulo 2 ** 64, by shifts: bit patterns over the whole unsigned range
     bits = ids.withColumn("bits", F.expr("shiftleft(id & 3, 62) ^ id"))
     return bits.select("id", F.row_number().over(Window.orderBy(M.unsigned_order("bits"), "id")).cast("long").alias("position"))

@@ -21,14 +21,14 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VARIANTS = """v AS (SELECT o_orderkey AS id, 'chr' || (o_custkey % 5) AS chr, o_orderkey % 900 AS pos, substr('ACGT', (o_orderkey % 4 + 1)::INT, 1) AS ref, [substr('ACGT', (o_custkey % 4 + 1)::INT, 1), substr('ACGT', ((o_custkey + 1) % 4 + 1)::INT, 1)] AS alts FROM orders),
-c AS (SELECT DISTINCT 'chr' || (l_suppkey % 5) AS chr, l_partkey % 900 AS pos, substr('ACGT', (l_orderkey % 4 + 1)::INT, 1) AS ref, substr('ACGT', (l_linenumber % 4 + 1)::INT, 1) AS alt FROM lineitem WHERE l_quantity < 6),
+c AS (SELECT DISTINCT 'chr' || (l_suppkey % 5) AS chr, l_partkey % 900 AS pos, substr('ACGT', (l_orderkey % 4 + 1)::INT, 1) AS ref, substr('ACGT', (l_linenumber % 4 + 1)::INT, 1) AS alt FROM lineitem),
 h AS (SELECT DISTINCT id FROM (SELECT id, chr, pos, ref, unnest(alts) AS alt FROM v) JOIN c USING (chr, pos, ref, alt))"""
 
 
 def variants(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = lambda c: F.substring(F.lit("ACGT"), (F.expr(c) % 4 + 1).cast("int"), F.lit(1))
     v = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chr"), (F.col("o_orderkey") % 900).alias("pos"), base("o_orderkey").alias("ref"), F.array(base("o_custkey"), base("o_custkey + 1")).alias("alts"))
-    c = read(spark, sf_dir, "lineitem").where("l_quantity < 6").select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chr"), (F.col("l_partkey") % 900).alias("pos"), base("l_orderkey").alias("ref"), base("l_linenumber").alias("alt"))
+    c = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chr"), (F.col("l_partkey") % 900).alias("pos"), base("l_orderkey").alias("ref"), base("l_linenumber").alias("alt"))
     return v, c
 
 
@@ -57,11 +57,11 @@ def annotation_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.import_annotation(cells, annotation, "c_custkey")
 
 
-@query("""WITH a AS (SELECT p_size * 1000 + p_partkey % 97 AS name, p_partkey AS x FROM part), b AS (SELECT (o_custkey % 50 + 1) * 1000 + o_orderkey % 97 AS name, o_orderkey AS y FROM orders WHERE o_orderkey % 9 = 0)
+@query("""WITH a AS (SELECT p_size * 1000 + p_partkey % 97 AS name, p_partkey AS x FROM part), b AS (SELECT (o_custkey % 50 + 1) * 1000 + o_orderkey % 97 AS name, o_orderkey AS y FROM orders)
 SELECT a.name, x, y FROM a JOIN b ON a.name = b.name WHERE a.name IN (SELECT name FROM a GROUP BY name HAVING count(*) = 1) AND b.name IN (SELECT name FROM b GROUP BY name HAVING count(*) = 1)""")
 def unique_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "part").select((F.col("p_size") * 1000 + F.col("p_partkey") % 97).alias("name"), F.col("p_partkey").alias("x"))
-    b = read(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(((F.col("o_custkey") % 50 + 1) * 1000 + F.col("o_orderkey") % 97).alias("name"), F.col("o_orderkey").alias("y"))
+    b = read(spark, sf_dir, "orders").select(((F.col("o_custkey") % 50 + 1) * 1000 + F.col("o_orderkey") % 97).alias("name"), F.col("o_orderkey").alias("y"))
     return J.unique_name_join(a, b, "name")
 
 
@@ -79,24 +79,24 @@ def set_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.set_token_match(sets, spark.createDataFrame([("red",), ("Bolt",), ("PROMO",)], "symbol string"))
 
 
-@query("""WITH s AS (SELECT p_brand AS name, list(DISTINCT p_type) AS genes FROM part WHERE p_size < 4 GROUP BY p_brand), l AS (SELECT DISTINCT name, upper(unnest(genes)) AS gene FROM s)
+@query("""WITH s AS (SELECT p_brand AS name, list(DISTINCT p_type) AS genes FROM part GROUP BY p_brand), l AS (SELECT DISTINCT name, upper(unnest(genes)) AS gene FROM s)
 SELECT gene, count(*) AS n, list_sort(list(name)) AS names FROM l WHERE gene IN ('PROMO', 'SMALL') GROUP BY gene""")
 def gmt_reverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = read(spark, sf_dir, "part").where("p_size < 4").groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("genes"))
+    sets = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("genes"))
     return J.reverse_lookup(sets, spark.createDataFrame([("promo",), ("Small",)], "gene string"))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3)
+@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')
 SELECT count(*) FILTER (a.l_partkey IS NOT NULL AND b.l_partkey IS NOT NULL) AS both, count(*) FILTER (b.l_partkey IS NULL) AS left_only, count(*) FILTER (a.l_partkey IS NULL) AS right_only FROM a FULL JOIN b ON a.l_partkey = b.l_partkey""")
 def set_intersection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_quantity < 3")
+    line = read(spark, sf_dir, "lineitem")
     return J.intersect_counts(line.where("l_returnflag = 'A'"), line.where("l_returnflag = 'R'"), "l_partkey")
 
 
-@query("""SELECT side, k AS l_partkey FROM (SELECT 'left' AS side, l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3 EXCEPT SELECT 'left', l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3)
-UNION ALL SELECT side, k FROM (SELECT 'right' AS side, l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 EXCEPT SELECT 'right', l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3)""")
+@query("""SELECT side, k AS l_partkey FROM (SELECT 'left' AS side, l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT 'left', l_partkey FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT side, k FROM (SELECT 'right' AS side, l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT 'right', l_partkey FROM lineitem WHERE l_returnflag = 'A')""")
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_quantity < 3")
+    line = read(spark, sf_dir, "lineitem")
     return J.only_in(line.where("l_returnflag = 'A'"), line.where("l_returnflag = 'R'"), "l_partkey")
 
 

@@ -34,9 +34,9 @@ def iupac_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna(spark, sf_dir).select("id", Q.iupac_mismatches(F.substring("seq", 1, 6), F.lit("RNARNA")).alias("mismatches"))
 
 
-@query(f"WITH {SEQ} SELECT id, i::INT AS pos, substr(seq, (i + 1)::INT, 5) AS kmer FROM s, unnest(range(0, length(seq) - 4)) t(i) WHERE id < 300")
+@query(f"WITH {SEQ} SELECT id, i::INT AS pos, substr(seq, (i + 1)::INT, 5) AS kmer FROM s, unnest(range(0, length(seq) - 4)) t(i)")
 def kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = dna(spark, sf_dir).where("id < 300")
+    s = dna(spark, sf_dir)
     return s.select("id", F.explode(Q.kmers(F.col("seq"), 5)).alias("k")).select("id", "k.pos", "k.kmer")
 
 
@@ -146,13 +146,13 @@ def protein_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("tx_id").agg(F.count("*").alias("n_blocks"), F.sum(F.col("b.end") - F.col("b.start")).alias("bases"), F.min("b.start").alias("start"))
 
 
-@query(f"""WITH {TX}, r AS (SELECT tx_id AS read, s0 + p AS a, s0 + p + 12 AS z, CASE WHEN tx_id % 3 = 0 THEN '-' ELSE '+' END AS rs FROM tx, unnest([0, 13]) t(p) WHERE tx_id % 20 = 3),
+@query(f"""WITH {TX}, r AS (SELECT tx_id AS read, s0 + p AS a, s0 + p + 12 AS z, CASE WHEN tx_id % 3 = 0 THEN '-' ELSE '+' END AS rs FROM tx, unnest([0, 13]) t(p)),
 m AS (SELECT r.read, r.a, t.tx_id, t.strand, r.rs, t.n, t.s0, a - t.s0 AS x, z - t.s0 AS y FROM r JOIN tx t ON r.read % 100 = t.gene)
 SELECT read, a, tx_id, CASE WHEN rs <> strand THEN 'StrandMismatch' WHEN (x // n) % 3 = 0 AND y <= (x // n) * n + n THEN 'Compatible' WHEN EXISTS (SELECT 1 FROM unnest([0, 1]) t(k) WHERE x < (3 * k + 3) * n AND y > (3 * k + 1) * n) THEN 'Intronic' ELSE 'Incompatible' END AS class FROM m WHERE y > 0 AND x < 7 * n""")
 def transcript_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transcripts(spark, sf_dir)
     p = F.explode(F.array(F.lit(0), F.lit(13))).alias("p")
-    r = t.where("tx_id % 20 = 3").select(F.col("tx_id").alias("read"), "gene", F.col("exons")[0]["start"].alias("s0"), F.when(F.col("tx_id") % 3 == 0, "-").otherwise("+").alias("rs"), p)
+    r = t.select(F.col("tx_id").alias("read"), "gene", F.col("exons")[0]["start"].alias("s0"), F.when(F.col("tx_id") % 3 == 0, "-").otherwise("+").alias("rs"), p)
     r = r.select("read", "gene", "rs", (F.col("s0") + F.col("p")).alias("a"))
     j = r.join(t.select("gene", "tx_id", "strand", "exons"), "gene").withColumn("blocks", F.array(F.struct(F.col("a").alias("start"), (F.col("a") + 12).alias("end"))))
     return j.select("read", "a", "tx_id", T.match_class(F.col("blocks"), F.col("rs"), F.col("exons"), F.col("strand")).alias("class"))
@@ -167,13 +167,13 @@ def transcripts_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tx_id", "exon", "exon_start")
 
 
-@query("""WITH m AS (SELECT l_suppkey AS cell, l_returnflag AS gene, l_orderkey AS umi, list_sort(list(DISTINCT (l_linenumber % 4 * 2)::INT)) AS bits FROM lineitem WHERE l_suppkey < 20 GROUP BY ALL),
+@query("""WITH m AS (SELECT l_suppkey AS cell, l_returnflag AS gene, l_orderkey AS umi, list_sort(list(DISTINCT (l_linenumber % 4 * 2)::INT)) AS bits FROM lineitem GROUP BY ALL),
 t AS (SELECT * FROM (VALUES ('A', 1, [0, 2]), ('A', 2, [0, 2, 4, 6]), ('N', 3, [0, 4]), ('R', 4, [2, 4, 6])) x(gene, tx, b)),
 d AS (SELECT m.*, tx, len(list_filter(bits, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: x BETWEEN list_min(bits) AND list_max(bits) AND NOT list_contains(bits, x))) AS d FROM m JOIN t USING (gene)),
 r AS (SELECT *, row_number() OVER (PARTITION BY cell, gene, umi ORDER BY d, tx) AS k FROM d)
 SELECT cell, gene, umi, CASE WHEN d = 0 THEN 'Reference' ELSE 'Novel' END AS kind, CASE WHEN d = 0 THEN tx END AS tx_id FROM r WHERE k = 1""")
 def umi_isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_suppkey < 20")
+    line = read(spark, sf_dir, "lineitem")
     umis = line.groupBy(F.col("l_suppkey").alias("cell"), F.col("l_returnflag").alias("gene"), F.col("l_orderkey").alias("umi")).agg(F.array_sort(F.collect_set((F.col("l_linenumber") % 4 * 2).cast("int"))).alias("bits"))
     tx = spark.createDataFrame([("A", 1, [0, 2]), ("A", 2, [0, 2, 4, 6]), ("N", 3, [0, 4]), ("R", 4, [2, 4, 6])], "gene string, tx_id int, bits array<int>")
     return T.resolve_umis(umis, tx)
@@ -185,15 +185,15 @@ def on_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.on_fractions(sparse(spark, sf_dir), cells(spark, sf_dir), "cluster"), "fraction", digits=9)
 
 
-LIGHTS = f"""{GENES}, m AS (SELECT chr, gene AS id, floor((start + "end") / 2)::BIGINT AS mid FROM genes WHERE gene < 300), fr AS (SELECT l_partkey AS id, l_suppkey % 6 AS grp, avg(l_quantity) / 50 AS x FROM lineitem WHERE l_partkey < 300 GROUP BY ALL),
+LIGHTS = f"""{GENES}, m AS (SELECT chr, gene AS id, floor((start + "end") / 2)::BIGINT AS mid FROM genes), fr AS (SELECT l_partkey AS id, l_suppkey % 6 AS grp, avg(l_quantity) / 50 AS x FROM lineitem GROUP BY ALL),
 p AS (SELECT a.chr, a.id, b.id AS neighbour, abs(a.mid - b.mid) AS distance, row_number() OVER (PARTITION BY a.chr, a.id ORDER BY abs(a.mid - b.mid), b.id) AS rank FROM m a JOIN m b ON a.chr = b.chr AND a.id <> b.id),
 l AS (SELECT p.chr, p.id, p.neighbour, distance, rank, round(avg(((f.x >= 0.5) = (g.x >= 0.5))::INT), 6) AS agreement, CASE WHEN count(*) >= 2 THEN round(corr(f.x, g.x), 5) END AS pearson FROM p JOIN fr f ON f.id = p.id JOIN fr g ON g.id = p.neighbour AND g.grp = f.grp WHERE rank <= 2 GROUP BY ALL)"""
 
 
 @query(f"WITH {LIGHTS} SELECT * FROM l")
 def neighbour_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = genes(spark, sf_dir).where("gene < 300").select("chr", F.col("gene").alias("id"), F.floor((F.col("start") + F.col("end")) / 2).alias("mid"))
-    fr = read(spark, sf_dir, "lineitem").where("l_partkey < 300").groupBy(F.col("l_partkey").alias("feature"), (F.col("l_suppkey") % 6).alias("grp")).agg((F.avg("l_quantity") / 50).alias("fraction"))
+    g = genes(spark, sf_dir).select("chr", F.col("gene").alias("id"), F.floor((F.col("start") + F.col("end")) / 2).alias("mid"))
+    fr = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("feature"), (F.col("l_suppkey") % 6).alias("grp")).agg((F.avg("l_quantity") / 50).alias("fraction"))
     out = L.lights(g, fr, "grp", 2, 0.5).withColumn("rank", F.col("rank").cast("long"))
     return out.withColumns({"agreement": F.round("agreement", 6), "pearson": F.round("pearson", 5)})
 
@@ -241,9 +241,10 @@ def read_name_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", "x.read_id", "x.cell", "x.umi", "x.type")
 
 
-@query(f"WITH {READS}, cov AS (SELECT chr, bin, count(DISTINCT id) AS value FROM (SELECT chr, id, unnest(range(start // 50, (\"end\" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL) SELECT chr, bin, round(value * 1e9 / 50 / (SELECT sum(value) FROM cov), 5) AS value FROM cov")
+@query(f"WITH {READS}, cov AS (SELECT chr, bin, count(*) AS value FROM (SELECT chr, id, unnest(range(start // 50, (\"end\" - 1) // 50 + 1)) AS bin FROM reads) GROUP BY ALL) SELECT chr, bin, round(value * 1e9 / 50 / (SELECT count(*) FROM reads), 5) AS value FROM cov")
 def coverage_rpkm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.normalised(I.coverage(reads(spark, sf_dir), 50, ["id"]), "RPKM", 50), "value", digits=5)
+    r = reads(spark, sf_dir)
+    return rounded(I.normalised(I.coverage(r, 50), "RPKM", 50, r), "value", digits=5)
 
 
 @query()

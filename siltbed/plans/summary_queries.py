@@ -14,7 +14,7 @@ from siltbed.plans.molecule_queries import COUNTS, counts, read
 
 #: Cells with a cluster (the supplier's nation), and counts of parts per supplier.
 CELLS = "cells AS (SELECT s_suppkey AS cell, s_nationkey % 5 AS cluster FROM supplier)"
-SPARSE = f"{CELLS}, counts AS (SELECT l_suppkey AS cell, p_brand AS feature, count(*) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 10 GROUP BY ALL)"
+SPARSE = f"{CELLS}, counts AS (SELECT l_suppkey AS cell, p_brand AS feature, count(*) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("feature"))
-    line = read(spark, sf_dir, "lineitem").where("l_quantity <= 10").select(F.col("l_suppkey").alias("cell"), "l_partkey")
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), "l_partkey")
     return line.join(part, line.l_partkey == part.p_partkey).groupBy("cell", "feature").agg(F.count("*").alias("value"))
 
 
@@ -81,26 +81,28 @@ def best_second_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.best_and_second(counts(spark, sf_dir), "cell", "feature", "value")
 
 
-@query(f"""WITH {COUNTS}, r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, feature) AS k, lead(value) OVER (PARTITION BY cell ORDER BY value DESC, feature) AS v2, sum(value) OVER (PARTITION BY cell) AS total FROM counts)
-SELECT cell, total::BIGINT AS total, feature AS top_feature, round(value / total, 9) AS share, value - coalesce(v2, 0) AS lead_over_next FROM r WHERE k = 1""")
+@query(f"""WITH {COUNTS}, g AS (SELECT DISTINCT cell, f.feature FROM counts CROSS JOIN (SELECT DISTINCT p_brand AS feature FROM part) f), d AS (SELECT g.cell, g.feature, coalesce(value, 0) AS value FROM g LEFT JOIN counts c ON c.cell = g.cell AND c.feature = g.feature),
+m AS (SELECT cell, max(value) AS top, sum(value) AS total FROM d GROUP BY cell)
+SELECT m.cell, any_value(total)::BIGINT AS total, min(feature) FILTER (value = top) AS top_feature, round(any_value(top / total), 9) AS share, round(coalesce(min(top - value) FILTER (top - value > 0), 0) / any_value(top), 9)::DOUBLE AS gap_share FROM m JOIN d USING (cell) GROUP BY m.cell""")
 def dense_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.dense_row(counts(spark, sf_dir)), "share", digits=9)
+    features = read(spark, sf_dir, "part").select(F.col("p_brand").alias("feature"))
+    return rounded(S.dense_row(counts(spark, sf_dir), features), "share", "gap_share", digits=9)
 
 
-@query("""WITH o AS (SELECT l_suppkey AS cell, sum((l_discount > 0.09)::INT) AS mut, sum((l_discount < 0.02)::INT) AS wt FROM lineitem WHERE l_partkey % 400 = 0 GROUP BY l_suppkey)
+@query("""WITH o AS (SELECT l_suppkey AS cell, sum((l_discount > 0.09)::INT) AS mut, sum((l_discount < 0.02)::INT) AS wt FROM lineitem GROUP BY l_suppkey)
 SELECT cell, mut::BIGINT AS mut, wt::BIGINT AS wt, CASE WHEN mut > 0 THEN 'MUT' WHEN wt >= 2 THEN 'WT' ELSE 'NO_INFO' END AS call FROM o""")
 def genotype_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "lineitem").where("l_partkey % 400 = 0").groupBy(F.col("l_suppkey").alias("cell"))
+    o = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"))
     o = o.agg(F.count_if(F.col("l_discount") > 0.09).alias("mut"), F.count_if(F.col("l_discount") < 0.02).alias("wt"))
     return o.withColumn("call", S.genotype(F.col("mut"), F.col("wt"), 2))
 
 
 @query("""WITH c AS (SELECT s_suppkey AS cell FROM supplier), n AS (SELECT DISTINCT p_size AS snp FROM part),
-v AS (SELECT l_suppkey AS cell, p_size AS snp, count(*) FILTER (l_returnflag = 'R') AS ref, count(*) FILTER (l_returnflag = 'A') AS alt FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY ALL)
+v AS (SELECT l_suppkey AS cell, p_size AS snp, count(*) FILTER (l_returnflag = 'R') AS ref, count(*) FILTER (l_returnflag = 'A') AS alt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT cell, snp, coalesce(ref, 0) AS ref, coalesce(alt, 0) AS alt FROM c CROSS JOIN n LEFT JOIN v USING (cell, snp)""")
 def ref_alt_dense_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("snp"))
-    line = read(spark, sf_dir, "lineitem").where("l_quantity > 45").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     seen = [(line.where(F.col("l_returnflag") == f).groupBy(F.col("l_suppkey").alias("cell"), "snp").agg(F.count("*").alias("value")), n) for f, n in (("R", "ref"), ("A", "alt"))]
     return S.dense_cross(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell")), part.select("snp").distinct(), *seen, key=("cell", "snp"))
 
@@ -122,11 +124,11 @@ def compat_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.compatibility_classes(read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("item")), "l_orderkey", "item")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_returnflag AS grp, l_linenumber AS member, l_partkey % 50 AS position FROM lineitem WHERE l_quantity < 8),
+@query("""WITH m AS (SELECT DISTINCT l_returnflag AS grp, l_linenumber AS member, l_partkey % 50 AS position FROM lineitem),
 s AS (SELECT grp, count(DISTINCT member) AS size FROM m GROUP BY grp)
 SELECT m.grp, position FROM m JOIN s ON m.grp = s.grp GROUP BY m.grp, position, size HAVING count(*) = size""")
 def shared_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read(spark, sf_dir, "lineitem").where("l_quantity < 8").select(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("member"), (F.col("l_partkey") % 50).alias("position"))
+    m = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("member"), (F.col("l_partkey") % 50).alias("position"))
     return S.shared_positions(m, m.select("grp", "member"))
 
 
@@ -151,24 +153,24 @@ def second_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knee(read(spark, sf_dir, "part").select(total.alias("total")))
 
 
-@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS grp, (l_extendedprice % 1000 + 1) / 1002 AS p FROM lineitem WHERE l_partkey % 7 = 0),
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS grp, (l_extendedprice % 1000 + 1) / 1002 AS p FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS k, count(*) OVER (PARTITION BY grp) AS m FROM t)
 SELECT id, grp, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY grp ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("grp"), ((F.col("l_extendedprice") % 1000 + 1) / 1002).alias("p"))
+    t = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("grp"), ((F.col("l_extendedprice") % 1000 + 1) / 1002).alias("p"))
     return rounded(R.bh_fdr(t, "p", ["grp"], "id"), "p", "q", digits=9)
 
 
-@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_extendedprice % 1000 + 1) / 1002 AS p FROM lineitem WHERE l_partkey % 7 = 0), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM t)
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_extendedprice % 1000 + 1) / 1002 AS p FROM lineitem), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM t)
 SELECT id, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
 def bh_over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_extendedprice") % 1000 + 1) / 1002).alias("p"))
+    t = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_extendedprice") % 1000 + 1) / 1002).alias("p"))
     return rounded(R.bh_over_all(t, "p", "id"), "p", "q", digits=9)
 
 
-@query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS avg_rank FROM lineitem WHERE l_suppkey <= 20")
+@query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS avg_rank FROM lineitem")
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_suppkey <= 20")
+    line = read(spark, sf_dir, "lineitem")
     return line.select("l_orderkey", "l_linenumber", R.average_rank("l_quantity", ["l_returnflag"]).alias("avg_rank"))
 
 

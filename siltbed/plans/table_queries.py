@@ -111,10 +111,10 @@ def barcode_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.barcode_join(reads, s.where("id % 7 = 0").select(F.substring("seq", 1, 8).alias("barcode")).distinct(), 1, 2)
 
 
-@query(f"""WITH r AS (SELECT p_partkey AS id, {DNA} AS seq FROM part WHERE p_partkey % 10 = 0), f AS (SELECT DISTINCT substr({DNA}, 3, 10) AS fseq FROM part WHERE p_partkey % 40 = 1),
+@query(f"""WITH r AS (SELECT p_partkey AS id, {DNA} AS seq FROM part WHERE p_partkey % 20 = 0), f AS (SELECT DISTINCT substr({DNA}, 3, 10) AS fseq FROM part),
 rk AS (SELECT id, i AS rp, substr(seq, (i + 1)::INT, 6) AS kmer FROM r, unnest(range(0, length(seq) - 5)) t(i)), fk AS (SELECT fseq, i AS fp, substr(fseq, (i + 1)::INT, 6) AS kmer FROM f, unnest(range(0, length(fseq) - 5)) t(i))
 SELECT id, fseq AS feature, (rp - fp)::INT AS "offset", count(*) AS hits FROM rk JOIN fk USING (kmer) GROUP BY ALL HAVING count(*) >= 5""")
 def kmer_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = dna(spark, sf_dir)
-    features = s.where("id % 40 = 1").select(F.substring("seq", 3, 10).alias("fseq")).distinct().withColumn("feature", F.col("fseq"))
-    return Z.seed_join(s.where("id % 10 = 0"), features, 6, 5, top=1000).select("id", "feature", "offset", "hits")
+    features = s.select(F.substring("seq", 3, 10).alias("fseq")).distinct().withColumn("feature", F.col("fseq"))
+    return Z.seed_join(s.where("id % 20 = 0"), features, 6, 5, top=1000).select("id", "feature", "offset", "hits")

@@ -21,6 +21,7 @@ from siltbed.operators import molecules as M
 from siltbed.operators import ranking as R
 from siltbed.operators import reads as A
 from siltbed.operators import relations as J
+from siltbed.operators import summaries as U
 from siltbed.operators import tabular as T
 
 
@@ -54,8 +55,13 @@ def test_overlap_join_equals_brute_force(spark, width):
 def test_islands_touch_and_coverage_counts_reads_once(spark):
     df = spark.createDataFrame([("a", 0, 5), ("a", 5, 7), ("a", 8, 9), ("b", 1, 20), ("b", 3, 4)], "chr string, start long, end long")
     assert rows(I.islands(df)) == [("a", 0, 7, 2), ("a", 8, 9, 1), ("b", 1, 20, 2)]
-    blocks = spark.createDataFrame([(1, "a", 0, 5), (1, "a", 8, 12), (2, "a", 9, 10), (3, "a", 5, 5)], "read long, chr string, start long, end long")
-    assert rows(I.coverage(blocks, 10)) == [("a", 0, 2), ("a", 1, 1)]
+    blocks = spark.createDataFrame([("a", [(0, 5), (8, 12)]), ("a", [(9, 10)]), ("a", [(5, 5)]), ("a", [])], "chr string, blocks array<struct<start:long,end:long>>")
+    track = I.block_coverage(blocks, 10)
+    assert rows(track) == [("a", 0, 2), ("a", 1, 1)] and rows(I.coverage(df.where("chr = 'a'"), 5)) == [("a", 0, 1), ("a", 1, 2)]
+    # four mapped reads, one of them in two bins and two in none
+    assert rows(I.normalised(track, "CPM", 10, blocks)) == [("a", 0, 500_000.0), ("a", 1, 250_000.0)]
+    assert rows(I.normalised(track, "RPKM", 10, blocks)) == [("a", 0, 5e7), ("a", 1, 2.5e7)]
+    assert rows(I.normalised(track, "CPM", 10, blocks.limit(0))) == [("a", 0, 0.0), ("a", 1, 0.0)]
 
 
 def test_neighbours_with_many_ties(spark):
@@ -295,8 +301,8 @@ def test_module_controls_and_phase(spark):
     means = spark.createDataFrame([(f"g{k:02d}", float(k)) for k in range(48)], "feature string, mean double")
     module = spark.createDataFrame([("g03",), ("g40",)], "feature string")
     assert rows(X.control_genes(means, module, 24, 100)) == [("g02",), ("g41",)]
-    phases = spark.createDataFrame([(-1.0, -2.0), (2.0, 1.0), (0.0, 1.0)], "s double, g double").select(X.phase(F.col("s"), F.col("g")).alias("p"))
-    assert [r.p for r in phases.collect()] == ["G1", "S", "G2M"]
+    phases = spark.createDataFrame([(-1.0, -2.0), (2.0, 1.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)], "s double, g double").select(X.phase(F.col("s"), F.col("g")).alias("p"))
+    assert [r.p for r in phases.collect()] == ["G1", "S", "G2M", "G2M", "G2M"]
 
 
 def test_positions_with_hot_values(spark):
@@ -319,3 +325,30 @@ def test_partner_sets_ids_and_groups(spark):
     assert rows(J.rewrite_ids(df, "id", spark.createDataFrame([("a", "z")], "old string, new string"))) == [("b", 2), ("z", 1)]
     g = spark.createDataFrame([("x", "m2"), ("x", "m1"), ("", "m3"), (None, "m4")], "clone string, cell string")
     assert [(r.clone, r.members, r.n) for r in J.grouped_members(g, "clone", "cell").collect()] == [("x", ["m1", "m2"], 2)]
+
+
+def test_marker_scores_by_hand(spark):
+    rows_in = [(0.5, 0.25, 3.0, 1.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.5, 0.0, 1.0), (1.0, 0.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows_in, "d double, b double, x double, y double")
+    got = df.select(*[c.alias(n) for n, c in X.marker_scores(*map(F.col, "dbxy")).items()]).collect()
+    ln2 = math.log(2)
+    assert tuple(got[0]) == pytest.approx((0.25 * (1 + ln2) * 2 * ln2, 2 * ln2 * 0.75 * math.sqrt(0.5) * 0.5 * 0.25, (0.25 + 0.1 * ln2 * 0.5) / 64))
+    assert tuple(got[1]) == (0, 0, 0)
+    assert tuple(got[2]) == pytest.approx((0, 0, 0.5 / 8)) and tuple(got[3]) == pytest.approx((1 * (1 + ln2) * ln2, 0, 1 / 8))
+
+
+def test_marker_rankings_of_two_groups(spark):
+    cells = spark.createDataFrame([(c, c % 2) for c in range(20)], "cell long, grp long")
+    values = spark.createDataFrame([(c, f, float(v)) for c in range(20) for f, v in (("even", 5 * (c % 2 == 0)), ("odd", 5 * (c % 2)), ("all", 2)) if v], "cell long, feature string, value double")
+    tests = X.marker_tests(values, cells, "grp", 5)
+    one = {r.feature: r for r in tests.where("grp = 0").collect()}
+    assert (one["even"].mean, one["even"].other_mean, one["even"].detection, one["even"].other_detection, one["even"].u) == (5, 0, 1, 0, 25)
+    assert one["all"].u == 12.5 and one["all"].log2fc == 0 and one["odd"].u == 0 and one["even"].p == pytest.approx(0.0090, abs=2e-4)
+    ranked = {(r.ranking, r.grp, r.direction): r.feature for r in X.marker_rankings(tests, "grp").collect()}
+    assert ranked[("significance", 0, "up")] == "even" and ranked[("significance", 0, "down")] == "odd" and ranked[("general", 1, "up")] == "odd"
+    assert ("sparse", 0, "up") not in ranked and ranked[("low_signal", 0, "down")] == "odd"  # found in every cell: nothing sparse
+
+
+def test_dense_row_by_hand(spark):
+    counts = spark.createDataFrame([(1, "b", 4), (1, "a", 4), (1, "c", 3), (2, "a", 5), (3, "a", 2), (3, "b", 2), (3, "c", 2)], "cell int, feature string, value int")
+    assert rows(U.dense_row(counts)) == [(1, 11, "a", pytest.approx(4 / 11), 0.25), (2, 5, "a", 1.0, 1.0), (3, 6, "a", pytest.approx(1 / 3), 0.0)]

@@ -121,8 +121,9 @@ def test_lights_and_models(spark):
     assert {r.bin for r in L.by_distance(L.lights(genes, fr, "grp", 1, 0.4)).collect()} == {"<10kb", "50-100kb"}
     t = L.holdout_recovery(spark.createDataFrame([(True, True), (True, False), (False, False)], "called boolean, seen boolean")).first()
     assert (t.a, t.b, t.c, t.d) == (1, 1, 0, 1) and t.odds_ratio == pytest.approx(3)
-    ctl = spark.createDataFrame([("WT",), ("ctrl_2",), ("mock-1",), ("control3",), ("wtx",), ("treated",)], "n string").select(L.is_control(F.col("n")).alias("c")).collect()
-    assert [r.c for r in ctl] == [True, True, True, True, False, False]
+    names = {"WT": True, "ctrl_2": True, "mock-1": True, "control3": True, "wtx": False, "treated": False, "wt3b": True, "Wild-Type": True, "wild_type": False, "dmso": False, "ref": False, " wt": False, "Vehicle_": True, "wt\n": False}
+    ctl = spark.createDataFrame([(n,) for n in names], "n string").select(L.is_control(F.col("n")).alias("c")).collect()
+    assert [r.c for r in ctl] == list(names.values())
     means = spark.createDataFrame([(g, f"f{k}", float((k % 3 == i) * 2)) for i, g in enumerate("xyz") for k in range(12)], "grp string, feature string, mean double")
     model = L.gene_model(means, "grp")
     values = spark.createDataFrame([(1, f"f{k}", 1.0 + (k % 3 == 1)) for k in range(12)], "cell long, feature string, value double")

@@ -25,9 +25,22 @@ def test_tags_by_exact_and_scored_placements(spark):
     assert one["near"] == "a"
     s = spark.createDataFrame([("ACGT", "ACGA", "I5I5")], "a string, b string, q string").select(T.weighted_score(F.col("a"), F.col("b"), T.qualities(F.col("q"))).alias("s")).first().s
     assert s == (2 + 2) + (2 + 1) + (2 + 2) - (2 + 4)
-    local = features.withColumn("locus", F.when(F.col("ord") == 2, "L2").otherwise("L1"))
-    at = T.map_tags_at_locus(reads.withColumn("locus", F.lit("L2")), local, k=8)
-    assert {r.id: r.feature for r in at.where("id = 'near'").collect()} in ({"near": "a2"}, {"near": None})
+
+
+def test_tags_are_judged_inside_their_locus(spark):
+    x = "AACCGGTTAACCGGTT"
+    local = spark.createDataFrame([("one", 11, x), ("two", 22, x), ("alias", 44, "ACGTTGCAACGTAGGT"), ("alias", 55, "ACGTTGCAACGTAGGT"), ("t1", 66, "TTTTGGGGCCCCAAA"), ("t2", 66, "TTTTGGGGCCCCTTT")], "feature string, locus int, fseq string")
+    seqs = [(1, 11, x), (2, 22, x), (3, 33, x), (4, 44, "GG" + "ACGTTGCAACGTAGGT"), (5, 55, "ACGTTGCAACGTAGG"), (6, 66, "TTTTGGGGCCCCGGG"), (7, 11, "AACC"), (8, 11, None), (9, 11, "N" * 30)]
+    reads = spark.createDataFrame(seqs, "id int, locus int, seq string")
+    got = {r.id: (r.status, r.features, r.hits) for r in T.map_tags_at_locus(reads, local, min_hits=3).collect()}
+    assert got[1] == ("Hit", ["one"], 1) and got[2] == ("Hit", ["two"], 1) and got[3] == ("NoHit", None, None)
+    assert got[4] == ("Hit", ["alias"], 1) and got[5] == ("Hit", ["alias"], 8)  # whole; eight words of a cut one
+    assert got[6] == ("Tie", ["t1", "t2"], 5)
+    assert all(got[k] == ("NoHit", None, None) for k in (7, 8, 9)) and len(got) == 9
+    # a better feature of another locus doesn't take a read's own away
+    far = spark.createDataFrame([("near", 1, "ACGTTGCATCGTAGGT"), ("exact", 2, "ACGTTGCAACGTAGGT")], "feature string, locus int, fseq string")
+    one = T.map_tags_at_locus(spark.createDataFrame([(1, 1, "ACGTTGCAACGTAGGT")], "id int, locus int, seq string"), far, min_hits=1).first()
+    assert (one.status, one.features) == ("Hit", ["near"])
 
 
 def test_combinatorial_barcodes(spark):
