@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
 
-from siltbed.scratch import delete_stored, shared_dir, stored
+from siltbed.scratch import cleared, delete_stored, shared_dir, stored
 
 
-__all__ = ["as_bytes", "delete_stored", "fresh", "schema_plus", "shared_dir", "stored", "table"]
+__all__ = ["as_bytes", "cleared", "delete_stored", "fresh", "schema_plus", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

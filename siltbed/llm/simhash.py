@@ -19,7 +19,7 @@ them is cut again by the codewords near its third segment, which is exact for th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -71,7 +71,8 @@ def with_fingerprint(docs: DataFrame, out: str) -> DataFrame:
             fps = np.array([fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", out])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {out} long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {out} long")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -256,26 +257,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(final, rows.fp == final.f).select("doc_id", hex16.alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one for each component of near_duplicates: that of the smallest doc_id. All columns stay.
+def joined_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined (left_semi or left_anti) to a table of one column of doc_ids, which is broadcast if it takes at most
+    BROADCAST_BYTES; that is counted."""
+    name = fresh(docs, "gone")
+    right = ids.toDF(name)
+    small = right.agg(F.coalesce(F.sum(ID_BYTES + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    return docs.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col(name)), how)
 
-    Texts are not shuffled: the doc_ids that go are broadcast if they take at most BROADCAST_BYTES, which is counted, else
-    joined. A doc_id that stays but occurs more than once keeps the row of the smallest hash of its text; rows with a null
-    doc_id count as one doc_id.
+
+def deduplicate(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs, one for each component of groups(docs): that of the smallest doc_id. All columns stay, by any names.
+
+    groups gives doc_id and component_id of every row: near_duplicates, or similar.near_copies. Texts are not shuffled: the
+    doc_ids that go are broadcast or joined (joined_ids). A doc_id that stays but occurs more than once keeps the row of the
+    smallest hash of its text; rows with a null doc_id count as one doc_id. Null, empty and very long texts are texts as
+    others; an empty table gives no rows.
     """
-    rows = stored(near_duplicates(docs), "components")
+    rows = stored(groups(docs.select("doc_id", "text")).select("doc_id", "component_id"), "components")
     ids = rows.groupBy(F.col("doc_id").alias("gone")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
     ids = stored(ids, "doc_ids")
     gone, again = ids.where(~F.col("stays")).select("gone"), ids.where("stays and n > 1").select("gone")
-
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        small = right.count() * ID_BYTES <= BROADCAST_BYTES
-        return left.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col("gone")), how)
-
-    kept = joined(docs, gone, "left_anti")
+    kept = joined_ids(docs, gone, "left_anti")
     if not again.take(1):
         return kept
     place = fresh(docs, "place")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string")))
-    one = joined(kept, again, "left_semi").withColumn(place, rank).where(F.col(place) == 1).drop(place)
-    return joined(kept, again, "left_anti").unionByName(one)
+    one = joined_ids(kept, again, "left_semi").withColumn(place, rank).where(F.col(place) == 1).drop(place)
+    return joined_ids(kept, again, "left_anti").unionByName(one)
