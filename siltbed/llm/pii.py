@@ -1,16 +1,24 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct for distinct originals, equal for equal ones.
 
-Numbers, keys, addresses and mail names are replaced by a keyed permutation of all strings of their own format (a Feistel
-network with cycle walking over the mixed-radix number that their variable characters spell): a bijection, so two
-originals never meet in one surrogate, and the same original gets the same surrogate in every document, without a table.
-Cards that pass the Luhn check get surrogates that do. Names behind a title are replaced by a name of the title's gender
-in the name's script and case from a keyed choice, which is no bijection; so the distinct originals of the whole corpus
-are grouped by surrogate, and where two meet (or one is its own surrogate) the later ones are rekeyed by a counter until
-none do. Each rekeying adds a syllable to the name, so that the names to choose from outgrow those that meet.
+Each unit of an entity (a number, key, address, mail address, or one part of a name) has a canonical form: digits without
+their grouping, lower-cased letters. It is replaced by a keyed permutation of all canonical forms of its kind and size (a
+Feistel network s with cycle walking over the mixed-radix number that the characters spell, used as s^-1(s(x) + k), which
+leaves nothing in its place), then written in the original's grouping and case. A bijection: two units never meet in one
+surrogate, and a unit gets the same one in every document and format, without a table. Cards and account numbers that
+pass their check still do, addresses stay in their network class, phones keep their country.
+
+A part of a name is permuted among the strings of its script and length, and the result is written as syllables of that
+script, enough of them that no two numbers read alike, with an ending of the title's gender for first names and of a
+family name's own form (Иванова stays feminine, and of one family with Иванов). So Mr. John Smith, Mr. Smith and, in the
+same text, John Smith agree; the names to choose from grow with the length of those replaced and can't run out.
+
+A check over the distinct units of the whole corpus groups them by surrogate; were two to meet (or one to be its own
+surrogate) the later ones would be rekeyed by a counter that lengthens names, until none do.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -19,13 +27,15 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import delete_stored, fresh, schema_plus, stored
 
+#: The key's setting in the session, and the key without it, which is no secret.
+KEY_SETTING = "spark.siltbed.pii.key"
 KEY = b"replace this key in production"
-#: Most bytes of rekeyed originals that are broadcast, and what one takes in a dict besides its text; more are joined.
+#: Most bytes of rekeyed units that are broadcast, and what one takes in a dict besides its text; more are joined.
 REKEYED_BYTES = 32 << 20
 ENTRY_BYTES = 250
 
@@ -43,16 +53,20 @@ _PHONES = (
     # digits without any separator, behind a word that tells what they are
     r"(?:(?<=[Cc]all )|(?<=[Tt]el )|(?<=[Tt]el: )|(?<=[Tt]el\. )|(?<=[Pp]hone )|(?<=[Pp]hone: )|(?<=[Mm]obile )|(?<=[Mm]obile: )|(?<=[Ff]ax )|(?<=[Ff]ax: ))\d{7,12}(?![\w-])",
 )
+_TITLE = r"Mr\.?|Mrs\.?|Ms\.?|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme\.?|Señor|Señora|Sr\.|Sra\.|Dr\.|господин|госпожа"
+_PART = r"[^\W\d_a-zа-яёß-ÿ](?:[^\W\d_]|[-'’](?=[^\W\d_])){1,30}"
+_INITIAL = r"[^\W\d_a-zа-яёß-ÿ]\."
 _PATTERNS = (
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=)|(?<=token = \")|(?<=token: \")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}"),
     ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"),
+    ("ip", r"(?<![\d.])(?<![Vv]ersion )(?<![Rr]elease )(?<![Ss]ection )(?<![Vv]er )(?<![Vv]er\. )(?<![A-Za-z])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}:(?![\w:])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", "|".join(_PHONES)),
     ("card", r"(?<![\w.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])"),
-    ("name", r"(?<!\w)(?:Mr\.?|Mrs\.?|Ms\.?|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme\.?|Señor|Señora|Sr\.|Sra\.|Dr\.|господин|госпожа) [^\W\d_a-zа-яß-ÿ][^\W\d_]{1,30}(?: [^\W\d_a-zа-яß-ÿ][^\W\d_]{1,30})?"),
+    ("name", rf"(?<!\w)(?:{_TITLE})(?: (?:{_INITIAL} ){{0,3}}{_PART}){{1,3}}"),
 )
 ENTITY = re.compile("|".join(f"(?P<{t}>{p})" for t, p in _PATTERNS if t != "name"))
 NAME = re.compile(dict(_PATTERNS)["name"])
@@ -66,11 +80,23 @@ CHUNK = 1024
 FEMALE = frozenset({"Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"})
 MALE = frozenset({"Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"})
 TITLES = tuple(sorted(FEMALE | MALE | {"Dr"}))
-_LATIN = (("Bel", "Cor", "Dan", "El", "Fer", "Gar", "Hal", "Jor", "Kel", "Lor", "Mar", "Nor", "Ol", "Per", "Ros", "Sel", "Tor", "Val", "Wil", "Yor"), ("an", "en", "in", "on", "el", "ar", "or", "ir", "ul", "am"), {"f": ("a", "ia", "ette", "ina"), "m": ("o", "us", "ard", "ic"), "n": ("is", "y", "e", "ael")}, ("son", "field", "ham", "ley", "mann", "worth", "by", "ton", "berg", "court"))
-_CYRILLIC = (("Бел", "Вол", "Гор", "Дан", "Зор", "Кор", "Лад", "Мир", "Нов", "Сав"), ("ан", "ен", "ин", "ол", "ар", "ор"), {"f": ("а", "ия", "ина"), "m": ("ик", "ен", "ор"), "n": ("ай", "ей")}, ("ов", "ин", "ский", "енко"))
-#: Consonants and vowels of the syllables that rekeying adds, Latin and Cyrillic; so many of them that NAME still finds the name.
-_ADDED = (("bdfgklmnprstv", "aeiou"), ("бвгдзклмнпрст", "аеиоу"))
-MOST_ADDED = 9
+#: Country codes of one and of two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: First digits of issuers of payment cards, with the numbers' lengths.
+ISSUERS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}|62\d{14,17}")
+#: Address classes that surrogates stay in; the loopback and the unspecified address tell nobody.
+NETWORKS = tuple(ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "100.64.0.0/10"))
+NOBODY = tuple(ipaddress.ip_network(n) for n in ("127.0.0.0/8", "0.0.0.0/8", "255.255.255.255/32"))
+#: Letters of parts of names, plain Latin, Latin and Cyrillic, and the consonants and vowels that surrogates are spelled with.
+_PLAIN = "abcdefghijklmnopqrstuvwxyz"
+_ACCENTED = _PLAIN + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœšžčćđłńśźżąęěňřťůőűğış"
+_RUSSIAN = "абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ"
+_SPELLED = {_PLAIN: ("bdfgklmnprstv", "aeiou"), _ACCENTED: ("bdfgklmnprstv", "aeiou"), _RUSSIAN: ("бвгдзклмнпрст", "аеиоу")}
+_MARKED = dict(zip("aeiou", "áéíóú"))
+#: Endings of first names by the title's gender, and of family names; feminine forms of family names and what they stand for.
+_FIRST = {False: {"f": "a", "m": "o", "n": "e"}, True: {"f": "а", "m": "й", "n": "ко"}}
+_LAST = {False: ("n", "n"), True: ("в", "ва")}
+_FEMININE = re.compile("(?<=[оеё]в)а$|(?<=[иы]н)а$|(?<=[сц]к)ая$")
 
 
 @lru_cache(1 << 16)
@@ -78,21 +104,30 @@ def _mac(key: bytes, what: str) -> int:
     return int.from_bytes(hmac.new(key, what.encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
 
 
-def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size): eight Feistel rounds over the next even number of bits, walked until inside."""
-    if size < 2:
-        return x
-    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+def _walked(x: int, size: int, half: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: eight Feistel rounds over 2 * half bits, walked until inside."""
     mask = (1 << half) - 1
     while True:
         a, b = x >> half, x & mask
-        for r in range(8):
-            a, b = b, a ^ _round(key, f"{tweak}|{half}|{r}|{b}", mask)
+        for r in reversed(range(8)) if back else range(8):
+            if back:
+                a, b = b ^ _round(key, f"{tweak}|{half}|{r}|{a}", mask), a
+            else:
+                a, b = b, a ^ _round(key, f"{tweak}|{half}|{r}|{b}", mask)
         x = a << half | b
         if x < size:
             return x
 
 
+def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(size) that leaves no number in its place (but the one of a range of one)."""
+    if size < 2:
+        return x
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    step = 1 + _mac(key, f"{tweak}|step") % (size - 1)
+    return _walked((_walked(x, size, half, key, tweak) + step) % size, size, half, key, tweak, back=True)
+
+
 def _round(key: bytes, what: str, mask: int) -> int:
     value, n = _mac(key, what), 1
     while mask >> (256 * n):
@@ -139,58 +174,205 @@ def _refilled(form: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in form)
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY, again: int = 0) -> str:
-    """The replacement of an entity; again counts the times that it was rekeyed."""
+def _valid_account(text: str) -> bool:
+    """Whether an account number without spaces passes its check: modulo 97, letters as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[0] in ONE_DIGIT else digits[:2] if digits[:2] in TWO_DIGITS else digits[:3]
+
+
+def lemma(part: str) -> tuple[str, bool]:
+    """A family name's ground form, and whether the part is its feminine form."""
+    m = _FEMININE.search(part)
+    return (part[: m.start()] + ("ий" if m[0] == "ая" else ""), True) if m else (part, False)
+
+
+def name_parts(text: str) -> tuple[str, list[tuple[str, str, str]]]:
+    """The title, and the parts of a name in order: (role, text, unit). Roles are first, last, initial and, for hyphens,
+    apostrophes and spaces between parts, mark, which have no unit."""
+    title, _, rest = text.partition(" ")
+    words = rest.split(" ")
+    out: list[tuple[str, str, str]] = []
+    for k, word in enumerate(words):
+        out += [("mark", " ", "")] if k else []
+        if word.endswith("."):
+            out.append(("initial", word, ""))
+            continue
+        role = "last" if k + 1 == len(words) else "first"
+        for x in re.split("([-'’])", word):
+            if x in ("-", "'", "’"):
+                out.append(("mark", x, ""))
+            elif x:
+                out.append((role, x, lemma(x.lower())[0] if role == "last" else x.lower()))
+    return title, out
+
+
+def units(kind: str, text: str) -> list[tuple[str, str]]:
+    """(kind, canonical form) of what has a surrogate of its own in an entity."""
+    if kind == "name":
+        return [(kind, unit) for *_, unit in name_parts(text)[1] if unit]
+    if kind == "email":
+        return [(kind, text.lower())]
+    if kind in ("phone", "card", "ssn"):
+        return [(kind, "+" * (text[0] == "+") + re.sub(r"\D", "", text))]
+    if kind == "iban":
+        return [(kind, text.replace(" ", ""))]
+    if kind == "ip6":
+        return [(kind, str(ipaddress.IPv6Address(text)))]
+    return [(kind, text)]
+
+
+def unit_surrogate(kind: str, unit: str, key: bytes = KEY, again: int = 0) -> str:
+    """The replacement of a canonical form; again counts the times that it was rekeyed."""
     tweak = kind if not again else f"{kind}#{again}"
+    if kind == "name":
+        return _stem(unit, key, tweak, again)
     if kind == "email":
-        local, _, domain = text.partition("@")
+        local, _, domain = unit.partition("@")
         *labels, top = domain.split(".")
-        return same_format(local, key, tweak) + "@" + ".".join([*(_cased(same_format(x.lower(), key, f"{tweak}|domain"), x) for x in labels), top])
+        return same_format(local, key, tweak) + "@" + ".".join([*(same_format(x, key, f"{tweak}|domain") for x in labels), top])
     if kind == "ip":
-        return str(ipaddress.IPv4Address(permuted(int(ipaddress.IPv4Address(text)), 1 << 32, key, tweak)))
+        at = ipaddress.IPv4Address(unit)
+        home = next((n for n in NETWORKS if at in n), None)
+        if home:
+            first, size = int(home.network_address), home.num_addresses
+            return str(ipaddress.IPv4Address(first + permuted(int(at) - first, size, key, f"{tweak}|{home}")))
+        while True:
+            at = ipaddress.IPv4Address(permuted(int(at), 1 << 32, key, tweak))
+            if not any(at in n for n in (*NETWORKS, *NOBODY)):
+                return str(at)
+    if kind == "ip6":
+        x = int(ipaddress.IPv6Address(unit))
+        return str(ipaddress.IPv6Address((x >> 112 << 112) | permuted(x & ((1 << 112) - 1), 1 << 112, key, f"{tweak}|{x >> 112}")))
     if kind == "aws_key":
-        return text[:4] + same_format(text[4:], key, tweak)
+        return unit[:4] + same_format(unit[4:], key, tweak)
     if kind == "secret":
-        return same_format(text, key, tweak, hexadecimal=True)
+        return same_format(unit, key, tweak, hexadecimal=True)
     if kind == "iban":
-        return text[:2] + same_format(text[2:], key, tweak)
-    if kind == "card":
-        digits = re.sub(r"\D", "", text)
-        head, body = digits[0], digits[1:-1]
-        if luhn(digits):
-            body = same_format(body, key, f"{tweak}|luhn|{head}")
-            return _refilled(text, head + body + next(c for c in "0123456789" if luhn(head + body + c)))
-        return _refilled(text, head + same_format(digits[1:], key, f"{tweak}|{head}"))
-    if kind == "phone" and text[0] == "+":
-        country = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)[0]
-        return country + same_format(text[len(country) :], key, f"{tweak}|{country}")
+        valid = _valid_account(unit)
+        while True:
+            if valid:
+                rest = same_format(unit[4:], key, f"{tweak}|valid|{unit[:2]}")
+                return unit[:2] + next(c for c in (f"{n:02}" for n in range(2, 99)) if _valid_account(unit[:2] + c + rest)) + rest
+            unit = unit[:2] + same_format(unit[2:], key, f"{tweak}|{unit[:2]}")
+            if not _valid_account(unit):
+                return unit
+    if kind == "card":  # all cards pass the check
+        body = same_format(unit[1:-1], key, f"{tweak}|{unit[0]}")
+        return unit[0] + body + next(c for c in "0123456789" if luhn(unit[0] + body + c))
+    if kind == "phone":
+        head = "+" + country_code(unit[1:]) if unit[0] == "+" else unit[: len(unit) - len(unit.lstrip("0"))]
+        rest = unit[len(head) :]
+        while True:
+            rest = same_format(rest, key, f"{tweak}|{head}")
+            if unit[0] == "+" or rest[:1] != "0":
+                return head + rest
+    return same_format(unit, key, tweak)
+
+
+def surrogate(kind: str, text: str, key: bytes = KEY, again: Callable[[str, str], int] = lambda kind, unit: 0, make: Callable[..., str] = unit_surrogate) -> str:
+    """The replacement of an entity in its own grouping and case; again tells how often a unit was rekeyed."""
     if kind == "name":
-        return _name(text, key, tweak, min(again, MOST_ADDED))
-    return same_format(text, key, tweak)
+        return _name(text, key, again, make)
+    [(_, unit)] = units(kind, text)
+    made = make(kind, unit, key, again(kind, unit))
+    if kind == "email":
+        return _cased(made, text)
+    if kind in ("phone", "card", "ssn"):
+        return _refilled(text, made.lstrip("+"))
+    if kind == "iban":
+        it = iter(made)
+        return "".join(c if c == " " else next(it) for c in text)
+    return made
 
 
 def _cased(made: str, like: str) -> str:
-    """Domains in another case are the same domain; each spelling has its own, so that no two originals meet."""
+    """Mail addresses in another case are the same address, spelled in its case."""
     return "".join(m.upper() if c.isupper() else m for m, c in zip(made, like))
 
 
-def _name(text: str, key: bytes, tweak: str, added: int) -> str:
-    """Title and as many names as before, with added syllables: the title's gender, the name's script, its case."""
-    title, *names = text.split(" ")
+def _name(text: str, key: bytes, again: Callable[[str, str], int], make: Callable[..., str]) -> str:
+    title, parts = name_parts(text)
     bare = title.rstrip(".")
     gender = "f" if bare in FEMALE else "m" if bare in MALE else "n"
-    cyrillic = bool(re.search("[а-яА-Я]", names[0]))
-    first, middle, ends, last = _CYRILLIC if cyrillic else _LATIN
-    out = [title]
-    for k, name in enumerate(names):
-        n = _mac(key, f"{tweak}|{gender}|{k}|{len(names)}|{name.casefold()}")
-        picks = []
-        for choices in (first, middle, middle, *_ADDED[cyrillic] * added, ends[gender] if k + 1 < len(names) else last):
-            n, r = divmod(n, len(choices))
-            picks.append(choices[r])
-        made = "".join(picks)
-        out.append(made.upper() if name.isupper() else made)
-    return " ".join(out)
+    out = [title, " "]
+    for role, part, unit in parts:
+        if role == "mark":
+            out.append(part)
+        elif role == "initial":
+            out.append(same_format(part, key, "initial") if part[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else _same_letters(part, key))
+        else:
+            made = make("name", unit, key, again("name", unit))
+            cyrillic = any("\u0400" <= c <= "\u04ff" for c in made)
+            made += _FIRST[cyrillic][gender] if role == "first" else _LAST[cyrillic][lemma(part.lower())[1]]
+            out.append(made.upper() if len(part) > 1 and part.isupper() else made[0].upper() + made[1:])
+    return "".join(out)
+
+
+def _stem(unit: str, key: bytes, tweak: str, again: int) -> str:
+    """Syllables for a lower-cased part of a name, two letters each and one more syllable for each rekeying."""
+    letters = next((x for x in (_PLAIN, _ACCENTED, _RUSSIAN) if set(unit) <= set(x)), None)
+    if letters is None:
+        return _same_letters(unit, key, tweak)
+    base, x = len(letters), 0
+    for c in unit:
+        x = x * base + letters.index(c)
+    # strings of a length are permuted; shorter ones come before longer ones, so that all numbers of an alphabet differ
+    x = permuted(x, base ** len(unit), key, f"{tweak}|{base}|{len(unit)}") + sum(base**n for n in range(1, len(unit)))
+    consonants, vowels = _SPELLED[letters]
+    radix, made = len(consonants) * len(vowels), []
+    most = sum(base**n for n in range(1, len(unit) + 1))
+    x, most = x * radix**again + _mac(key, f"{tweak}|{unit}") % radix**again, most * radix**again
+    while most > 1 or not made:
+        x, r = divmod(x, radix)
+        most = -(-most // radix)
+        made.append(consonants[r // len(vowels)] + vowels[r % len(vowels)])
+    out = "".join(reversed(made))
+    return out[0] + _MARKED[out[1]] + out[2:] if letters is _ACCENTED else out
+
+
+@lru_cache(256)
+def _block_letters(block: int) -> str:
+    """The letters of 128 code points, lower-cased ones only where there are cases."""
+    every = [c for c in map(chr, range(block << 7, (block + 1) << 7)) if c.isalpha()]
+    return "".join([c for c in every if c.islower() and len(c.upper()) == 1] or every)
+
+
+def _same_letters(text: str, key: bytes, tweak: str = "letters") -> str:
+    """text with each letter of any script replaced by one of its block; a bijection on texts of one form."""
+    x, size, sets = 0, 1, []
+    for c in text:
+        letters = _block_letters(ord(c) >> 7)
+        at = letters.find(c.lower() if len(c.lower()) == 1 else c)
+        sets.append(letters if at >= 0 else "")
+        if at >= 0:
+            x, size = x * len(letters) + at, size * len(letters)
+    x = permuted(x, size, key, f"{tweak}|{'|'.join(s[:1] for s in sets)}")
+    out = []
+    for c, letters in zip(reversed(text), reversed(sets)):
+        if letters:
+            x, r = divmod(x, len(letters))
+            c = letters[r].upper() if c.isupper() else letters[r]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def _meant(kind: str, text: str) -> bool:
+    """Whether what a pattern found is an entity: a card of an issuer that passes its check, an address that is one of somebody."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", text)
+        return bool(ISSUERS.fullmatch(digits)) and luhn(digits)
+    if kind == "ip":
+        at = ipaddress.IPv4Address(text)
+        return not any(at in n for n in NOBODY)
+    if kind == "ip6":
+        try:
+            return int(ipaddress.IPv6Address(text)) > 1
+        except ValueError:
+            return False
+    return True
 
 
 def entities(text: str | None) -> Iterator[tuple[int, int, str]]:
@@ -202,11 +384,31 @@ def entities(text: str | None) -> Iterator[tuple[int, int, str]]:
         found = sorted([*found, *((m.start(), m.end(), "name") for m in NAME.finditer(text))])
     at = 0
     for a, b, kind in found:
-        if a >= at:
+        if a >= at and _meant(kind, text[a:b]):
             yield a, b, kind
             at = b
 
 
+def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
+    """(from, to, type, entity) of the entities, and of full names that stand without their title elsewhere in the text; the
+    entity of those is the name with its first title."""
+    found = [(a, b, kind, text[a:b]) for a, b, kind in entities(text)]
+    full: dict[str, str] = {}
+    for *_, kind, entity in found:
+        bare = entity.partition(" ")[2]
+        if kind == "name" and " " in bare:
+            full.setdefault(bare, entity)
+    if not full:
+        return found
+    taken = [(a, b) for a, b, *_ in found]
+    longest = sorted(full, key=len, reverse=True)
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest))})(?!\w)", text):
+        k = bisect.bisect_left(taken, (m.end(), -1))
+        if not k or taken[k - 1][1] <= m.start():
+            found.append((m.start(), m.end(), "name", full[m[0]]))
+    return sorted(found)
+
+
 def _near_signs(text: str) -> Iterator[tuple[int, int]]:
     """The stretches of lines around signs; signs are told far faster than the patterns run."""
     a = b = -1
@@ -230,27 +432,28 @@ def _near_signs(text: str) -> Iterator[tuple[int, int]]:
 
 
 def originals(docs: DataFrame) -> DataFrame:
-    """The distinct (type, original) of docs' texts."""
+    """The distinct (type, original) of the units of docs' texts, in canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({(kind, t[a:b]) for t in batch.column(0).to_pylist() for a, b, kind in entities(t)})
+            found = sorted({u for t in batch.column(0).to_pylist() for a, b, kind in entities(t) for u in units(kind, t[a:b])})
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["type", "original"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "type string, original string").distinct()
 
 
-def rekeyings(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(type, original, again) of the originals that must be rekeyed so that no two of a type share a surrogate and none is its own.
+def rekeyings(found: DataFrame, key: bytes = KEY, make: Callable[..., str] = unit_surrogate) -> DataFrame:
+    """(type, original, again) of the units that must be rekeyed so that no two of a type share a surrogate and none is its own.
 
     found holds distinct (type, original). Each round groups all of them by surrogate; the first by code points keeps its
-    surrogate, the others go up by one. Ends when a round finds nobody; the states are tables, nothing comes to the driver.
+    surrogate, the others go up by one. Ends when a round finds nobody, which for bijections is the first; the states are
+    tables, nothing comes to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, texts, again, old = (c.to_pylist() for c in batch.columns)
-            made = [o if o is not None else surrogate(k, t, key, n) for k, t, n, o in zip(kinds, texts, again, old)]
+            made = [o if o is not None else make(k, t, key, n) for k, t, n, o in zip(kinds, texts, again, old)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())], ["type", "original", "again", "made"])
 
     def state(rows: DataFrame) -> DataFrame:
@@ -270,29 +473,38 @@ def rekeyings(found: DataFrame, key: bytes = KEY) -> DataFrame:
         now = after
 
 
-def rekeyed(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
+def rekeyed(found: DataFrame, key: bytes = KEY, make: Callable[..., str] = unit_surrogate) -> dict[tuple[str, str], int]:
     """rekeyings() as a dict."""
-    return {(r["type"], r["original"]): r["again"] for r in rekeyings(found, key).collect()}
+    return {(r["type"], r["original"]): r["again"] for r in rekeyings(found, key, make).collect()}
 
 
 def replaced(text: str | None, make: Callable[[str, str], str]) -> tuple[str | None, list[str]]:
     """text with its entities replaced, and their types."""
-    found = list(entities(text))
+    found = mentions(text)
     if not found:
         return text, []
     out, at = [], 0
-    for a, b, kind in found:
-        out += [text[at:a], make(kind, text[a:b])]
+    for a, b, kind, entity in found:
+        made = make(kind, entity)
+        out += [text[at:a], made if b - a == len(entity) else made.partition(" ")[2]]
         at = b
-    return "".join([*out, text[at:]]), [kind for *_, kind in found]
+    return "".join([*out, text[at:]]), [kind for _, _, kind, _ in found]
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, else KEY."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else KEY
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with text replaced, and n_entities and entity_types (sorted, distinct).
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """docs with text replaced, and n_entities and entity_types (sorted, distinct); key: default session_key().
 
-    A null text stays null and an empty one empty, with no entities; every row gives one row; equal originals get equal
-    surrogates in all rows; other columns stay, and the new ones get a leading _ where names clash.
+    A null text stays null and an empty one empty, with no entities; very long texts are read whole; every row gives one
+    row; equal originals get equal surrogates in all rows; other columns stay, and the new ones get a leading _ where names
+    clash. Names are found behind a title only, and where a text repeats such a full name without it.
     """
+    key = session_key(docs.sparkSession) if key is None else key
     n, kinds = fresh(docs, "n_entities"), fresh(docs, "entity_types")
     docs = docs.withColumn("text", F.col("text").cast("string"))
     times = rekeyings(stored(originals(docs), "originals"), key)
@@ -304,12 +516,11 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         docs = _with_rekeyings(docs, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        make = lru_cache(1 << 16)(lambda kind, text, again: surrogate(kind, text, key, again))
+        unit = lru_cache(1 << 16)(unit_surrogate)
         for batch in batches:
             columns = batch.columns[: len(names)]
-            own = [{(x["type"], x["original"]): x["again"] for x in r or ()} for r in batch.column(len(names)).to_pylist()] if not few else [known] * batch.num_rows
-            got = [replaced(t, lambda kind, text, again=again: make(kind, text, again.get((kind, text), 0))) for t, again in zip(columns[at].to_pylist(), own)]
+            own = [{(x["type"], x["original"]): x["again"] for x in r or ()} for r in batch.column(len(names)).to_pylist()] if not few else [shared.value] * batch.num_rows
+            got = [replaced(t, lambda kind, text, o=o: surrogate(kind, text, key, lambda k, u: o.get((k, u), 0), unit)) for t, o in zip(columns[at].to_pylist(), own)]
             columns[at] = pa.array([g[0] for g in got], pa.string())
             new = [pa.array([len(g[1]) for g in got], pa.int64()), pa.array([sorted(set(g[1])) for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*columns, *new], names=[*names, n, kinds])
@@ -318,15 +529,15 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def _with_rekeyings(docs: DataFrame, times: DataFrame) -> DataFrame:
-    """docs with the rekeyings of each text's own originals in a last column, joined by a digest of the text."""
-    digest, own = fresh(docs, "digest"), fresh(docs, "rekeyings")
+    """docs with the rekeyings of each text's own units in a last column, joined by a digest of the text."""
+    digest, own, held_digest = fresh(docs, "digest"), fresh(docs, "rekeyings"), fresh(docs, "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({(d, kind, t[a:b]) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, kind in entities(t)})
+            found = sorted({(d, *u) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, kind in entities(t) for u in units(kind, t[a:b])})
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], ["d", "type", "original"])
 
     held = docs.select(F.sha2("text", 256), "text").mapInArrow(run, "d string, type string, original string").distinct()
-    held = held.join(times, ["type", "original"]).groupBy("d").agg(F.collect_list(F.struct("type", "original", "again")).alias(own))
+    held = held.join(times, ["type", "original"]).groupBy(F.col("d").alias(held_digest)).agg(F.collect_list(F.struct("type", "original", "again")).alias(own))
     rows = docs.withColumn(digest, F.sha2("text", 256))
-    return rows.join(held, F.col(digest) == F.col("d"), "left").select(*docs.columns, own)
+    return rows.join(held, F.col(digest) == F.col(held_digest), "left").select(*docs.columns, own)
