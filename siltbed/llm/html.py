@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,17 @@ from siltbed.llm.urlfilter import host_and_path
 
 #: Tokens from which a repeated substring is boilerplate.
 REPEAT = 5
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+#: Quotes count after = only. Possessive, so that a match never goes back; where one fails, the page's rest is read by _LENIENT.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)(>?)", re.S)
+_LENIENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(>?)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"']++)))?")
 #: Elements whose content is not markup; they end at their own end tag only.
 RAW = frozenset({"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without text of their own that don't end a block either.
+UNSEEN = (VOID | {"script", "style"}) - {"br", "hr"}
+#: Elements whose end tags may be left out where the next one begins.
+IMPLIED = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 MAIN = frozenset({"article", "main"})
 #: Boilerplate by tag. A header or footer within the main text counts too.
 DROPPED = frozenset("nav header footer aside form script style head title template noscript iframe object svg button select option textarea input dialog menu audio video noembed noframes xmp".split())
@@ -65,7 +72,9 @@ def _declared(tag: str, attributes: str, within: bool) -> str:
     if tag in DROPPED:
         return "dropped"
     if attributes:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(attributes):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         if found.get("role", "").lower() in ("main", "article"):
             return "main"
         kinds = ("class", "role") if within and tag in HEADINGS else ("class", "id", "role")
@@ -74,7 +83,7 @@ def _declared(tag: str, attributes: str, within: bool) -> str:
         comment = tag == "article" and names & {"comment", "comments"}
         whole = not within or any(parts[0] not in AROUND and DROPPED_NAMES.issuperset(parts) for parts in named)
         by_name = names & DROPPED_NAMES and tag not in HOLDERS
-        if comment or (by_name and whole) or HIDDEN.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
+        if comment or (by_name and whole) or HIDDEN.search(found.get("style", "")) or "hidden" in found:
             return "dropped"
         if by_name:
             return "doubtful"
@@ -93,11 +102,13 @@ def parse(page: str | None) -> tuple[str, list[tuple[str, bool]]]:
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str]]:
-    """The blocks of a page in its order: (text, main, dropped or open)."""
+    """The blocks of a page in its order: (text, main, dropped or open). The time is linear in the page's length."""
     found: list[tuple[str, str]] = []
     block: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements with what holds inside them
-    state, at, page = "open", 0, page or ""
+    # open elements, with what holds inside them, and the place of the nearest element around that is not inline
+    stack: list[tuple[str, str, int]] = []
+    count: Counter[str] = Counter()
+    state, at, page, token = "open", 0, page or "", _TOKEN
 
     def close() -> None:
         text = " ".join(html.unescape("".join(block)).split())
@@ -105,9 +116,22 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if text:
             found.append((text, "open" if state == "doubtful" else state))
 
+    def leave(k: int) -> str:
+        for tag, *_ in stack[k:]:
+            count[tag] -= 1
+        del stack[k:]
+        return stack[-1][1] if stack else "open"
+
     end = len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = token.search(page, at)
+        if m and m[2] and not m[4]:  # a tag without an end, or with a quote that nothing closes
+            if token is _TOKEN:
+                token = _LENIENT
+                m = token.search(page, at)
+            if not m[4]:
+                block.append(page[at : m.start()])
+                break
         start = m.start() if m else end
         if start > at:
             block.append(page[at:start])
@@ -118,16 +142,23 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in INLINE or stack[k][1] != (stack[k - 1][1] if k else "open"):
-                        close()
-                    del stack[k:]
-                    state = stack[-1][1] if stack else "open"
-                    break
-            else:
-                if tag not in INLINE:
+            if count[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                if tag not in INLINE or stack[k][1] != (stack[k - 1][1] if k else "open"):
                     close()
+                state = leave(k)
+            elif tag not in INLINE:
+                close()
+            continue
+        if tag in RAW:
+            if tag not in UNSEEN:
+                close()
+            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            at = stop.end() if stop else end
+            continue
+        if tag in UNSEEN:
             continue
         says = _declared(tag, m[3], state in ("main", "doubtful"))
         inside = _inside(says, state)
@@ -135,20 +166,11 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             close()
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # their end tags may be left out
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if all(t in INLINE or t == tag for t, _ in stack[k:]):
-                        del stack[k:]
-                        inside = _inside(says, stack[-1][1] if stack else "open")
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        stack.append((tag, inside))
+        if tag in IMPLIED and stack and stack[-1][2] >= 0 and stack[stack[-1][2]][0] == tag:
+            inside = _inside(says, leave(stack[-1][2]))
+        around = stack[-1][2] if stack else -1
+        stack.append((tag, inside, around if tag in INLINE else len(stack)))
+        count[tag] += 1
         state = inside
     close()
     return found
@@ -182,22 +204,31 @@ def page_key(page: str | None) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace"))).view(np.int64))
 
 
+STATES = ("main", "open", "dropped")
+
+
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for r in rows for x in r], kind))
+
+
+def _zipped(texts: list[str], states: list[int]) -> list[tuple[str, str]]:
+    return [(t, STATES[s]) for t, s in zip(texts, states)]
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, page, open): window keys of the tokens outside the main text, open if one can be result; and a row without k for
-    each page with undecided blocks."""
+    """(k, page, open): window keys of the tokens outside the main text, open if one can be result."""
     for batch in batches:
-        keys: list[int | None] = []
+        keys: list[int] = []
         owners: list[int] = []
         opens: list[bool] = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blocks = blocks_of(page)
-            own, found = page_key(page), {}
+        for host, own, texts, states in zip(*(c.to_pylist() for c in batch.columns)):
+            blocks = _zipped(texts, states)
+            found: dict[int, bool] = {}
             tokens, numbers = outside(blocks)
             todo = undecided(blocks)
             for at, k in enumerate(windows(tokens, host).tolist()):
                 found[k] = found.get(k, False) or (todo and any(blocks[i][1] == "open" for i in numbers[at : at + REPEAT]))
-            if todo:
-                found[None] = True
             keys += found
             owners += [own] * len(found)
             opens += found.values()
@@ -227,47 +258,43 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The text is the declared main text and the open blocks without tokens that repeat on other pages of the host. A null or empty html gives an empty text; a null url is a host of its own, the empty one.
     Character references are decoded, white space within a block becomes one space, and blocks join in page order by one
-    space. Each row gives one row; repeated rows give equal rows; an empty table gives none; clashing names get a leading _.
+    space. Pages of any length are read whole, once: the blocks are stored, and the array is made of them if a page of the
+    table has open text. Each row gives one row; repeated rows give equal rows; an empty table gives none; clashing names
+    get a leading _, and columns of any name pass.
     """
     text, n = fresh(pages, "text"), fresh(pages, "n_chars")
-    host = host_and_path(F.col("url").cast("string"))[0]
-    source = pages.select(host.alias("host"), F.col("html").cast("string").alias("html"))
-    streams = stored(source.mapInArrow(_streams, "k long, page long, open boolean"), "suffixes")
-    repeated = streams.where("k is not null").groupBy("k").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("k")
-    covered = streams.where("open").join(repeated, "k").groupBy("page").agg(F.collect_set("k").alias("repeats"))
-    h, own, got = fresh(pages, "host"), fresh(pages, "page_key"), fresh(pages, "repeats")
-    rows = pages.withColumns({h: host, "html": F.col("html").cast("string")})
-    at, host_at = rows.columns.index("html"), rows.columns.index(h)
-    keep = [i for i in range(len(rows.columns)) if i not in (at, host_at)]
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finished texts, or the blocks with the page's key."""
+    host, own, texts, states, got, of = (fresh(pages, c) for c in ("host", "page_key", "blocks", "states", "repeats", "of"))
+    rows = pages.withColumns({"html": F.col("html").cast("string"), host: host_and_path(F.col("url").cast("string"))[0]})
+    at = rows.columns.index("html")
+    keep = [i for i in range(len(rows.columns)) if i != at]
+    schema = schema_plus(rows, {own: "long", texts: "array<string>", states: "array<tinyint>"}, without=("html",))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, keys, blocks = [], [], []
-            for page in batch.column(at).to_pylist():
-                found = blocks_of(page)
-                todo = undecided(found)
-                out.append(" ".join(t for t, s in found if s == "main"))
-                blocks.append([{"block": t, "state": s} for t, s in found] if todo else [])
-                keys.append(page_key(page) if todo else None)
-            new = [pa.array(out, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.list_(pa.struct([("block", pa.string()), ("state", pa.string())])))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), batch.column(host_at), *new], names=[*(batch.schema.names[i] for i in keep), h, text, own, "_blocks"])
-
-    parsed = rows.mapInArrow(first, schema_plus(rows, {h: "string", text: "string", own: "long", "_blocks": "array<struct<block:string,state:string>>"}, without=("html", h)))
-    done = parsed.where(F.col(own).isNull()).drop(h, own, "_blocks")
-    if not streams.where("k is null").take(1):  # no page has open text
-        return done.withColumn(n, F.length(text).cast("long"))
-    rest = parsed.where(F.col(own).isNotNull()).join(covered.withColumnRenamed("repeats", got), F.col(own) == F.col("page"), "left").drop("page")
-    i_host, i_text, i_blocks, i_got = (rest.columns.index(c) for c in (h, text, "_blocks", got))
-    last = [i for i, c in enumerate(rest.columns) if c not in (h, text, own, "_blocks", got)]
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            html_of = batch.column(at).to_pylist()
+            found = [blocks_of(page) for page in html_of]
+            new = [pa.array([page_key(p) for p in html_of], pa.int64()), _lists([[t for t, _ in f] for f in found], pa.string()), _lists([[STATES.index(s) for _, s in f] for f in found], pa.int8())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *new], names=schema.names)
+
+    blocks = stored(rows.mapInArrow(parsed, schema), "blocks")
+    main = F.array_join(F.filter(F.col(texts), lambda t, i: F.get(F.col(states), i) == 0), " ")
+    todo = F.array_contains(states, F.lit(STATES.index("open")).cast("tinyint"))
+    others = [c for c in pages.columns if c != "html"]
+    if not blocks.where(todo).take(1):  # no page has open text
+        return blocks.select(*others, main.alias(text)).withColumn(n, F.length(text).cast("long"))
+    streams = blocks.select(host, own, texts, states).mapInArrow(_streams, "k long, page long, open boolean")
+    streams = stored(streams, "suffixes")
+    repeated = streams.groupBy("k").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("k")
+    covered = streams.where("open").join(repeated, "k").groupBy(F.col("page").alias(of)).agg(F.collect_set("k").alias(got))
+    rest = blocks.where(todo).join(covered, F.col(own) == F.col(of), "left").drop(own, of)
+    places = [rest.columns.index(c) for c in (host, texts, states, got)]
+    last = [i for i, c in enumerate(rest.columns) if c not in (host, texts, states, got)]
+    done = schema_plus(rest, {text: "string"}, without=(host, texts, states, got))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for name, blocks, repeats in zip(*(batch.column(i).to_pylist() for i in (i_host, i_blocks, i_got))):
-                known = frozenset(repeats or ())
-                texts.append(decided([(b["block"], b["state"]) for b in blocks], name, known))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in last), pa.array(texts, pa.string())], names=[*(batch.schema.names[i] for i in last), text])
-
-    filled = rest.mapInArrow(second, schema_plus(rest, {text: "string"}, without=(h, text, own, "_blocks", got)))
-    return done.unionByName(filled).withColumn(n, F.length(text).cast("long"))
+            made = [decided(_zipped(t, s), h, frozenset(repeats or ())) for h, t, s, repeats in zip(*(batch.column(i).to_pylist() for i in places))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in last), pa.array(made, pa.string())], names=done.names)
+
+    filled = rest.mapInArrow(judged, done).select(*others, text)
+    return blocks.where(~todo).select(*others, main.alias(text)).unionByName(filled).withColumn(n, F.length(text).cast("long"))

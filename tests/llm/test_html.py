@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import time
+
+import pytest
+
 from siltbed.llm import html as H
 
 
@@ -95,3 +99,42 @@ def test_names_within_an_article_need_to_be_whole_or_repeated(spark):
     pages = [(k, "http://a.org/x", "<article>" + parts.replace("{k}", str(k)) + '<div class="share-buttons">Tell all of your friends now</div><div class="cookie-notice">no</div></article>') for k in range(3)]
     got = sorted(H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
     assert [r.text for r in got] == [f"Work {k} of others Search {k} Past {k} If x is so drawn" for k in range(3)]
+
+
+def main_text(page):
+    return H.parse(page)[0]
+
+
+def test_attributes_are_read_by_name_and_value():
+    assert main_text('<article><p title="a hidden gem">kept</p><p>too</p></article>') == "kept too"
+    for mark in ('hidden', 'hidden=""', "hidden='hidden'", 'HIDDEN class=x', 'class="x" hidden'):
+        assert main_text(f"<article><p {mark}>gone</p><p>kept</p></article>") == "kept", mark
+    assert main_text("<article><p data-x=it's>one</p><p>don't</p></article>") == "one don't"
+    assert main_text('<article><p title="a > b">one</p> two</article>') == "one two"
+
+
+def test_unseen_elements_do_not_end_a_word():
+    assert main_text("<article><p>foo<img src=x>bar<script>var a = '<p>';</script>baz<wbr>q</p><p>a<br>b<hr>c</p></article>") == "foobarbazq a b c"
+
+
+def test_unclosed_quotes_and_tags_lose_no_more_than_their_tag():
+    assert main_text('<article><p title="open>one</p><p>two</p></article>') in ("one two", "two")
+    assert main_text("<article><p>one</p><p>two <b") == "one two"
+    assert main_text("<article>a < b and 1<2 <3</article>") == "a < b and 1<2 <3"
+
+
+@pytest.mark.parametrize("part", ['<div title="', "<div title=\"a>", "<div></span>", "<b>", "<p><b>", "<div><b><p></p>", "<!--", "<", "<a href='", "</", "&amp", "<script>", "<li><i>", "<x =", "<td><b></i>"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.time()
+    H.blocks_of("<article>" + part * (1_000_000 // len(part)))
+    H.blocks_of("<div>" * 20_000 + "<b>" * 100_000 + part * (500_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_columns_of_any_name_pass(spark):
+    pages = [(k, "http://a.org/x", f"<div>Home Contact us Log in here</div><div>own words of page {k} only</div>", 1, "b", 2, 3, 4, 5, 6) for k in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, page int, _blocks string, blocks int, states int, host int, of int, text int")
+    got = H.extract(df)
+    assert got.columns == [c for c in df.columns if c != "html"] + ["_text", "n_chars"]
+    assert sorted(r["_text"] for r in got.collect()) == [f"own words of page {k} only" for k in range(3)]
+    assert H.extract(df.limit(0)).collect() == []
