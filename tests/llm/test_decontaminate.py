@@ -47,17 +47,21 @@ def test_equals_brute_force_in_one_block_and_in_many(spark):
     want = sorted((d, *brute(t, items)) for d, t in rows)
     for size in (1 << 20, 100):
         found = D.contamination(docs, benchmark, block_bytes=size)
-        assert found.columns == ["doc_id", "text", "n_words", "_n_words", "hit_spans", "item_ids"]
+        assert found.columns == ["doc_id", "text", "n_words", "_n_words", "hit_spans", "item_ids", "matches"]
         got = D.digest(found.select("doc_id", found["_n_words"].alias("n_words"), "hit_spans", "item_ids"))
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_small_shards_and_empty_tables(spark, monkeypatch):
     rows, items = rows_and_items()
-    queries = D.Queries([(i, None if t is None else t.encode()) for i, t in items], 10)
-    monkeypatch.setattr(D, "SHARD_WORDS", 50)
-    got = D._found(queries, [None if t is None else t.encode() for _, t in rows])
-    assert [(n, sum(b - a for a, b in s), len(i)) for n, s, i in got] == [brute(t, items)[:3] for _, t in rows]
+    block = D.Items([(i, None if t is None else t.encode()) for i, t in items], 10)
+    texts = [None if t is None else t.encode() for _, t in rows]
+    whole = D._found(block, texts)
+    for words_of, chunk in ((50, 1 << 18), (1 << 20, 3), (50, 1)):
+        monkeypatch.setattr(D, "SHARD_WORDS", words_of)
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        got = D._found(block, texts)
+        assert [(n, sum(b - a for a, b in s), len(i)) for n, s, i, _ in got] == [brute(t, items)[:3] for _, t in rows] and got == whole
     docs = spark.createDataFrame(rows[:5], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in D.digest(D.contamination(docs, none)).collect()} == {False}
@@ -68,3 +72,42 @@ def test_affected_documents_go(spark):
     docs = spark.createDataFrame([(1, "so one two three four", 3), (2, "clean", 1), (3, None, 0)], "doc_id long, text string, n_words int")
     benchmark = spark.createDataFrame([(1, "One two, three")], "item_id long, text string")
     assert sorted(tuple(r) for r in D.decontaminate(docs, benchmark).collect()) == [(2, "clean", 1), (3, None, 0)]
+
+
+def longest(text, items, window=10):
+    """Every longest verbatim match, by following each diagonal."""
+    ws, out = words(text), []
+    for item, t in items:
+        bs = words(t)
+        least = min(window, len(bs))
+        for d in range(-len(bs) + 1, len(ws)) if bs else ():
+            run = 0
+            for p in range(max(0, -d), min(len(bs), len(ws) - d) + 1):
+                same = p < min(len(bs), len(ws) - d) and bs[p] == ws[p + d]
+                if same:
+                    run += 1
+                elif run:
+                    if run >= least:
+                        out.append((str(item), p - run, p - run + d, run))
+                    run = 0
+    return sorted(out)
+
+
+def test_matches_are_the_longest_with_their_places(monkeypatch):
+    rows, items = rows_and_items()
+    rows = [r for r in rows if len(r[1] or "") < 10_000] + [(200, items[4][1] + " other " + items[5][1] + " " + items[3][1]), (201, " ".join(items[4][1].split()[3:]))]
+    block = D.Items([(i, None if t is None else t.encode()) for i, t in items], 10)
+    texts = [None if t is None else t.encode() for _, t in rows]
+    want = [longest(t, items) for _, t in rows]
+    assert sum(map(len, want)) > 12
+    for n_of in (None, 0):  # test suffixes in the shard's array, and training suffixes in the items' array
+        if n_of == 0:
+            monkeypatch.setattr(D, "SHARD_WORDS", 1)
+        assert [sorted(m) for *_, m in D._found(block, texts)] == want
+
+
+def test_null_item_ids_hit_but_have_no_name(spark):
+    docs = spark.createDataFrame([(1, "so one two three four")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "one two three"), (7, "two three"), (None, None)], "item_id long, text string")
+    r = D.digest(D.contamination(docs, benchmark)).first()
+    assert (r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (3, 1, D.sha256_of(["7"]), True)
