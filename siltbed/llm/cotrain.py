@@ -2,9 +2,10 @@
 
 View A sees a text's content: which words of a learned vocabulary it has, and shares of symbols, capitals, repeats and
 the like. View B sees only its metadata: source, language and length class. Both are logistic regressions fitted on a
-bounded sample of labelled rows. In each round each view scores a bounded pool of unlabelled rows and hands the ones it
-is surest of, as pseudo-labels, to the other view, and both are fitted anew. On labelled rows that were held back, each
-view is calibrated and the two are combined by a further logistic regression; a view that tells nothing gets no weight.
+bounded sample of labelled rows. In each round each view scores a pool of unlabelled rows, which grows with the corpus, and
+hands the share of them that it is surest of, as pseudo-labels, to the other view, and both are fitted anew. On labelled
+rows that were held back, each view is calibrated and the two are combined by a further logistic regression; a view that
+tells nothing gets no weight.
 The combined model then scores every document over its whole text, in one pass without a shuffle.
 
 Two targets are trained so: quality (label quality) and toxicity (label toxic); kept asks for the first without the second.
@@ -17,20 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import as_bytes, fresh, schema_plus
+from siltbed.llm.common import as_bytes, fresh, schema_plus, stored
 from siltbed.llm.rules import text_counts
 
-#: Labelled rows and pool rows in the mean; twice that is the most that is read.
+#: Labelled rows in the mean.
 LABELLED = 12_000
-POOL = 6_000
-SAMPLE_CHARS = 50_000
+#: Pool rows in the mean: so many times the square root of the documents without a label, all of them where there are few.
+POOL_PER_ROOT = 12
 VOCABULARY = 2_000
 ROUNDS = 3
-#: Rows that a view hands over for each class and round, and how sure it must be.
-HANDED = 200
+#: The share of the pool that a view hands over for each class and round, and how sure it must be.
+HANDED = 1 / 30
 SURE = 0.95
 META = 256
 KEEP_FROM = 0.5
@@ -50,16 +52,19 @@ def text_words(text: bytes) -> set[bytes]:
     return {w.strip(_EDGES) for w in set(text.lower().split())} - {b""}
 
 
-def sampled(docs: DataFrame, rows: int, salt: str, total: int) -> DataFrame:
-    """About rows of docs' total, by a hash of doc_id; texts over SAMPLE_CHARS are left out."""
-    mark = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, rows / max(total, 1))
-    return docs.where(mark & (F.length("text") <= SAMPLE_CHARS)).limit(2 * rows)
+def sampled(docs: DataFrame, rows: float, salt: str, total: int) -> DataFrame:
+    """About rows of docs' total, by a hash of doc_id."""
+    return docs.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, rows / max(total, 1)))
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: the least by its other columns."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
 
 
 def meta_slots(source: str | None, lang: str | None, n_chars: int) -> list[int]:
     """Slots of the metadata view: source and language by hash, length class."""
-    import xxhash
-
     h = [xxhash.xxh64_intdigest(f"{k}={v}", 8) % (META - 32) for k, v in (("source", source), ("lang", lang))]
     return [*h, META - 32 + min(int(n_chars).bit_length(), 31)]
 
@@ -112,10 +117,10 @@ class Views:
 
 
 class CoTrained:
-    """Both views and how their calibrated scores combine."""
+    """Both views and how their calibrated scores combine; handed holds (round, giving view, label, rows) of each exchange."""
 
-    def __init__(self, views: list[Logistic], mix: np.ndarray):
-        self.views, self.mix = views, mix
+    def __init__(self, views: list[Logistic], mix: np.ndarray, handed: list[tuple[int, int, int, int]]):
+        self.views, self.mix, self.handed = views, mix, handed
 
     @classmethod
     def fit(cls, rows: Views, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> "CoTrained":
@@ -123,6 +128,8 @@ class CoTrained:
         known = (y >= 0) & ~held
         given = [np.where(known, y, -1).astype(float) for _ in (0, 1)]
         models: list[Logistic] = []
+        handed: list[tuple[int, int, int, int]] = []
+        most = int(np.ceil(HANDED * (y < 0).sum()))
         for turn in range(rounds + 1):
             models = []
             for view in (0, 1):
@@ -135,15 +142,17 @@ class CoTrained:
                 p = _sigmoid(models[view].raw(*rows.of(view)))
                 for label, sure in ((1, p), (0, 1 - p)):
                     free = np.flatnonzero((y < 0) & (given[1 - view] < 0) & (sure >= SURE))
-                    given[1 - view][free[np.argsort(-sure[free], kind="stable")[:HANDED]]] = label
+                    picked = free[np.argsort(-sure[free], kind="stable")[:most]]
+                    given[1 - view][picked] = label
+                    handed.append((turn, view, label, len(picked)))
         if held.sum() < 20 or len(set(y[held].tolist())) < 2:
-            return cls(models, np.array([1.0, 0.0, 0.0]))
+            return cls(models, np.array([1.0, 0.0, 0.0]), handed)
         x = np.stack([np.clip(m.raw(*rows.of(k)), -10, 10) for k, m in enumerate(models)], axis=1)[held]
         top = Logistic(0, 2)
         top.v = np.array([1.0, 0.0])
         empty = np.empty(0, np.int64)
         top.fit(empty, empty, x, y[held].astype(float), np.ones(len(x)), l2=1e-3)
-        return cls(models, np.array([*top.v, top.b]))
+        return cls(models, np.array([*top.v, top.b]), handed)
 
     def score(self, rows: Views) -> np.ndarray:
         x = [np.clip(m.raw(*rows.of(k)), -10, 10) for k, m in enumerate(self.views)]
@@ -185,40 +194,66 @@ def vocabulary(labelled: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
     return {bytes(r["w"]): k for k, r in enumerate(best.select("w").collect())}
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without text, with score, quality_score, toxic_score (0 to 1) and kept.
+def _with_features(rows: DataFrame, words: dict[bytes, int], others: list[str]) -> DataFrame:
+    """others and the features of rows with text, source and lang."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    fields = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in others)
 
-    docs has doc_id, text, source and lang; labels has doc_id, quality and toxic (a document labelled more than once takes
-    the lowest quality and the highest toxicity). score is quality_score * (1 - toxic_score), kept asks for KEEP_FROM of
-    it. Null and empty texts have no words and score by their form. Without labels every score is 0.5 or less and
-    follows from the start model. Every row gives one row; clashing names get a leading _.
-    """
-    names = [fresh(docs, c) for c in ("score", "quality_score", "toxic_score", "kept")]
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    told = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n_labels, n_docs = told.count(), docs.count()
-    picked = sampled(told.withColumn("text", F.lit("")), LABELLED, "labelled", n_labels).drop("text")
-    labelled = slim.join(picked, "doc_id").where(F.length("text") <= SAMPLE_CHARS).dropDuplicates(["doc_id"]).limit(2 * LABELLED)
-    words = vocabulary(labelled)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-    kind = "words array<int>, shares array<double>, meta array<int>"
-
-    def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             got = [features(t, s, g, shared.value) for t, s, g in zip(as_bytes(cols["text"]), cols["source"].to_pylist(), cols["lang"].to_pylist())]
             new = [pa.array([g["words"] for g in got], pa.list_(pa.int32())), pa.array([g["shares"] for g in got], pa.list_(pa.float64())), pa.array([g["meta"] for g in got], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([cols["doc_id"], cols["quality"], cols["toxic"], *new], ["doc_id", "quality", "toxic", "words", "shares", "meta"])
+            yield pa.RecordBatch.from_arrays([*(cols[c] for c in others), *new], [*others, "words", "shares", "meta"])
+
+    return rows.mapInArrow(run, f"{fields}, words array<int>, shares array<double>, meta array<int>")
+
 
-    pool = sampled(slim, POOL, "pool", n_docs).join(told.select("doc_id"), "doc_id", "left_anti")
-    pool = pool.withColumns({"quality": F.lit(-1), "toxic": F.lit(-1)})
-    both = labelled.select("doc_id", "text", "source", "lang", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(pool)
-    rows = sorted(both.mapInArrow(feature_rows, f"doc_id long, quality int, toxic int, {kind}").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["quality"]))
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], dict[str, CoTrained], Views, np.ndarray, list]:
+    """The vocabulary, the model of each target, and the rows that they were fitted on: views, which are held back, and rows.
+
+    Only features come to the driver: of LABELLED rows in the mean and of a pool that grows as the root of the corpus.
+    """
+    text_columns = [F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")]
+    slim = docs.select("doc_id", *text_columns).where("doc_id is not null")
+    told = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    n_labels, n_docs = told.count(), docs.count()
+    picked = sampled(told, LABELLED, "labelled", n_labels)
+    labelled = stored(one_each(slim.join(picked.select("doc_id"), "doc_id", "left_semi")).join(picked, "doc_id"), "labelled")
+    words = vocabulary(labelled)
+    free = max(n_docs - n_labels, 0)
+    pool = one_each(sampled(slim, POOL_PER_ROOT * free**0.5, "pool", free).join(told.select("doc_id"), "doc_id", "left_anti"))
+    both = labelled.unionByName(pool.withColumns({"quality": F.lit(-1), "toxic": F.lit(-1)}))
+    rows = _with_features(both, words, ["doc_id", "quality", "toxic"]).collect()
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]), r["quality"]))
     views = Views(rows)
-    held = np.array([r["quality"] >= 0 and hash((r["doc_id"], 5)) % 5 == 0 for r in rows], bool)
-    models = {t: CoTrained.fit(views, np.array([r[t] for r in rows], np.int64), held) for t in TARGETS}
-    model = spark.sparkContext.broadcast(models)
+    held = np.array([r["quality"] >= 0 and xxhash.xxh64_intdigest(str(r["doc_id"]), 5) % 5 == 0 for r in rows], bool)
+    return words, {t: CoTrained.fit(views, np.array([r[t] for r in rows], np.int64), held) for t in TARGETS}, views, held, rows
+
+
+def report(docs: DataFrame, labels: DataFrame) -> dict[str, dict]:
+    """For each target what was handed over, the weights of both views and how far each moves the log-odds, and the accuracy on held rows of each view and of both."""
+    _, models, views, held, rows = trained(docs, labels)
+    out = {}
+    for target, model in models.items():
+        y = np.array([r[target] for r in rows])[held]
+        alone = [float(((m.raw(*views.of(k)) > 0)[held] == y).mean()) for k, m in enumerate(model.views)]
+        out[target] = {"handed": model.handed, "weights": model.mix.round(3).tolist(), "spreads": [round(float(abs(model.mix[k]) * m.raw(*views.of(k)).std()), 3) for k, m in enumerate(model.views)], "views": alone, "both": float(((model.score(views) > 0.5)[held] == y).mean()), "held": int(held.sum()), "most common": float(max(y.mean(), 1 - y.mean()))}
+    return out
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without text, with score, quality_score, toxic_score (0 to 1) and kept.
+
+    docs has doc_id, text, source and lang; labels has doc_id, quality and toxic (a document labelled more than once takes
+    the lowest quality and the highest toxicity). score is quality_score * (1 - toxic_score), kept asks for KEEP_FROM of
+    it. Null and empty texts have no words and score by their form; texts of any length count whole. Without labels every
+    score is 0.5 or less and follows from the start model. Rows without a doc_id aren't learned from. Every row gives one
+    row, and equal rows equal scores; an empty table gives none; clashing names get a leading _.
+    """
+    names = [fresh(docs, c) for c in ("score", "quality_score", "toxic_score", "kept")]
+    words, models, *_ = trained(docs, labels)
+    shared, model = (docs.sparkSession.sparkContext.broadcast(x) for x in (words, models))
     at = {c: docs.columns.index(c) for c in ("text", "source", "lang")}
     keep = [i for i, c in enumerate(docs.columns) if c != "text"]
     typed = docs.withColumns({c: F.col(c).cast("string") for c in at})

@@ -137,14 +137,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[bytes]]:
-    """At most 2 * per_lang labelled texts of each language, by the hash of doc_id; per_lang in the mean."""
+    """per_lang labelled texts of each language in the mean, by the hash of doc_id; of all at most 2 * per_lang a language, the
+    first by hash and text, so reruns agree."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     size = labelled.groupBy("lang").count().collect()
     if not size:
         return {}
     share = F.create_map(*[F.lit(x) for r in size for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     mark = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")]
-    rows = labelled.where(mark & (F.length("text") <= chars)).select("lang", "text").limit(2 * per_lang * len(size)).collect()
+    rows = labelled.where(mark & (F.length("text") <= chars)).orderBy(F.xxhash64("doc_id"), "lang", "text").select("lang", "text").limit(2 * per_lang * len(size)).collect()
     out: dict[str, list[bytes]] = {r["lang"]: [] for r in size}
     for r in sorted(rows):
         out[r["lang"]].append(symbols(r["text"]))
@@ -172,7 +173,11 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_C
 
 
 def keep_known(docs: DataFrame, below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of docs whose language is known with a score of below or more, with their own columns."""
+    """The rows of docs whose language is known with a score of below or more, with their own columns, whatever their names.
+
+    Null and empty texts, and those without a letter, go; if no row has a lang, nothing is learned and all go; repeated rows
+    stay or go together; texts of any length are scored whole; an empty table gives no rows.
+    """
     found = identify(docs)
     lang, score = found.columns[-2:]
     return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= below)).select(*docs.columns)

@@ -117,13 +117,19 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, size long")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs (doc_id, source, text).
 
     Sources in the order of their code points, null last, weigh weights, repeating; budget is a multiple of all words.
     taken is 0, 1 or 2 times size. A null or empty text has size 0; equal doc_ids are ranked by size, and fully equal
-    rows are interchangeable; an empty table gives no rows. Reruns agree. Clashing columns are not read.
+    rows are interchangeable; an empty table gives no rows. Reruns agree. Clashing columns are not read. options are those
+    of with_source().
     """
+    return with_source(docs, **options).drop("source")
+
+
+def with_source(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """mix()'s rows with their source."""
     spark = docs.sparkSession
     hashed = F.xxhash64(F.lit(seed), "doc_id")
     sized = stored(_sized(docs), "sizes").withColumns({"h": hashed, "b": F.pmod(hashed, F.lit(BUCKETS)).cast("int")})
@@ -152,16 +158,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap:
     rows = sized.join(cut.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("c")))
     rank = F.row_number().over(Window.partitionBy("s", "z", "c").orderBy("h", "doc_id"))
     times = F.col("base") + (F.col("rank") <= F.col("k")).cast("int")
-    return rows.withColumn("rank", rank).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return rows.withColumn("rank", rank).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that mix() takes, with a column times (1 or 2)."""
-    times = fresh(docs, "times")
-    found = mix(docs, **options)
-    kept = found.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_z"), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    kept = kept.groupBy("_d", "_z").agg(F.max(times).alias(times))
-    size = F.size(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    z = fresh(docs, "words")
-    sized = docs.withColumn(z, size.cast("long"))
-    return sized.join(kept, sized["doc_id"].eqNullSafe(kept["_d"]) & (sized[z] == kept["_z"])).drop("_d", "_z", z)
+    """The rows of docs that mix() takes, with a column times (1 or 2); all columns stay, by any names.
+
+    Rows of one doc_id, source and size are served in the order of their texts, those taken more often first, so the words that are
+    taken are mix()'s, repeated rows included. Null and empty texts have no words and are never taken; an empty table gives
+    no rows. Texts of any length count whole.
+    """
+    times, z, place, d, size_of, k, own = (fresh(docs, c) for c in ("times", "words", "place", "of", "size_of", "k", "of_source"))
+    size = F.size(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
+    found = with_source(docs.select("doc_id", "source", "text"), **options).where("size > 0").select(F.col("doc_id").alias(d), F.col("source").alias(own), F.col("size").alias(size_of), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    served = found.withColumn(k, F.row_number().over(Window.partitionBy(d, own, size_of).orderBy(F.desc(times)))).where(F.col(times) > 0)
+    text = F.col("text").cast("string")
+    ranked = docs.withColumn(z, size).withColumn(place, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), F.col("source").cast("string"), z).orderBy(F.xxhash64(text), text)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(own)) & (F.col(z) == F.col(size_of)) & (F.col(place) == F.col(k))
+    return ranked.join(served, same).drop(z, place, d, size_of, k, own)

@@ -171,8 +171,8 @@ def judge_quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     name = {c: fresh(docs, c) for c in (*COUNTS, "good_probability", "base_failed", "kept", "votes")}
     counted = with_counts(docs.withColumn("text", F.col("text").cast("string")), [name[c] for c in COUNTS])
     rules = votes({c: F.col(name[c]) for c in COUNTS})
-    voted = stored(counted.withColumns({f"vote_{r}": v.cast("int") for r, v in rules.items()}), "votes")
-    cast = [f"vote_{r}" for r in rules]
+    cast = [fresh(docs, f"vote_{r}") for r in rules]
+    voted = stored(counted.withColumns({c: v.cast("int") for c, v in zip(cast, rules.values())}), "votes")
     found = voted.groupBy(*cast).count().collect()  # at most 3 ** len(rules) rows
     table = np.array([[*r] for r in found], np.int64).reshape(-1, len(cast) + 1)
     model = LabelModel.fit(table[:, :-1], table[:, -1].astype(float))

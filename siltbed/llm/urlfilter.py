@@ -110,11 +110,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, max_rule_bytes: int = MAX_RUL
 def _joined(rows: DataFrame, names: list[str], key: str, rules: DataFrame, default: str) -> DataFrame:
     """The same by equality of host suffixes, for more rules than a task can hold."""
     base = [c for c in rows.columns if c not in (*names, key)]
+    h, p, won = (fresh(rows, c) for c in ("h", "p", "best"))
     urls = rows.select(F.col(names[0]).alias("h"), F.col(names[1]).alias("p"), F.col(key).alias("k")).where("h <> ''").distinct()
     labels = F.slice(F.split("k", r"\."), 1, F.size(F.split("k", r"\.")) - 1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.reverse(F.slice(labels, 1, n)), "."))
     hits = urls.select("h", "p", F.explode(suffixes).alias("s")).join(rules, F.col("s") == rules.host).where(F.startswith("p", "path"))
     order = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("m"), (F.col("verdict") == "block").alias("b"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("v"))
-    best = hits.groupBy("h", "p").agg(F.max(order).alias("best"))
-    out = rows.join(best, (rows[names[0]] == best.h) & (rows[names[1]] == best.p), "left")
-    return out.select(*base, names[0], names[1], F.col("best.rule").alias(names[2]), F.coalesce("best.v", F.lit(default)).alias(names[3]))
+    best = hits.groupBy(F.col("h").alias(h), F.col("p").alias(p)).agg(F.max(order).alias(won))
+    out = rows.join(best, (F.col(names[0]) == F.col(h)) & (F.col(names[1]) == F.col(p)), "left")
+    return out.select(*base, names[0], names[1], F.col(won)["rule"].alias(names[2]), F.coalesce(F.col(won)["v"], F.lit(default)).alias(names[3]))

@@ -79,3 +79,20 @@ def test_edges(spark):
     docs = spark.createDataFrame([(k, "s", "a b c d") for k in range(10)], schema)
     words = sum(r.times * 4 for r in M.mixed_documents(docs).collect())
     assert words == 60
+
+
+def test_mixed_documents_are_those_that_mix_takes(spark):
+    random.seed(5)
+    rows = [(k % 40, random.choice(["a", "b", None]), "w " * random.choice([0, 3, 8]) + random.choice("xy"), 1, 2, "z") for k in range(300)] + [(7, "a", None, 1, 2, "z")] + [(None, "b", "one two", 1, 2, "z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, times int, _d int, words string")
+    taken, made = defaultdict(int), defaultdict(int)
+    for r in M.with_source(docs).collect():
+        taken[r.doc_id, r.source, r.size] += r.taken
+    found = M.mixed_documents(docs)
+    assert found.columns == [*docs.columns, "_times"]
+    for r in found.collect():
+        made[r.doc_id, r.source, len(r.text.split())] += r["_times"] * len(r.text.split())
+    assert {k: v for k, v in taken.items() if v} == made
+    one = spark.createDataFrame([(1, "s", "a b c d")] * 2, "doc_id long, source string, text string")
+    assert sum(4 * r.times for r in M.mixed_documents(one).collect()) == sum(r.taken for r in M.mix(one).collect()) == 12
+    assert M.mixed_documents(docs.limit(0)).collect() == []

@@ -59,3 +59,9 @@ def test_clean_prose_is_kept_and_junk_is_not(spark):
     junk += [(200 + k, "\n".join(p.upper().replace(" ", "!! | ") for p in prose[k * 10 : k * 10 + 10])) for k in range(10)]
     kept = {r.doc_id for r in R.judge_quality(spark.createDataFrame(clean + junk, "doc_id long, text string")).where("kept").collect()}
     assert kept == {k for k, _ in clean}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "some words here", 5, "v"), (2, None, 6, "w")], "doc_id long, text string, vote_short int, votes string")
+    got = R.judge_quality(docs)
+    assert {(r.doc_id, r.vote_short, r.votes) for r in got.collect()} == {(1, 5, "v"), (2, 6, "w")} and "_vote_short" in got.columns

@@ -44,3 +44,12 @@ def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert [r.verdict for r in U.judge_urls(pages, rules).collect()] == ["allow"]
     assert U.judge_urls(pages.limit(0), U.rules_table(spark)).collect() == []
+
+
+def test_columns_of_any_name_pass_both_ways(spark):
+    pages = spark.createDataFrame([(1, "http://www.example.net/en/x", 1, 2, 3, "k"), (2, None, 1, 2, 3, "k")], "page_id long, url string, h int, p int, best int, host string")
+    rules = U.rules_table(spark)
+    for most in (U.MAX_RULE_BYTES, 0):
+        got = U.judge_urls(pages, rules, most)
+        assert got.columns == [*pages.columns, "_host", "path", "rule", "verdict"]
+        assert sorted((r.page_id, r.rule, r.verdict) for r in got.collect()) == [(1, "example.net/en/", "allow"), (2, None, "allow")]
