@@ -101,7 +101,8 @@ def test_a_large_family_gives_few_pairs_and_one_component(spark):
     rows = family(base, rng, 3000, 3, 0)
     lanes = X._lanes(np.array([X.sums(X.shingle_set(t.encode())) for _, t in rows]).clip(-32767, 32767).astype("<i2"))
     n = np.array([len(X.shingle_set(t.encode())) for _, t in rows])
-    assert len(list(X.leader_pairs(lanes, n))) < 3 * len(rows)
+    assert len(list(X.leader_pairs(lanes, n, np.arange(3000)))) < 3000
+    assert len(list(X.nearest_pairs(lanes, n, np.arange(3000)))) < 3000 == len({x for x, _ in X.nearest_pairs(lanes, n, np.arange(3000))}) + 1
     got = X.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 3000
 
