@@ -38,6 +38,12 @@ def pack_high_first(seq: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 2).bitwiseOR(x))
 
 
+def sequence_id(seq: Column) -> Column:
+    """Two bits a base, each further base in lower bits; the first 32 bases, anything but ACGT (any case) as A. It never fails, so
+    it names sequences that pack_high_first's callers would turn away."""
+    return pack_high_first(F.coalesce(seq, F.lit("")))
+
+
 def unpack_low_first(packed: Column, length: Column) -> Column:
     at = lambda i: F.call_function("shiftrightunsigned", packed, (i * 2).cast("int")).bitwiseAND(3)
     made = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.substring(F.lit(BASES), (at(i) + 1).cast("int"), F.lit(1)))

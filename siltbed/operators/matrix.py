@@ -183,3 +183,23 @@ def stability_weighted(effects: DataFrame, by: Sequence[str], effect: str, dispe
     w = 1 / (1 + F.col(dispersion))
     out = effects.groupBy(*by).agg(F.sum(w * F.col(effect)).alias("_e"), F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"))
     return out.select(*by, (F.col("_e") / F.col("_w")).alias("effect"), (F.col("_w") * F.col("_w") / F.col("_w2")).alias("effective_n"))
+
+
+def module_by_condition(scores: DataFrame, cells: DataFrame, condition: str) -> DataFrame:
+    """(condition, module, n_cells, mean, sd) of scores (cell, module, score); population sd."""
+    out = scores.join(cells.select("cell", condition), "cell").groupBy(condition, "module")
+    return out.agg(F.count("*").alias("n_cells"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
+
+
+def welch_statistics(df: DataFrame, by: Sequence[str], inside: str, value: str) -> DataFrame:
+    """Per group: sizes, means, t and degrees of freedom of a value inside and outside; t and df are 0 where a side has under two
+    rows or nothing varies. Its p is statistics.t_two_sided."""
+    def side(f, flag: bool) -> Column:
+        return f(F.when(F.col(inside) == flag, F.col(value)))
+
+    out = df.groupBy(*by).agg(*[side(f, flag).alias(n + k) for k, flag in (("1", True), ("2", False)) for n, f in (("n", F.count), ("mean", F.avg), ("_v", F.var_samp))])
+    a, b = F.col("_v1") / F.col("n1"), F.col("_v2") / F.col("n2")
+    able = (F.col("n1") >= 2) & (F.col("n2") >= 2) & (a + b > 0)
+    t = F.when(able, (F.col("mean1") - F.col("mean2")) / F.sqrt(a + b)).otherwise(0.0)
+    dof = F.when(able, (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))).otherwise(0.0)
+    return out.select(*by, "n1", "n2", "mean1", "mean2", t.alias("t"), dof.alias("dof"))

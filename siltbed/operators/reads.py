@@ -100,3 +100,12 @@ def resolve_ambiguity(hits: DataFrame, key: str = "id") -> DataFrame:
     n = hits.groupBy(key).agg(F.count_distinct("chr").alias("c"), F.count_distinct("gene").alias("g"), F.count_distinct("bin").alias("b"))
     kind = F.when(F.col("c") > 1, "multi_chromosome").when((F.col("g") == 1) & (F.col("b") > 1), "same_gene").when((F.col("g") > 1) & (F.col("b") == 1), "same_bin").otherwise("other")
     return n.select(key, kind.alias("class"))
+
+
+def distinct_pairs(pairs: DataFrame, bases: int = 16) -> DataFrame:
+    """pairs (ordinal, r1_seq, r2_seq, ...) without barcodes: the first by ordinal of those whose reads begin with the same bases
+    in any case. A pair with a read that is shorter, or has another letter than ACGT there, has no key and stays."""
+    heads = [F.upper(F.substring(c, 1, bases)) for c in ("r1_seq", "r2_seq")]
+    keyed = pairs.withColumn("_key", F.when(F.forall(F.array(*heads), lambda h: h.rlike(f"^[ACGT]{{{bases}}}$")), F.concat(*heads)))
+    first = keyed.where("_key is not null").groupBy("_key").agg(F.min("ordinal").alias("ordinal")).select("ordinal")
+    return keyed.join(first.withColumn("_first", F.lit(True)), "ordinal", "left").where("_key is null or _first").drop("_key", "_first")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.functions.sequences import hamming
+
 
 def strip_version(name: Column) -> Column:
     """ENSG0001.7 becomes ENSG0001; other names stay."""
@@ -138,3 +140,48 @@ def rewrite_ids(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 def grouped_members(df: DataFrame, group: str, member: str) -> DataFrame:
     """(group, members sorted, n) of a group table; empty group names don't count."""
     return df.where(F.col(group).isNotNull() & (F.col(group) != "")).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"), F.count_distinct(member).alias("n"))
+
+
+#: Versions of the reference accessions NC_000001 to NC_000024 (X is 23, Y is 24) of hg38.
+HG38_VERSIONS = (11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11, 11, 10)
+
+
+def reference_accession(chromosome: Column) -> Column:
+    """chr1 to chr22, chrX and chrY as hg38's accessions; other names stay."""
+    names = [*map(str, range(1, 23)), "X", "Y"]
+    known = F.create_map(*[F.lit(x) for k, (n, v) in enumerate(zip(names, HG38_VERSIONS)) for x in (f"chr{n}", f"NC_{k + 1:06}.{v}")])
+    return F.coalesce(known[F.regexp_replace(chromosome, "^chr0+(?=[1-9])", "chr")], chromosome)
+
+
+def matching(df: DataFrame, conditions: Sequence[str]) -> DataFrame:
+    """The rows of df that meet every "column=value" of conditions, compared as text; an unknown column is an error."""
+    for condition in conditions:
+        column, _, value = condition.partition("=")
+        if column not in df.columns:
+            raise ValueError(f"no column {column!r}")
+        df = df.where(F.col(column).cast("string") == value)
+    return df
+
+
+def proteins_with_feature(proteins: DataFrame, features: DataFrame, kind: str) -> DataFrame:
+    """proteins (protein_id, ...) that have a feature (protein_id, kind) of the kind."""
+    return proteins.join(features.where(F.col("kind") == kind).select("protein_id"), "protein_id", "left_semi")
+
+
+def least_mismatches(barcodes: DataFrame, barcode: str = "barcode") -> DataFrame:
+    """One row (least, radius) of distinct barcodes of one length: the least mismatches of any two, and how many can be corrected,
+    (least - 1) // 2. Both null under two barcodes. A pair at e mismatches shares one of e + 1 pieces, so e goes up until a pair is found."""
+    b = barcodes.select(F.col(barcode).alias("x")).distinct()
+    first = b.agg(F.count("*").alias("n"), F.max(F.length("x")).alias("size")).first()
+    found = None
+    if first["n"] >= 2:
+        for e in range(1, first["size"] + 1):
+            cuts = [k * first["size"] // (e + 1) for k in range(e + 2)]
+            pieces = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("x", cuts[k] + 1, cuts[k + 1] - cuts[k]).alias("piece")) for k in range(e + 1)])
+            keyed = b.select("x", F.explode(pieces).alias("p"))
+            pairs = keyed.join(keyed.withColumnRenamed("x", "y"), "p").where("x < y").select("x", "y").distinct()
+            found = pairs.agg(F.min(hamming(F.col("x"), F.col("y"))).alias("d")).first()["d"]
+            if found is not None and found <= e:
+                break
+    radius = None if found is None else max(found - 1, 0) // 2
+    return barcodes.sparkSession.createDataFrame([(found, radius)], "least int, radius int")

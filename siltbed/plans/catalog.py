@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from siltbed.plans import extra_queries, flow_queries, interval_queries, lookup_queries, model_queries, molecule_queries, relation_queries, sequence_queries, source_queries, summary_queries, table_queries  # noqa: F401
+    from siltbed.plans import extra_queries, flow_queries, interval_queries, lookup_queries, model_queries, molecule_queries, more_queries, relation_queries, sequence_queries, source_queries, summary_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
