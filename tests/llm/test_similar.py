@@ -107,6 +107,31 @@ def test_a_large_family_gives_few_pairs_and_one_component(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 3000
 
 
+def test_rows_with_a_plausible_partner_are_those_of_all_pairs(monkeypatch):
+    rng = random.Random(12)
+    rows = family([f"a{k}" for k in range(120)], rng, 40, 4, 0) + [(100 + i, " ".join(rng.choices("bcdefghi", k=90))) for i in range(30)]
+    made = [X.shingle_set(t.encode()) for _, t in rows]
+    lanes = X._lanes(np.array([X.sums(s) for s in made]).clip(-32767, 32767).astype("<i2"))
+    n, every = np.array([len(s) for s in made]), np.arange(len(made))
+    want = (X._distances(lanes, n, every, every, 0.8) < X.BITS).sum(axis=1) > 1
+    assert want.any() and not want.all()
+    pairs = np.array(list(X.leader_pairs(lanes, n, every))).reshape(-1, 2)
+    for bound in (1, 150, 1 << 20):
+        monkeypatch.setattr(X, "PAIRS", bound)
+        assert (X.partnered(lanes, n, pairs) == want).all()
+        assert (X.partnered(lanes, n, pairs[:0]) == want).all()
+
+
+def test_repeated_doc_ids_with_different_texts(spark):
+    rng = random.Random(13)
+    base = family([f"w{k}" for k in range(150)], rng, 6, 3, 0)
+    rows = base + [base[0]] * 3 + [(1, "another text of the same id than before"), (50, base[2][1])]
+    got = X.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.component_id for r in got if r.doc_id != 1} == {0}
+    assert sorted(r.component_id for r in got if r.doc_id == 1) == [0, 1]
+
+
 def test_empty_table_null_and_string_ids_and_clashing_names(spark):
     assert X.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [("b", "one two three four five six", 1, "x"), ("a", "ONE two three four five six", 2, "y"), (None, "something else entirely here now then", 3, "z"), (None, "something else entirely here now then", 3, "z")]
@@ -123,3 +148,12 @@ def test_verified_counts_sets_exactly(spark, similarity):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (1, 1)], "a long, b long")
     want = {(1, 2), (1, 1)} if similarity == 0.8 else {(1, 1)}
     assert {tuple(r) for r in X.verified(pairs, sets, similarity).collect()} == want
+
+
+def test_verified_gives_the_same_where_nodes_are_not_broadcast(spark, monkeypatch):
+    sets = spark.createDataFrame([(i, list(range(i % 3, 12))) for i in range(30)], "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(i, i + 2) for i in range(0, 20)], "a long, b long")
+    want = sorted(map(tuple, X.verified(pairs, sets, 0.9).collect()))
+    assert 0 < len(want) < 20
+    monkeypatch.setattr(X, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, X.verified(pairs, sets, 0.9).collect())) == want
