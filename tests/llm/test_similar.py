@@ -155,3 +155,97 @@ def test_verified_gives_the_same_where_nodes_are_not_broadcast(spark, monkeypatc
     assert 0 < len(want) < 20
     monkeypatch.setattr(X, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, X.verified(pairs, sets, 0.9).collect())) == want
+
+
+def test_pairs_that_keys_miss_are_joined(spark):
+    """Of 400 pairs at 0.802 just, keys miss some."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        base = [f"p{rng.randrange(10**6)}" for _ in range(204)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:182] + [f"q{rng.randrange(10**6)}" for _ in range(22)]))]  # 178 of 222
+    missed = 0
+    for k in range(400):
+        k0, k1 = (set(X.keys(X.sums(X.shingle_set(rows[2 * k + i][1].encode()))[None])[0].tolist()) for i in range(2))
+        missed += not k0 & k1
+    assert missed
+    got = X.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((d, d - d % 2) for d, _ in rows)
+
+
+def random_sets(rng, count):
+    """Sets of 1 to 1200 numbers and near copies of some, at all similarities from 0.6 to 1."""
+    out = []
+    for _ in range(count):
+        s = rng.integers(0, 2**63, rng.integers(1, rng.choice([8, 60, 300, 1200])), dtype=np.uint64)
+        out.append(np.unique(s))
+        for _ in range(rng.integers(0, 4)):
+            gone = rng.integers(0, 1 + len(s) // 5)
+            out.append(np.unique(np.concatenate([rng.permutation(s)[gone:], rng.integers(0, 2**63, rng.integers(0, 1 + len(s) // 5), dtype=np.uint64)])))
+    return [s for s in out if len(s)]
+
+
+def jaccard(a, b):
+    shared = len(np.intersect1d(a, b))
+    return shared / (len(a) + len(b) - shared)
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.8, 1.0])
+def test_near_sets_share_a_prefix_shingle_in_any_order(similarity):
+    rng = np.random.default_rng(4)
+    sets = random_sets(rng, 120)
+    frequent = np.unique(np.concatenate([rng.permutation(s)[: len(s) // 3] for s in sets]))
+    times = rng.integers(3, 9, len(frequent))
+    for known in ((None, None), (frequent, times)):
+        first = [set(X.prefix(s, similarity, *known).tolist()) for s in sets]
+        assert all(len(f) <= len(s) * (1 - similarity) + 1.001 for f, s in zip(first, sets))
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= similarity]
+        assert (near or similarity == 1.0) and all(first[i] & first[j] for i, j in near)
+    assert len(X.prefix(sets[0][:0], similarity)) == 0
+
+
+@pytest.mark.parametrize("bound", [1, 500, 1 << 18])
+def test_open_pairs_hold_all_near_pairs_of_different_roots(monkeypatch, bound):
+    monkeypatch.setattr(X, "PAIRS", bound)
+    rng = np.random.default_rng(6)
+    sets = random_sets(rng, 60)
+    n, odd = np.array([len(s) for s in sets]), np.array([X.parity(s) for s in sets], object)
+    root = rng.integers(0, 40, len(sets))
+    near = {(j, i) for i in range(len(sets)) for j in range(i) if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8}
+
+    def asked(most, root=root):
+        found = [(int(a), int(b), bool(c)) for block in X.open_pairs(n, root, odd, most, 0.8) for a, b, c in zip(*block)]
+        return {(min(a, b), max(a, b)) for a, b, _ in found}, found
+
+    every, found = asked(len(sets))
+    assert near and near <= every and len(every) < 3 * len(near) and not any(c for _, _, c in found)
+    some, found = asked(1)
+    rows = [a for a, _, _ in found]
+    assert some < every and len(rows) == len(set(rows)) and any(c for _, _, c in found)
+    assert asked(9, np.zeros(len(sets), int)) == (set(), [])
+    k = np.sort(rng.integers(0, 9, 3 * len(sets)))
+    at = rng.integers(0, len(sets), len(k))
+    a, b = X.short_pairs(k, at * 5, n[at], root[at], odd[at], 0.8)
+    got = sorted((min(x, y), max(x, y)) for x, y in zip(at[a].tolist(), at[b].tolist()))
+    assert got == sorted(p for p in every if any(set(p) <= set(at[k == x].tolist()) for x in range(9)))
+    assert set(got) & near and len(X.short_pairs(k[:0], at[:0], n[:0], root[:0], odd[:0])[0]) == 0
+
+
+def test_dealt_prefixes_meet_where_roots_differ(monkeypatch):
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    first = [np.unique(rng.choice(pool, rng.integers(1, 12))) for _ in range(120)]
+    node, root = np.arange(120) * 7 - 50, rng.integers(-5, 60, 120)
+    want = {tuple(sorted(node[[i for i in range(120) if t in first[i]]].tolist())) for t in pool if len({root[i] for i in range(120) if t in first[i]}) > 1}
+    batches = [pa.RecordBatch.from_arrays([pa.array(node[a : a + 50]), pa.array([f.tobytes() for f in first[a : a + 50]], pa.binary()), pa.array(root[a : a + 50])], ["node", "first", "root"]) for a in (0, 50, 100)]
+    for part in (1, 1 << 19):
+        monkeypatch.setattr(X, "DEALT", part)
+        dealt = sorted((row for b in X._dealt(5)(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns))), key=lambda row: row[0])
+        assert {row[0] for row in dealt} <= set(range(5))
+        sorted_rows = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*dealt[a : a + 3]), (pa.int64(), *[pa.binary()] * 3))], ["k", "token", "node", "root"]) for a in range(0, len(dealt), 3)]
+        runs = {}
+        for b in X._meeting(iter(sorted_rows)):
+            for k, v, size in zip(*(c.to_pylist() for c in b.columns)):
+                runs.setdefault(k, []).append((v, size))
+        assert {tuple(x for x, _ in v) for v in runs.values()} == want
+        assert all(size == len(v) for v in runs.values() for _, size in v)
