@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
@@ -9,7 +13,7 @@ from pyspark.sql.types import DataType, StructType
 from siltbed.scratch import cleared, delete_stored, shared_dir, stored
 
 
-__all__ = ["as_bytes", "cleared", "delete_stored", "fresh", "schema_plus", "shared_dir", "stored", "table"]
+__all__ = ["as_bytes", "cleared", "delete_stored", "fresh", "schema_plus", "shared_dir", "stored", "table", "trimmed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +40,24 @@ def schema_plus(df: DataFrame, new: dict[str, str], without: tuple[str, ...] = (
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with memory that is free given back to the system before and after: workers live on between tasks, and
+    keep else the most that one of their tasks took."""
+
+    @wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return out
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import as_bytes, delete_stored, stored
+from siltbed.llm.common import as_bytes, delete_stored, stored, trimmed
 from siltbed.llm.simhash import BROADCAST_BYTES, ID_BYTES, _near, _remainder, components, joined_ids
 
 SHINGLE_WORDS = 5
@@ -61,6 +61,8 @@ BATCH_ROWS = 1000
 #: Pairs a node of each run of over SHORT rows of the exact search in its first round, which takes all pairs of shorter runs; each
 #: round takes MORE times as many as the last. Rows of short runs that are compared at once.
 FIRST, MORE, SHORT, SHORT_ROWS = 16, 8, 64, 4000
+#: Most edges whose components are found on the driver: in numpy, 16 bytes each.
+LOCAL_EDGES = 1 << 18
 _MIX = np.array([xxhash.xxh64_intdigest(bytes([lane])) | 1 for lane in range(LANES)], np.uint64)
 
 
@@ -150,6 +152,7 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+@trimmed
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, node, n, margins, odd): margins are the sums cut to 16 bits, a 16-bit number each; odd is the parity()."""
     for batch in batches:
@@ -170,6 +173,7 @@ def _lanes(margins: np.ndarray) -> np.ndarray:
     return np.packbits(margins > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1, LANES)
 
 
+@trimmed
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, node, lane): lane is the fingerprint's last 64 bits."""
     for batch in batches:
@@ -214,6 +218,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         yield whole()
 
 
+@trimmed
 def _plausible_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, node) of rows that have a partner in their run by one lane; runs of over 8 BLOCK rows go on whole."""
     for run in runs(batches):
@@ -276,6 +281,7 @@ def nearest_pairs(lanes: np.ndarray, n: np.ndarray, root: np.ndarray, similarity
 def _led(similarity: float):
     """The rows that have a plausible partner in their run, with the leader that takes each (or none) and the leader's held_by."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in runs(batches):
             lanes = np.stack([r[f"w{i}"] for i in range(LANES)], axis=1).view(np.uint64)
@@ -294,6 +300,7 @@ def _led(similarity: float):
 
 
 def _crossing(similarity: float):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in runs(batches):
             lanes = np.stack([r[f"w{i}"] for i in range(LANES)], axis=1).view(np.uint64)
@@ -320,12 +327,39 @@ def _joined(more: DataFrame, linked: DataFrame | None) -> DataFrame:
     return more if linked is None else more.union(linked.where("node <> root").select("node", "root"))
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and the smallest node that each can reach."""
+    names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(names))
+    while len(open_ := np.flatnonzero(root[a] != root[b])):
+        a, b = a[open_], b[open_]
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return names, names[root]
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """components() of edges; up to LOCAL_EDGES are joined on the driver, which spares the tables and stages of each step."""
+    edges = edges.where("a <> b")
+    if edges.count() > LOCAL_EDGES:
+        return components(edges)
+    found = edges.toArrow()
+    names, root = roots(*(found.column(c).to_numpy() for c in "ab"))
+    table = pa.table([pa.array(names, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+    return stored(edges.sparkSession.createDataFrame(table, "node long, root long").coalesce(1), "roots")
+
+
+@trimmed
 def _lane_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lanes = _lanes(_margins(batch.column(2))).view(np.int64) if batch.num_rows else np.empty((0, LANES), np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(LANES))], ["node", "n", *(f"w{i}" for i in range(LANES))])
 
 
+@trimmed
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [shingle_set(t) for t in as_bytes(batch.column(0))]
@@ -356,6 +390,7 @@ def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray | None
 
 
 def _prefixes(similarity: float, frequent: np.ndarray, times: np.ndarray):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {}
@@ -371,6 +406,7 @@ def _prefixes(similarity: float, frequent: np.ndarray, times: np.ndarray):
 def _dealt(parts: int):
     """Rows (node, first, root) as (part, token, node, root): packed columns of the shingles of a part; a root is its difference from node."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -402,6 +438,7 @@ def _dealt(parts: int):
     return run
 
 
+@trimmed
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, node, size) of nodes that share a prefix shingle with a node of another root, of batches of _dealt() sorted by k; size is
     the number of rows of equal k."""
@@ -524,6 +561,7 @@ def _open(similarity: float, most: int):
         a, b = short_pairs(r["k"], r["node"], r["n"], r["root"], r["odd"], similarity)
         return row(r["node"], a, b, np.zeros(len(a), bool))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for r in runs(batches):
@@ -618,7 +656,7 @@ def _near_copies(docs: DataFrame, similarity: float) -> DataFrame:
         found = bool(more.take(1))
         tested = asked if turn == 0 else tested.union(asked)
         if found or turn == 0:
-            linked = components(_joined(more, linked))
+            linked = _components(_joined(more, linked))
         elif turn > 1:
             break
         turn += 1
@@ -640,7 +678,7 @@ def _near_copies(docs: DataFrame, similarity: float) -> DataFrame:
             kept.append(more)
             tested = tested.union(asked)
             if more.take(1):
-                linked = components(_joined(more, linked))
+                linked = _components(_joined(more, linked))
         if not across.where("cut").take(1):
             break
         most *= MORE

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +10,7 @@ import pytest
 
 from siltbed.llm import similar as X
 from siltbed.llm import simhash
+from tests.conftest import ROOT
 
 
 def brute_sets(text):
@@ -249,3 +252,55 @@ def test_dealt_prefixes_meet_where_roots_differ(monkeypatch):
                 runs.setdefault(k, []).append((v, size))
         assert {tuple(x for x, _ in v) for v in runs.values()} == want
         assert all(size == len(v) for v in runs.values() for _, size in v)
+
+
+def test_roots_equal_brute_force():
+    rng = np.random.default_rng(14)
+    for nodes, edges in ((1, 0), (5, 3), (60, 50), (200, 190), (300, 299)):
+        name = rng.permutation(np.unique(rng.integers(-(2**62), 2**62, nodes)))
+        a, b = (rng.permutation(len(name))[: len(name) - 1], np.arange(len(name) - 1)) if edges == 299 else (rng.integers(0, len(name), edges), rng.integers(0, len(name), edges))
+        want = list(range(len(name)))
+        for _ in range(len(name)):
+            before = list(want)
+            for x, y in zip(a.tolist(), b.tolist()):
+                want[x] = want[y] = min(want[x], want[y], key=lambda i: name[i])
+            if want == before:
+                break
+        node, root = X.roots(name[a], name[b])
+        assert dict(zip(node.tolist(), root.tolist())) == {int(name[i]): int(name[want[i]]) for i in {*a.tolist(), *b.tolist()}}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_few_edges_are_joined_on_the_driver(spark, monkeypatch, most):
+    """A chain of near copies whose ends are far apart, and a family; each step of components() writes tables of its own."""
+    words = [f"c{k}" for k in range(400)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 120])) for k in range(30)] + family([f"f{k}" for k in range(150)], random.Random(3), 20, 3, 40)
+    steps, components = [], X.components
+    monkeypatch.setattr(X, "LOCAL_EDGES", most, raising=False)
+    monkeypatch.setattr(X, "components", lambda edges: steps.append(1) or components(edges))
+    got = X.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert bool(steps) == (most == 0)
+
+
+def test_workers_give_back_what_a_task_took():
+    """Free memory below what is still in use goes back to the system too, before a task and after it."""
+    code = """
+import ctypes, re
+import pyarrow as pa
+from siltbed.llm import similar as X
+
+def held():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d e f"])], ["doc_id", "text"])
+list(X._sketches(iter([batch])))
+parts = [bytes(60_000) for _ in range(2000)]
+pin = bytes(60_000)
+del parts
+before = held()
+list(X._sketches(iter([batch])))
+print(before - held())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60, check=True, cwd=ROOT)
+    assert int(out.stdout) > 80
