@@ -1,10 +1,13 @@
 """From alignments to molecule matrices: filters, identities, gene evidence, one merge per molecule, datasets, cells.
 
-One shuffle on (cell, gene, umi) merges all evidence; counts need one more on (cell, gene).
+Reads meet the masks of their shapes (position and CIGAR), made once each; one shuffle on (cell, gene, umi) merges all
+evidence; counts need one more on (cell, gene).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from siltbed.operators.transcripts import mask_bits, resolve_umis
 def identified(alignments: DataFrame, tags: DataFrame | None = None, cell_tag: str = "CB", umi_tag: str = "UB") -> DataFrame:
     """alignments with cell and umi: from the read's name, else from a tag table by read id, else from its aux tags; reads
     without both are left out."""
-    named = parse_read_name(F.col("qname"))
+    named = F.when(F.contains("qname", F.lit("|")), parse_read_name(F.col("qname")))  # most names are plain; taking one apart is slow
     out = alignments.withColumns({"_n": named, "_id": F.substring_index("qname", "|", 1)})
     cell, umi = F.col("_n.cell"), F.col("_n.umi")
     if tags is not None:
@@ -48,21 +51,40 @@ def exon_catalogue(transcripts: DataFrame) -> DataFrame:
     return g.join(strands, "gene").select("gene", "chr", "strands", units.alias("units"), F.col("_b")[0].alias("start"), F.element_at("_b", -1).alias("end"))
 
 
-def gene_evidence(reads: DataFrame, catalogue: DataFrame, width: int = 10_000, require_strand: bool = False) -> DataFrame:
-    """(cell, gene, umi, bits): evidence of all reads of a molecule on a gene, merged by union.
+def shape_masks(shapes: DataFrame, catalogue: DataFrame, key: Sequence[str], width: int = 10_000) -> DataFrame:
+    """(key, gene, strands, b): the bits that each shape sets on each gene; shapes: key, chr and blocks, a row for each.
 
-    reads: cell, umi, chr, strand, blocks.
+    Blocks meet units and the gaps between them as rows of a binned join, so a block is held only against what is near it, not
+    against all units of its gene. Bits are those of transcripts.mask_bits.
     """
-    r = reads.withColumns({"start": F.col("blocks")[0]["start"], "end": F.element_at("blocks", -1)["end"]})
-    pairs = overlap_join(r.select("cell", "umi", "chr", "strand", "blocks", "start", "end"), catalogue, width)
+    u = catalogue.select("gene", "chr", "strands", "units", F.posexplode("units").alias("i", "u")).withColumn("after", F.get("units", F.col("i") + 1)["start"])
+    unit = F.struct(F.col("u.start").alias("start"), F.col("u.end").alias("end"), (2 * F.col("i")).alias("bit"))
+    gap = F.struct(F.col("u.end").alias("start"), F.col("after").alias("end"), (2 * F.col("i") + 1).alias("bit"))
+    u = u.select("gene", "chr", "strands", F.explode(F.array(unit, gap)).alias("x")).select("gene", "chr", "strands", "x.*").where(F.col("start") < F.col("end"))
+    own = [F.col(c).alias(f"_k{n}") for n, c in enumerate(key)]
+    b = shapes.select(*own, "chr", F.explode("blocks").alias("x")).select(*(f"_k{n}" for n in range(len(key))), "chr", "x.start", "x.end")
+    hits = overlap_join(b, u, width).groupBy(*(f"_k{n}" for n in range(len(key))), "gene_r", "strands_r").agg(F.array_sort(F.collect_set("bit_r")).alias("b"))
+    return hits.select(*(F.col(f"_k{n}").alias(c) for n, c in enumerate(key)), F.col("gene_r").alias("gene"), F.col("strands_r").alias("strands"), "b")
+
+
+def _merged(reads: DataFrame, masks: DataFrame, key: Sequence[str], require_strand: bool) -> DataFrame:
+    """(cell, gene, umi, bits) of reads (cell, umi, strand, key) and the masks of their shapes."""
+    pairs = reads.select("cell", "umi", "strand", *key).join(masks, list(key))
     if require_strand:
-        pairs = pairs.where(F.col("strand").isin(".", "?") | F.array_contains("strands_r", F.col("strand")))
-    seen = pairs.select("cell", F.col("gene_r").alias("gene"), "umi", mask_bits(F.col("blocks"), F.col("units_r")).alias("b")).where(F.size("b") > 0)
-    # equal masks of a molecule meet before the merge; there are far fewer masks than reads
-    merged = seen.distinct().groupBy("cell", "gene", "umi").agg(F.flatten(F.collect_set("b")).alias("b"))
+        pairs = pairs.where(F.col("strand").isin(".", "?") | F.array_contains("strands", F.col("strand")))
+    merged = pairs.groupBy("cell", "gene", "umi").agg(F.flatten(F.collect_set("b")).alias("b"))
     return merged.select("cell", "gene", "umi", F.array_sort(F.array_distinct("b")).alias("bits"))
 
 
+def gene_evidence(reads: DataFrame, catalogue: DataFrame, width: int = 10_000, require_strand: bool = False) -> DataFrame:
+    """(cell, gene, umi, bits): evidence of all reads of a molecule on a gene, merged by union.
+
+    reads: cell, umi, chr, strand, blocks. Reads of equal blocks have equal masks, which are made once for them all.
+    """
+    key = ("chr", "blocks")
+    return _merged(reads, shape_masks(reads.select(*key).distinct(), catalogue, key, width), key, require_strand)
+
+
 def datasets(evidence: DataFrame) -> DataFrame:
     """(dataset, cell, feature, value): every molecule counts in exprs, and in intronic_exprs if any gap bit is set, else in
     exonic_exprs."""
@@ -92,8 +114,11 @@ def quantify(alignments: DataFrame, transcripts: DataFrame, min_mapq: int = 0, t
     """evidence, counts (by dataset) and cells of alignments (qname, flag, rname, pos, mapq, cigar, tags)."""
     flag = F.col("flag")
     strand: Column = F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+")
-    kept = identified(alignments.where(passes(flag, F.col("mapq"), min_mapq)), tags)
-    reads = with_blocks(kept, "pos", "cigar").select("cell", "umi", F.col("rname").alias("chr"), strand.alias("strand"), "blocks").where(F.size("blocks") > 0)
-    evidence = gene_evidence(reads, exon_catalogue(transcripts), require_strand=require_strand)
+    passed = alignments.where(passes(flag, F.col("mapq"), min_mapq)).withColumnRenamed("rname", "chr")
+    reads = identified(passed, tags).select("cell", "umi", "chr", strand.alias("strand"), "pos", "cigar")
+    # a position and a CIGAR make the blocks, so that is all that reads are compared by
+    key = ("chr", "pos", "cigar")
+    shapes = with_blocks(passed.select(*key).distinct(), "pos", "cigar")
+    evidence = _merged(reads, shape_masks(shapes, exon_catalogue(transcripts), key), key, require_strand)
     counts = datasets(evidence)
     return {"evidence": evidence, "counts": counts, "cells": called_cells(counts, min_umis)}
