@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltbed.operators import quantification as U
+from siltbed.operators import reads as A
+from siltbed.operators import transcripts as T
 from siltbed.plans.analysis import Settings, analyse
 
 KIND = "array<struct<start:long,end:long>>"
@@ -34,6 +37,20 @@ def test_units_and_datasets(spark, tiny):
     assert [r.cell for r in strict] == ["c1"]
 
 
+def test_masks_are_made_once_for_equal_shapes(spark, tiny):
+    al, tx = tiny
+    many = al.crossJoin(spark.range(50)).drop("id")
+    catalogue = U.exon_catalogue(tx)
+    reads = A.with_blocks(many.where("flag = 0"), "pos", "cigar").select("rname", "blocks").withColumnRenamed("rname", "chr")
+    shapes = reads.distinct()
+    masks = U.shape_masks(shapes, catalogue, ("chr", "blocks"), 64)
+    want = shapes.join(catalogue, "chr").select("blocks", "gene", T.mask_bits(F.col("blocks"), F.col("units")).alias("b")).where(F.size("b") > 0)
+    plain = lambda df: sorted(repr((r.blocks, r.gene, r.b)) for r in df.collect())
+    assert plain(masks) == plain(want) and masks.count() < reads.count() / 10
+    evidence = U.quantify(many, tx)["evidence"]
+    assert sorted(map(repr, evidence.collect())) == sorted(map(repr, U.quantify(al, tx)["evidence"].collect()))
+
+
 def test_identities(spark, tiny):
     al, _ = tiny
     tags = spark.createDataFrame([("r9", "c7", "u7")], "read_id string, cell string, umi string")
