@@ -68,18 +68,23 @@ def map_tags_at_locus(reads: DataFrame, features: DataFrame, k: int = 8, min_hit
         return F.when(F.length(text) >= k, F.filter(every, lambda w: w["word"].rlike("^[ACGT]+$")))
 
     r = reads.select("id", "locus", F.upper("seq").alias("seq"))
-    placed = r.select("id", "locus", "seq", F.explode(words(F.col("seq"))).alias("q")).select("id", "locus", "seq", F.col("q.pos").alias("rp"), F.col("q.word").alias("word"))
+    # equal reads of a locus are judged once; words are far more than the reads that the planner knows of, so nothing of theirs is
+    # broadcast on its estimate
+    own = r.select("locus", "seq").distinct().select("locus", "seq", F.explode(words(F.col("seq"))).alias("q"))
+    own = own.select("locus", "seq", F.col("q.pos").alias("rp"), F.col("q.word").alias("word"))
     tags = features.select("locus", "feature", F.upper("fseq").alias("fseq")).distinct()
     tags = tags.select("locus", "feature", "fseq", F.explode(words(F.col("fseq"))).alias("q")).select("locus", "feature", "fseq", F.col("q.pos").alias("fp"), F.col("q.word").alias("word"))
-    hits = placed.join(tags, ["locus", "word"]).withColumn("offset", F.col("rp") - F.col("fp"))
-    whole = (F.col("rp") % k == 0) & (F.col("offset") >= 0) & F.col("fseq").rlike("^[ACGT]+$") & (F.substring("seq", F.col("offset") + 1, F.length("fseq")) == F.col("fseq"))
-    votes = hits.groupBy("id", "locus", "feature", "offset").agg(F.count("*").alias("n"), F.max(whole).alias("whole"))
-    one = votes.groupBy("id", "locus").agg(F.max("n").alias("hits"), F.collect_set(F.when(F.col("whole"), F.col("feature"))).alias("sure"))
-    top = votes.join(one, ["id", "locus"]).where(F.col("n") == F.col("hits")).groupBy("id", "locus").agg(F.first("hits").alias("hits"), F.first("sure").alias("sure"), F.array_sort(F.collect_list("feature")).alias("best"))
+    hits = own.hint("merge").join(tags, ["locus", "word"]).withColumn("offset", F.col("rp") - F.col("fp"))
+    votes = hits.groupBy("locus", "seq", "feature", "fseq", "offset").agg(F.count("*").alias("n"), F.max(F.col("rp") % k == 0).alias("at"))
+    whole = F.col("at") & (F.col("offset") >= 0) & F.col("fseq").rlike("^[ACGT]+$") & (F.substring("seq", F.col("offset") + 1, F.length("fseq")) == F.col("fseq"))
+    # rows of one name and offset, where a name has several sequences, vote together
+    votes = votes.groupBy("locus", "seq", "feature", "offset").agg(F.sum("n").alias("n"), F.max(whole).alias("whole"))
+    votes = votes.withColumn("hits", F.max("n").over(Window.partitionBy("locus", "seq")))
+    top = votes.where("whole or n = hits").groupBy("locus", "seq").agg(F.max("hits").alias("hits"), F.collect_set(F.when(F.col("whole"), F.col("feature"))).alias("sure"), F.array_sort(F.collect_list(F.when(F.col("n") == F.col("hits"), F.col("feature")))).alias("best"))
     sure, enough = F.size("sure") == 1, F.col("hits") >= min_hits
     status = F.when(sure | (enough & (F.size("best") == 1)), "Hit").when(enough, "Tie").otherwise("NoHit")
-    judged = top.select("id", "locus", status.alias("status"), F.when(sure, F.col("sure")).when(enough, F.col("best")).alias("features"), F.when(sure, 1).when(enough, F.col("hits")).cast("long").alias("hits"))
-    return r.select("id", "locus").join(judged, ["id", "locus"], "left").select("id", "locus", F.coalesce("status", F.lit("NoHit")).alias("status"), "features", "hits")
+    judged = top.select("locus", "seq", status.alias("status"), F.when(sure, F.col("sure")).when(enough, F.col("best")).alias("features"), F.when(sure, 1).when(enough, F.col("hits")).cast("long").alias("hits"))
+    return r.join(judged, ["locus", "seq"], "left").select("id", "locus", F.coalesce("status", F.lit("NoHit")).alias("status"), "features", "hits")
 
 
 def combinatorial_barcodes(reads: DataFrame, blocks: Sequence[tuple[int, DataFrame]], max_mismatches: int = 1) -> DataFrame:

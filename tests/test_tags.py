@@ -43,6 +43,17 @@ def test_tags_are_judged_inside_their_locus(spark):
     assert (one.status, one.features) == ("Hit", ["near"])
 
 
+def test_words_are_never_broadcast_and_equal_reads_are_judged_once(spark, tmp_path):
+    spark.createDataFrame([(k, 1, "ACGTTGCATCGTAGGT" * 4) for k in range(400)], "id int, locus int, seq string").write.parquet(str(tmp_path / "r"))
+    reads = spark.read.parquet(str(tmp_path / "r"))
+    out = T.map_tags_at_locus(reads, reads.where("id < 3").selectExpr("id as feature", "locus", "substr(seq, 1, 16) as fseq"), min_hits=1)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    words = [x for x in plan.split("\n") if "Join" in x and "word" in x]
+    assert words and all("SortMergeJoin" in x for x in words)
+    got = out.collect()
+    assert {(r.status, tuple(sorted(set(r.features)))) for r in got} == {("Tie", (0, 1, 2))} and len(got) == 400
+
+
 def test_combinatorial_barcodes(spark):
     w1 = spark.createDataFrame([("AAAA", 0), ("CCCC", 1)], "barcode string, idx int")
     w2 = spark.createDataFrame([("GGTT", 0), ("TTGG", 1), ("ACAC", 2)], "barcode string, idx int")
