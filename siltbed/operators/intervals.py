@@ -7,10 +7,14 @@ A range predicate alone plans as a nested loop. Both sides get the bins of fixed
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.operators.grouped import across, dealt, earlier, with_edges
+from siltbed.scratch import stored
+
 #: Fixed value: width of a SNP bin.
 SNP_BIN = 10_000
 
@@ -56,13 +60,37 @@ def points_in(points: DataFrame, spans: DataFrame, width: int = SNP_BIN) -> Data
     return p.join(s, on).drop("_bin", "_bin_s", "_chr")
 
 
-def islands(spans: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
-    """Unions of intervals with the number of sources; touching intervals merge."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
+def _stretches(spans: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with _part and _no, a table of by, _part, _no, start, end, n, _key): islands of each range of rows, and with _key those
+    of the group: a stretch that an earlier one reaches has that one's key."""
+    rows = dealt(spans, [*by, "start", "end"], "spans")
+    w = Window.partitionBy(*by, "_part").orderBy("_row")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
+    rows = rows.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    rows = rows.withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_row")
+    own = stored(rows.groupBy(*by, "_part", "_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")), "stretches")
+    reached = across(own.groupBy(*by, "_part").agg(F.max("end").alias("_e")), by, _reach=F.max("_e").over(earlier(by)))
+    own = with_edges(own, reached, by).withColumn("_on", F.coalesce(F.col("start") <= F.col("_reach"), F.lit(False))).drop("_reach")
+    begun = own.groupBy(*by, "_part").agg(F.max(F.when(~F.col("_on"), F.struct("_part", "_no"))).alias("_last"))
+    carried = across(begun, by, _carry=F.last("_last", ignorenulls=True).over(earlier(by)))
+    own = with_edges(own, carried, by)
+    return rows, own.withColumn("_key", F.when(F.col("_on"), F.col("_carry")).otherwise(F.struct("_part", "_no"))).drop("_on", "_carry")
+
+
+def islands(spans: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
+    """Unions of intervals with the number of sources; touching intervals merge. Ranges of starts are merged first, in tasks of bounded
+    size, then what reaches from one into the next."""
+    _, own = _stretches(spans.select(*by, "start", "end"), by)
+    return own.groupBy(*by, "_key").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_key")
+
+
+def with_islands(spans: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
+    """spans with island: a struct that intervals of one union share, unlike others of their group."""
+    rows, own = _stretches(spans, by)
+    key = [*by, "_part", "_no"]
+    keys = own.select(*[F.col(c).alias(f"_{c}_k") for c in key], F.col("_key").alias("island"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}_k")) for c in key])
+    return rows.join(keys, on).select(*spans.columns, "island")
 
 
 def coverage(spans: DataFrame, width: int) -> DataFrame:

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.operators.intervals import neighbours
+from siltbed.operators.intervals import neighbours, with_islands
 from siltbed.operators.matrix import pearson
+from siltbed.scratch import stored
 
 #: Upper borders of distance bins in bases, with their names.
 DISTANCES = ((10_000, "<10kb"), (25_000, "10-25kb"), (50_000, "25-50kb"), (100_000, "50-100kb"), (250_000, "100-250kb"), (1_000_000, "250kb-1Mb"), (None, ">=1Mb"))
@@ -18,28 +19,50 @@ DISTANCES = ((10_000, "<10kb"), (25_000, "10-25kb"), (50_000, "25-50kb"), (100_0
 CONTROLS = ("wt", "wildtype", "wild-type", "control", "ctrl", "untreated", "vehicle", "mock")
 
 
+def _kept_of_label(g: pd.DataFrame, shared: float, length: float) -> list[int]:
+    """The rows of one (chr, strand, label) that stay. A feature is held against kept ones that have a block in one of its bins."""
+    spans = [[(b["start"], b["end"]) for b in bs] for bs in g["blocks"]]
+    ids = g["id"].tolist()
+    size = [sum(e - s for s, e in x) for x in spans]
+    order = sorted(range(len(g)), key=lambda i: (size[i], spans[i][0][0] if spans[i] else 1 << 62, ids[i]))
+    width = max(1, int(np.median([e - s for x in spans for s, e in x] or [1])))
+    kept: list[int] = []
+    near: dict[int, list[int]] = {}
+    for i in order:
+        def same(k: int, i: int = i) -> bool:
+            short, long = sorted((size[i], size[k]))
+            if not (short > 0 and short >= length * long):
+                return False
+            return sum(max(0, min(e, f) - max(s, t)) for s, e in spans[i] for t, f in spans[k]) >= shared * short
+
+        bins = {b for s, e in spans[i] if s < e for b in range(s // width, (e - 1) // width + 1)}
+        if not any(same(k) for k in {k for b in bins for k in near.get(b, ())}):
+            kept.append(i)
+            for b in bins:
+                near.setdefault(b, []).append(i)
+    return kept
+
+
 def collapse_same_label(features: DataFrame, shared: float = 0.8, length: float = 0.5) -> DataFrame:
     """The features that stay: of one (chr, strand, label), from the shortest on, one goes if a kept one covers shared of the
-    shorter and the shorter has at least length of the longer. features: id, chr, strand, label, blocks."""
+    shorter and the shorter has at least length of the longer. features: id, chr, strand, label, blocks.
+
+    Features without a common base don't bear on each other, so islands of overlapping ones are judged apart, many in a task; a
+    feature that is alone in its island stays.
+    """
+    by = ["chr", "strand", "label"]
+    slim = features.select("id", *by, "blocks", F.array_min(F.transform("blocks", lambda b: b["start"])).alias("start"), F.array_max(F.transform("blocks", lambda b: b["end"])).alias("end"))
+    placed = with_islands(slim, by).drop("start", "end").withColumn("_n", F.count("*").over(Window.partitionBy(*by, "island")))
+    placed = stored(placed.withColumn("island", F.to_json("island")), "islands")
+    buckets = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // 20_000))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        spans = [[(b["start"], b["end"]) for b in bs] for bs in g["blocks"]]
-        size = [sum(e - s for s, e in x) for x in spans]
-        order = sorted(range(len(g)), key=lambda i: (size[i], spans[i][0][0] if spans[i] else 1 << 62, g["id"].iloc[i]))
-        kept: list[int] = []
-        for i in order:
-            def same(k: int, i: int = i) -> bool:
-                both = sum(max(0, min(e, f) - max(s, t)) for s, e in spans[i] for t, f in spans[k])
-                short, long = sorted((size[i], size[k]))
-                return short > 0 and both >= shared * short and short >= length * long
-
-            if not any(same(k) for k in kept):
-                kept.append(i)
-        return pd.DataFrame({"id": [g["id"].iloc[i] for i in kept]})
+        out = [p["id"].iloc[i] for _, p in g.groupby([*by, "island"], dropna=False, sort=False) for i in _kept_of_label(p, shared, length)]
+        return pd.DataFrame({"id": out})
 
     kind = dict(features.dtypes)["id"]
-    slim = features.select("id", "chr", "strand", "label", "blocks")
-    ids = slim.groupBy("chr", "strand", "label").applyInPandas(run, f"id {kind}")
+    several = placed.where("_n > 1").withColumn("_b", F.pmod(F.xxhash64(*by, "island"), F.lit(buckets)))
+    ids = several.groupBy("_b").applyInPandas(run, f"id {kind}").unionByName(placed.where("_n = 1").select("id"))
     return features.join(ids, "id", "left_semi")
 
 

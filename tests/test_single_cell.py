@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,31 @@ def test_loci_and_hits(spark):
     assert sorted((r.strand, r.read_start, r.read_end) for r in L.collapse_hits(hits).collect()) == [("+", 0, 20), ("+", 21, 30), ("-", 0, 5)]
 
 
+def test_same_label_islands_equal_all_pairs(spark):
+    rng = random.Random(6)
+    made = []
+    for k in range(160):
+        at, n = rng.randrange(600), rng.randint(1, 30)
+        blocks = [(at, at + n)] + ([(at + n + 5, at + n + 5 + rng.randint(1, 9))] if k % 3 == 0 else [])
+        made.append((k, "c", rng.choice("+-"), rng.choice("ab"), blocks if k % 40 else []))
+    want = []
+    for group in {r[1:4] for r in made}:
+        kept = []
+        size = lambda r: sum(e - s for s, e in r[4])
+        for r in sorted((r for r in made if r[1:4] == group), key=lambda r: (size(r), r[4][0][0] if r[4] else 1 << 62, r[0])):
+            both = lambda o, r=r: sum(max(0, min(e, f) - max(s, t)) for s, e in r[4] for t, f in o[4])
+            if not any(0 < min(size(r), size(o)) and both(o) >= 0.8 * min(size(r), size(o)) and min(size(r), size(o)) >= 0.5 * max(size(r), size(o)) for o in kept):
+                kept.append(r)
+        want += [r[0] for r in kept]
+    f = spark.createDataFrame(made, "id int, chr string, strand string, label string, blocks array<struct<start:int,end:int>>")
+    out = L.collapse_same_label(f)
+    assert sorted(r.id for r in out.collect()) == sorted(want) and len(want) < 160
+    # a group whose features lie apart is no Python group: alone in its island, each stays
+    apart = spark.range(3000).select("id", F.lit("c").alias("chr"), F.lit("+").alias("strand"), F.lit("a").alias("label"), F.array(F.struct((F.col("id") * 9).alias("start"), (F.col("id") * 9 + 4).alias("end"))).alias("blocks"))
+    assert L.collapse_same_label(apart).count() == 3000
+
+
+
 def test_lights_and_models(spark):
     counts = spark.createDataFrame([(c, f, 1.0) for c, f in ((1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "c"), (4, "b"))], "cell long, feature string, value double")
     cells = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "y")], "cell long, grp string")
