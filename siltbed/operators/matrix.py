@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.operators.ranking import average_rank, bh_fdr
+from siltbed.operators.ranking import bh_fdr, ranked_values
 
 #: The Chebyshev coefficients of the complementary error function in its classical textbook form.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -24,9 +24,10 @@ def erfc(x: Column) -> Column:
 
 def mann_whitney(df: DataFrame, by: Sequence[str], inside: str, value: str) -> DataFrame:
     """Per group: sizes, U, z and the two-sided p by the normal approximation, without tie or continuity correction."""
-    ranked = df.withColumn("_k", average_rank(value, by))
-    k1 = F.sum(F.when(F.col(inside), F.col("_k")))
-    u = ranked.groupBy(*by).agg(F.count_if(F.col(inside)).alias("n1"), F.count_if(~F.col(inside)).alias("n2"), k1.alias("_s"))
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"), F.count_if(F.col(inside)).alias("_i"), F.count_if(~F.col(inside)).alias("_o"))
+    ranked = ranked_values(counts, value, by, "_k")
+    k1 = F.sum(F.when(F.col("_i") > 0, F.col("_k") * F.col("_i")))
+    u = ranked.groupBy(*by).agg(F.sum("_i").alias("n1"), F.sum("_o").alias("n2"), k1.alias("_s"))
     u = u.withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2)
     n1, n2 = F.col("n1"), F.col("n2")
     z = F.try_divide(F.col("u") - n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))

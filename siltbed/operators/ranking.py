@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.operators.grouped import across, dealt, earlier, later, with_edges
 from siltbed.scratch import stored
 
 
@@ -93,21 +95,54 @@ def bh_over_all(tests: DataFrame, p: str, tie: str, blocks: int = 256) -> DataFr
 
 
 def bh_fdr(tests: DataFrame, p: str, by: Sequence[str], tie: str | None = None) -> DataFrame:
-    """tests with q: Benjamini-Hochberg within each group; the number of tests is the group's own."""
-    order = [F.col(p)] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(*by).orderBy(*order)
-    back = Window.partitionBy(*by).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tests.withColumns({"_rank": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy(*by))})
-    raw = F.col(p) * F.col("_m") / F.col("_rank")
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(raw).over(back))).drop("_rank", "_m")
+    """tests with q: Benjamini-Hochberg within each group; the number of tests is the group's own.
+
+    Rows are dealt out by ranges of (group, p, tie), so a large group is no single task's; places and the smallest p m / rank of
+    later rows are carried over the few groups that have several ranges.
+    """
+    by = list(by)
+    rows = dealt(tests, [*by, p, *([tie] if tie else [])], "tests")
+    within = Window.partitionBy(*by, "_part")
+    sizes = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    places = across(sizes, by, _before=F.coalesce(F.sum("_n").over(earlier(by)), F.lit(0)), _m=F.sum("_n").over(Window.partitionBy(*by)))
+    rank = F.col("_row") - F.min("_row").over(within) + 1
+    raw = F.col(p) * F.coalesce("_m", F.count("*").over(within)) / (rank + F.coalesce("_before", F.lit(0)))
+    ranked = stored(with_edges(rows, places, by).withColumn("_raw", raw).drop("_before", "_m"), "ranked")
+    least = ranked.groupBy(*by, "_part").agg(F.min("_raw").alias("_least"))
+    after = across(least, by, _after=F.min("_least").over(later(by)))
+    own = F.min("_raw").over(within.orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0))
+    out = with_edges(ranked.withColumn("_own", own), after, by)
+    return out.withColumn("q", F.least(F.lit(1.0), "_own", "_after")).select(*tests.columns, "q")
 
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
-    """The mean rank of equal values, from 1."""
+    """The mean rank of equal values, from 1, for groups that a task can sort; see with_average_rank."""
     ordered = Window.partitionBy(*by).orderBy(value)
     return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def ranked_values(counts: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """counts (by, value, _n and more: a row for each value of a group) with the mean rank of the value's rows, from 1."""
+    by = list(by)
+    rows = dealt(counts, [*by, value], "values")
+    sizes = rows.groupBy(*by, "_part").agg(F.sum("_n").alias("_s"))
+    places = across(sizes, by, _before=F.sum("_s").over(earlier(by)))
+    w = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_edges(rows.withColumn("_own", F.sum("_n").over(w)), places, by)
+    rank = F.coalesce("_before", F.lit(0)) + F.coalesce("_own", F.lit(0)) + 1 + (F.col("_n") - 1) / 2
+    return rows.withColumn(name, rank).drop("_part", "_row", "_own", "_before")
+
+
+def with_average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """df with the mean rank of equal values, from 1, within each group. Only distinct values are ordered, and those in ranges, so a
+    group of any size passes; rows then look their value up."""
+    key = [*by, value]
+    ranks = ranked_values(df.groupBy(*key).agg(F.count("*").alias("_n")), value, by, "_rank")
+    ranks = ranks.select(*[F.col(c).alias(f"_{c}_v") for c in key], F.col("_rank").alias(name))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}_v")) for c in key])
+    return df.join(ranks, on).drop(*[f"_{c}_v" for c in key])
+
+
 def equal_frequency_bins(df: DataFrame, value: str, tie: str, bins: int, name: str = "bin") -> DataFrame:
     """df with (position from 0) * bins / n, rounded down: unlike ntile where n is no multiple of bins."""
     n = df.agg(F.count("*").alias("_n"))

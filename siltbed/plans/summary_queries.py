@@ -170,8 +170,8 @@ def bh_over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS avg_rank FROM lineitem")
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
-    return line.select("l_orderkey", "l_linenumber", R.average_rank("l_quantity", ["l_returnflag"]).alias("avg_rank"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return R.with_average_rank(line, "l_quantity", ["l_returnflag"], "avg_rank").select("l_orderkey", "l_linenumber", "avg_rank")
 
 
 @query("""WITH x AS (SELECT p_brand AS feature, l_returnflag = 'R' AS inside, l_extendedprice AS v FROM lineitem JOIN part ON l_partkey = p_partkey),

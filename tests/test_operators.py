@@ -14,6 +14,7 @@ from siltbed.functions import statistics as S
 from siltbed.operators import callers as C
 from siltbed.operators import embedding as E
 from siltbed.operators import fuzzy as Z
+from siltbed.operators import grouped as N
 from siltbed.operators import hmm as H
 from siltbed.operators import intervals as I
 from siltbed.operators import matrix as X
@@ -316,6 +317,22 @@ def test_positions_with_hot_values(spark):
     assert R.positions(df.limit(0), "v", "k").collect() == []
 
 
+@pytest.fixture
+def small_ranges(monkeypatch):
+    """So few rows for a task that groups of a dozen rows have several ranges."""
+    monkeypatch.setattr(N, "RANGE_ROWS", 7)
+
+
+def test_average_ranks_over_ranges(spark, small_ranges):
+    rng = random.Random(4)
+    data = [(k, rng.choice(["x", "x", "y", None]), rng.choice([None, float("nan"), *map(float, range(30))])) for k in range(200)]
+    df = spark.createDataFrame(data, "k long, g string, v double")
+    got, want = R.with_average_rank(df, "v", ["g"], "r"), df.withColumn("r", R.average_rank("v", ["g"]))
+    assert rows(got, "k", "r") == rows(want, "k", "r")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan.lower()  # no window sorts the rows of a group
+
+
 def test_partner_sets_ids_and_groups(spark):
     links = spark.createDataFrame([("p1", "p2", 900), ("p3", "p1", 800), ("p1", "p4", 100)], "a string, b string, score long")
     near = J.seed_neighbours(links, spark.createDataFrame([("p1",), ("p9",)], "id string"), 700)
