@@ -333,6 +333,23 @@ def test_average_ranks_over_ranges(spark, small_ranges):
     assert "rank(" not in plan.lower()  # no window sorts the rows of a group
 
 
+def test_fdr_over_ranges(spark, small_ranges):
+    rng = random.Random(5)
+    data = [(k, rng.choice(["x", "x", "y", None]), rng.choice([None, 0.5, rng.random() ** 2])) for k in range(150)]
+    df = spark.createDataFrame(data, "k long, g string, p double")
+    want = []
+    for g in ("x", "y", None):
+        of = sorted((r for r in data if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        least = None
+        for n, (k, _, p) in list(enumerate(of, 1))[::-1]:
+            raw = None if p is None else p * len(of) / n
+            least = raw if least is None else least if raw is None else min(least, raw)
+            want.append((k, 1.0 if least is None else min(1.0, least)))
+    assert rows(R.bh_fdr(df, "p", ["g"], "k"), "k", "q") == [(k, pytest.approx(q)) for k, q in sorted(want)]
+    parts = N.dealt(df, ["g", "p", "k"], "tests").groupBy("_part").count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) < 75  # half of the largest group
+
+
 def test_partner_sets_ids_and_groups(spark):
     links = spark.createDataFrame([("p1", "p2", 900), ("p3", "p1", 800), ("p1", "p4", 100)], "a string, b string, score long")
     near = J.seed_neighbours(links, spark.createDataFrame([("p1",), ("p9",)], "id string"), 700)
