@@ -323,6 +323,23 @@ def small_ranges(monkeypatch):
     monkeypatch.setattr(N, "RANGE_ROWS", 7)
 
 
+def test_islands_over_ranges(spark, small_ranges):
+    rng = random.Random(3)
+    spans_in = [(rng.choice(["a", "b", None]), s, s + rng.choice([1, 2, 3, 3, 40])) for s in (rng.randrange(400) for _ in range(150))] + [("c", 0, 500)] + [("c", k * 9, k * 9 + 2) for k in range(40)]
+    want = []
+    for c in ("a", "b", "c", None):
+        at = None
+        for s, e in sorted(x[1:] for x in spans_in if x[0] == c):
+            if at and s <= at[2]:
+                at[2], at[3] = max(at[2], e), at[3] + 1
+            else:
+                want.append(at := [c, s, e, 1])
+    df = spark.createDataFrame(spans_in, "chr string, start long, end long")
+    assert sorted(map(repr, map(tuple, I.islands(df).collect()))) == sorted(map(repr, map(tuple, want)))
+    ids = I.with_islands(df).groupBy("chr", "island").agg(F.min("start"), F.max("end"), F.count("*")).drop("island").collect()
+    assert sorted(map(repr, map(tuple, ids))) == sorted(map(repr, map(tuple, want)))
+
+
 def test_average_ranks_over_ranges(spark, small_ranges):
     rng = random.Random(4)
     data = [(k, rng.choice(["x", "x", "y", None]), rng.choice([None, float("nan"), *map(float, range(30))])) for k in range(200)]
