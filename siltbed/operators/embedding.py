@@ -60,45 +60,82 @@ def pca(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, np.nda
     return df.select(key, vector).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, pcs array<double>"), values[::-1][:k]
 
 
-def knn(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int, block: int = 20_000) -> DataFrame:
-    """(key, neighbour, distance, rank): exact Euclidean k nearest rows of table, not the row itself; ties by key.
+def _nearest(names: np.ndarray, q: np.ndarray, k: int, digits: int | None, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, distance): the k nearest of all batches (ids, vectors) for each row of q, not the row itself; ties by id.
 
-    queries is a stated set that is read in blocks; every task holds one block and scans its rows of table once, keeping k
-    candidates for each query, so what is shuffled is k rows for each query and partition.
+    A matrix product bounds the squared distances; only pairs that may be among the k best are measured exactly. digits: the
+    distance counts as rounded, in the order too.
+    """
+    step = 10.0**-digits if digits is not None else 0.0
+    norm, limit = (q * q).sum(axis=1), np.full(len(q), np.inf)
+    at, ids, far = np.empty(0, int), names[:0], np.empty(0)
+    for batch_ids, batch in batches:
+        for lo in range(0, len(batch), 2048):
+            x, xi = batch[lo : lo + 2048], batch_ids[lo : lo + 2048]
+            xn, found = (x * x).sum(axis=1), [(at, ids, far)]
+            for c in range(0, len(q), 512):
+                two = norm[c : c + 512, None] + xn[None]
+                d2 = two - 2 * (q[c : c + 512] @ x.T)
+                most = limit[c : c + 512]
+                if len(x) > k + 1 and np.isinf(most).any():  # itself is one of k + 1
+                    most = np.minimum(most, np.sqrt(np.maximum(np.partition(d2, k, axis=1)[:, k] + 1e-11 * two.max(axis=1), 0)))
+                i, j = np.nonzero(d2 <= ((most + step) ** 2)[:, None] + 1e-11 * two)
+                for m in range(0, len(i), 1 << 16):
+                    a, b = i[m : m + (1 << 16)] + c, j[m : m + (1 << 16)]
+                    d = np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1))
+                    if digits is not None:
+                        d = np.floor(d * 10.0**digits + 0.5) / 10.0**digits
+                    good = (d <= limit[a]) & (xi[b] != names[a])
+                    found.append(_best(a[good], xi[b[good]], d[good], k))
+            at, ids, far = _best(*(np.concatenate(p) for p in zip(*found)), k)
+            full = np.flatnonzero(np.bincount(at, minlength=len(q)) >= k)
+            limit[full] = far[np.searchsorted(at, full, "right") - 1]
+    return at, ids, far
+
+
+def _best(at: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each at by (far, ids), in order."""
+    order = np.lexsort((ids, far, at))
+    at, ids, far = at[order], ids[order], far[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+    return at[first], ids[first], far[first]
+
+
+def knn(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int, block: int = 20_000, digits: int | None = None) -> DataFrame:
+    """(key, neighbour, distance, rank): exact Euclidean k nearest rows of table, not the row itself; ties by key. digits: distances
+    are rounded before they are compared.
+
+    queries are read in blocks, one after the other; every task holds one block and scans its rows of table once, keeping k
+    candidates for each query, so what is shuffled is k rows for each query and partition. A block's result is a table, and the
+    driver lets go of the block before it reads the next one.
     """
     spark = table.sparkSession
     n = queries.count()
     kind = dict(table.dtypes)[key]
     blocks = max(1, -(-n // block))
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
+    rows = table.select(key, vector)
+    if n > 2000:  # few bytes make much work: as many tasks as there are cores
+        rows = stored(rows.repartition(spark.sparkContext.defaultParallelism), "vectors")
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        rows = part.select(key, vector).collect()
-        shared = spark.sparkContext.broadcast(([r[key] for r in rows], np.array([r[vector] for r in rows], float).reshape(len(rows), -1)))
+        mine = part.select(key, vector).toPandas()
+        shared = spark.sparkContext.broadcast((mine[key].to_numpy(), np.array(mine[vector].tolist(), float).reshape(len(mine), -1)))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, q = shared.value
-            best: list[list] = [[] for _ in names]
-            for batch in batches:
-                for at in range(0, len(batch), 2048):
-                    piece = batch.iloc[at : at + 2048]
-                    x, ids = np.stack(piece[vector].to_numpy()).astype(float), piece[key].tolist()
-                    for lo in range(0, len(names), 256):
-                        d = np.sqrt(((q[lo : lo + 256, None, :] - x[None]) ** 2).sum(axis=2))
-                        for i, row in enumerate(d):
-                            limit = best[lo + i][-1][0] if len(best[lo + i]) == k else np.inf
-                            hits = [(float(row[j]), ids[j]) for j in np.flatnonzero(row <= limit) if ids[j] != names[lo + i]]
-                            if hits:
-                                best[lo + i] = heapq.nsmallest(k, [*best[lo + i], *hits])
-            found = [(a, i, d) for a, hits in zip(names, best) for d, i in hits]
-            yield pd.DataFrame(found, columns=[key, "neighbour", "distance"])
-
-        one = table.select(key, vector).mapInPandas(scan, f"{key} {kind}, neighbour {kind}, distance double")
-        out = one if out is None else out.unionByName(one)
-    from pyspark.sql import Window
+            each = ((g[key].to_numpy(), np.stack(g[vector].to_numpy()).astype(float)) for g in batches if len(g))
+            at, ids, far = _nearest(names, q, k, digits, each) if len(names) else (np.empty(0, int), names, np.empty(0))
+            yield pd.DataFrame({key: names[at], "neighbour": ids, "distance": far})
 
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+        one = rows.mapInPandas(scan, f"{key} {kind}, neighbour {kind}, distance double").withColumn("rank", rank).where(F.col("rank") <= k)
+        one = stored(one, "near")
+        shared.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def scaled_graph(neighbours: DataFrame, key: str) -> DataFrame:

@@ -195,6 +195,20 @@ def test_knn_equals_brute_force(spark):
         assert rows(E.knn(df, df, "id", "v", 6, block), "id", "rank", "neighbour") == sorted(want)
 
 
+def test_knn_rounds_before_it_ranks(spark):
+    x = {1: [0.0, 0.0], 5: [0.0, 1.000001], 2: [1.000004, 0.0], 3: [0.0, 1.5], 4: [3.0, 0.0]}
+    df = spark.createDataFrame(list(x.items()), "id long, v array<double>")
+    exact, near = (rows(E.knn(df, df.where("id = 1"), "id", "v", 1).union(E.knn(df.where("id = 1"), df, "id", "v", 3, digits=d)).where("id = 1"), "rank", "neighbour", "distance") for d in (None, 5))
+    assert [r[1] for r in exact] == [5, 2, 3] and near == [(1, 2, 1.0), (2, 5, 1.0), (3, 3, 1.5)]
+
+
+def test_knn_embed_asks_for_every_vector(spark):
+    from siltbed.plans import catalog
+
+    found = catalog.queries()["knn_embed"](spark, "/root/testdata/sf0.001")
+    assert found.select("vec_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
 def test_pca_and_tree(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(80, 4)) * [5, 2, 1, 0.1]
