@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions.sequences import pack_low_first
 from siltbed.functions.statistics import fnv1a
 from siltbed.operators.relations import passing, snv_only
+from siltbed.scratch import stored
 
 ORDER = ("file", "block", "seq")
 
@@ -213,10 +217,48 @@ def read_bedpe(spark: SparkSession, path: str, experiment: str) -> DataFrame:
 # --- sequences ------------------------------------------------------------------------------------------------------
 
 
+def _fours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of runs of lines (file, line, value), four lines each; what a run doesn't hold whole comes as rows with gaps."""
+    names = ["id", "seq", "plus", "qual"]
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        b = rest if b is None else b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if b is None or not len(b):
+            return
+        last = b is rest
+        n, f = b["line"].to_numpy(), b["file"].to_numpy()
+        run = np.ones(len(b), bool)
+        run[1:] = (n[1:] != n[:-1] + 1) | (f[1:] != f[:-1]) | (n[1:] % 4 == 0)
+        begins = np.flatnonzero(run)
+        sizes = np.diff(np.append(begins, len(b)))
+        # the last record may go on in the next batch
+        keep = len(begins) if last or sizes[-1] == 4 else len(begins) - 1
+        rest = None if keep == len(begins) else b.iloc[begins[-1] :].reset_index(drop=True)
+        begins, sizes, v = begins[:keep], sizes[:keep], b["value"].to_numpy()
+        whole, odd = begins[sizes == 4], [(i, s) for i, s in zip(begins, sizes) if s < 4]
+        if len(whole):
+            yield pd.DataFrame({"file": f[whole], "ordinal": n[whole] // 4, **{c: v[whole + k] for k, c in enumerate(names)}, "whole": True})
+        if odd:
+            cells = [{names[n[j] % 4]: v[j] for j in range(i, i + s)} for i, s in odd]
+            yield pd.DataFrame({"file": [f[i] for i, _ in odd], "ordinal": [n[i] // 4 for i, _ in odd], **{c: [x.get(c) for x in cells] for c in names}, "whole": False})
+        if last:
+            return
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, id, seq, qual) in file order, gz or plain; a record without @ and + raises."""
-    rows = numbered(lines(spark, path), "line")
-    four = rows.groupBy("file", F.floor(F.col("line") / 4).alias("ordinal")).agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(n) for k, n in enumerate(("id", "seq", "plus", "qual"))])
+    """(ordinal, id, seq, qual) in file order, gz or plain; a record without @ and + raises.
+
+    Lines are put together as they are read, so that a file that can't be split is no sort in one task; only records over the
+    borders of blocks meet in a shuffle.
+    """
+    rows = stored(lines(spark, path), "lines")  # numbers of lines hold for one reading only
+    first = rows.groupBy("file", "block").agg(F.min("seq").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.select("file", "block", (before - F.col("_first")).alias("_shift"))
+    rows = rows.join(F.broadcast(first), ["file", "block"]).select("file", (F.col("seq") + F.col("_shift")).alias("line"), "value")
+    found = rows.mapInPandas(_fours, "file string, ordinal long, id string, seq string, plus string, qual string, whole boolean")
+    cut = found.where("not whole").groupBy("file", "ordinal").agg(*[F.max(c).alias(c) for c in ("id", "seq", "plus", "qual")])
+    four = found.where("whole").drop("whole").unionByName(cut)
     ok = F.startswith("id", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
     checked = F.when(F.coalesce(ok, F.lit(False)), F.substring("id", 2, 1 << 30)).otherwise(F.raise_error(F.concat(F.lit("broken record "), F.col("ordinal").cast("string"))).cast("string"))
     return four.where("id is not null and id <> ''").select("ordinal", checked.alias("id"), "seq", "qual")
