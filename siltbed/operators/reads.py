@@ -41,7 +41,10 @@ def ops(cigar: Column, pos: Column) -> Column:
 
     empty = F.array().cast("array<struct<op:string,len:bigint,ref_start:bigint,read_start:bigint>>")
     start = F.struct(empty.alias("out"), pos.cast("long").alias("ref"), F.lit(0).cast("long").alias("read"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    # most alignments are one stretch; that needs no step for each operation
+    number = F.substring_index(cigar, "M", 1).cast("long")
+    one = F.array(F.struct(F.lit("M").alias("op"), number.alias("len"), pos.cast("long").alias("ref_start"), F.lit(0).cast("long").alias("read_start")))
+    return F.when(cigar.rlike("^[0-9]{1,18}M$"), one).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
 
 
 def with_blocks(df: DataFrame, pos: str, cigar: str) -> DataFrame:

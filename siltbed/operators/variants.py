@@ -15,6 +15,8 @@ from siltbed.operators.summaries import genotype
 
 #: Quality that every flank base needs at least, and how far a SNP's may lie below the flanks' median.
 FLANK_QUALITY, BELOW_MEDIAN = 10, 10
+#: Fixed value: width of the bins in which aligned stretches of reads meet SNPs.
+READ_BIN = 128
 
 
 def _place(found: Column, at: Column) -> Column:
@@ -30,14 +32,19 @@ def observe_snps(reads: DataFrame, snps: DataFrame, min_quality: int = 20, flank
     aligned without a break and have a quality of max(min_quality, 10), and the SNP's is at most 10 below their median.
     """
     r = reads.withColumn("_ops", ops(F.col("cigar"), F.col("pos"))).withColumnRenamed("pos", "_start")
-    span = F.aggregate(F.filter("_ops", lambda x: F.instr(F.lit(CONSUMES_REF), x["op"]) > 0), F.lit(0).cast("long"), lambda s, x: s + x["len"])
-    r = r.withColumns({"start": F.col("_start"), "end": F.col("_start") + span}).drop("cigar", "_start")
-    j = points_in(snps, r)
-    at = F.transform(F.sequence(F.col("pos") - flank, F.col("pos") + flank), lambda p: _place(F.col("_ops"), p))
-    j = j.withColumns({"_at": at, "_own": _place(F.col("_ops"), F.col("pos"))}).where("_own is not null")
+    # a SNP that a read shows lies in one of its aligned stretches; in bins of about their length, not of SNP_BIN, a read is held
+    # against the SNPs around it only
+    aligned = F.filter("_ops", lambda x: x["op"].isin("M", "=", "X") & (x["len"] > 0))
+    r = r.withColumn("_block", F.explode(aligned)).withColumns({"start": F.col("_block.ref_start"), "end": F.col("_block.ref_start") + F.col("_block.len")})
+    r = r.withColumn("_read_start", F.col("_block.read_start")).drop("cigar", "_start", "_block", *([] if flank else ["_ops"]))
+    j = points_in(snps, r, READ_BIN)
+    own = F.col("_read_start") + F.col("pos") - F.col("start")
+    j = j.withColumn("_own", own)
     quality = lambda p: F.ascii(F.substring("qual", p.cast("int") + 1, F.lit(1))) - 33
     j = j.withColumns({"base": F.upper(F.substring("seq", F.col("_own").cast("int") + 1, F.lit(1))), "quality": quality(F.col("_own"))}).where((F.col("quality") >= min_quality) & (F.length("qual") == F.length("seq")))
     if flank:
+        at = F.transform(F.sequence(F.col("pos") - flank, F.col("pos") + flank), lambda p: _place(F.col("_ops"), p))
+        j = j.withColumn("_at", at)
         whole = F.forall("_at", lambda p: p.isNotNull())
         straight = F.get("_at", F.lit(2 * flank)) - F.get("_at", F.lit(0)) == 2 * flank
         j = j.where(whole & straight).withColumn("_q", F.transform("_at", quality))

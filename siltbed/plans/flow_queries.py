@@ -56,7 +56,8 @@ s AS (SELECT DISTINCT o_custkey * 25 + 3 AS pos, CASE WHEN o_custkey % 2 = 0 THE
 o AS (SELECT i, read, name, s.pos - r.pos AS k, ref, alts, 35 - (s.pos - r.pos + q) % 12 AS quality FROM r JOIN s ON s.pos >= r.pos AND s.pos < r.pos + 40)
 SELECT read, name, substr('ACGT', (k % 4 + 1)::INT, 1) AS base, quality::INT AS quality, CASE WHEN substr('ACGT', (k % 4 + 1)::INT, 1) = ref THEN 'ref' WHEN list_contains(alts, substr('ACGT', (k % 4 + 1)::INT, 1)) THEN 'alt' ELSE 'other' END AS allele FROM o WHERE quality >= 28""")
 def observed_snps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qual = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.char((F.lit(33 + 35) - (k + F.col("l_quantity").cast("int")) % 12).cast("int"))), "")
+    # base k has the quality 35 - (k + quantity) % 12: a cut of one text that repeats
+    qual = F.substring(F.lit("".join(chr(33 + 35 - k % 12) for k in range(52))), F.col("l_quantity").cast("int") % 12 + 1, F.lit(40))
     reads = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read"), F.lit("c").alias("chr"), (F.col("l_partkey") * 10).alias("pos"), F.lit("40M").alias("cigar"), F.repeat(F.lit("ACGT"), F.lit(10)).alias("seq"), qual.alias("qual"))
     k = F.col("o_custkey")
     snps = read(spark, sf_dir, "orders").select(F.lit("c").alias("chr"), (k * 25 + 3).alias("pos"), F.when(k % 2 == 0, "A").otherwise("C").alias("ref"), F.array(F.lit("G"), F.lit("T")).alias("alts"), F.concat(F.lit("s"), k.cast("string")).alias("name")).distinct()

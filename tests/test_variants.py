@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,27 @@ def test_snps_need_quality_and_straight_flanks(spark):
     assert sorted(tuple(r) for r in V.cell_genotypes(counts, cells, 1).collect()) == [("c1", "MUT"), ("c2", "NO_INFO")]
 
 
+def test_snps_in_each_aligned_stretch(spark):
+    kinds = ["40M", "10M5D20M", "8=2X3I20M", "12M900N15M", "5S20M3D4M", "300M"]
+    made = [(f"r{k}", "c", 37 * k % 2500, kinds[k % 6]) for k in range(60)]
+    length = lambda c: sum(int(n) for n, o in re.findall(r"(\d+)([MIS=X])", c))
+    reads = spark.createDataFrame([(n, c, p, g, ("ACGT" * 80)[: length(g)], "I" * length(g)) for n, c, p, g in made], "read string, chr string, pos long, cigar string, seq string, qual string")
+    snps = spark.createDataFrame([("c", p, "A", ["G"], f"s{p}") for p in range(3, 3600, 7)], "chr string, pos long, ref string, alts array<string>, name string")
+    want = set()
+    for n, _, p, g in made:
+        at, ref = 0, p
+        for size, o in re.findall(r"(\d+)([MIDNS=X])", g):
+            size = int(size)
+            if o in "M=X":
+                want |= {(n, f"s{x}", "ACGT"[(at + x - ref) % 4]) for x in range(ref, ref + size) if x % 7 == 3}
+            at, ref = at + size * (o in "MIS=X"), ref + size * (o in "MDN=X")
+    got = [(r["read"], r["name"], r.base) for r in V.observe_snps(reads, snps, 20, 0).collect()]
+    assert set(got) == {w for w in want if int(w[1][1:]) < 3600} and len(got) == len(set(got))
+    # a read is held against SNPs of its own surroundings, not of 10,000 bases
+    plan = V.observe_snps(reads, snps, 20, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 10000" not in plan and f"/ {V.READ_BIN}" in plan
+
+
 def test_refinement_at_introns(spark):
     genome = "AAAACCCCCGGGGTTTTACGT"
     at = lambda a, b: genome[a:b]
