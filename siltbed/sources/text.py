@@ -272,14 +272,43 @@ def read_fastq_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
     return j.withColumn("id", F.when(lone, F.raise_error(F.lit("one file has more reads")).cast("string")).otherwise(F.col("id")))
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, block, rec, head, seq) of lines in order: rec counts heads within the block of a file, and 0 is what comes before the
+    first one. A record's lines are joined."""
+    now, rec, head, parts = None, 0, None, []
+    for b in batches:
+        out: list[tuple] = []
+        for file, block, v in zip(b["file"], b["block"], b["value"]):
+            begins = v.startswith(">")
+            if begins or (file, block) != now:
+                if parts or head is not None:
+                    out.append((*now, rec, head, "".join(parts)))
+                rec, now, head, parts = (rec if (file, block) == now else 0) + begins, (file, block), None, []
+            if begins:
+                head = v[1:]
+            else:
+                parts.append(v.strip(" "))
+        if out:
+            yield pd.DataFrame(out, columns=["file", "block", "rec", "head", "seq"])
+    if parts or head is not None:
+        yield pd.DataFrame([(*now, rec, head, "".join(parts))], columns=["file", "block", "rec", "head", "seq"])
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, id, description, seq) of each record; the lines of a record are joined in order."""
-    rows = lines(spark, path).where("trim(value) <> ''")
-    w = Window.partitionBy("file").orderBy("block", "seq")
-    rec = F.sum(F.when(F.startswith("value", F.lit(">")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    parts = rows.withColumn("ord", rec - 1).groupBy("file", "ord")
-    out = parts.agg(F.max(F.when(F.startswith("value", F.lit(">")), F.substring("value", 2, 1 << 30))).alias("head"), F.array_sort(F.collect_list(F.when(~F.startswith("value", F.lit(">")), F.struct("block", "seq", F.trim("value").alias("s"))))).alias("p"))
-    return out.where("ord >= 0").select("ord", F.substring_index("head", " ", 1).alias("id"), F.when(F.instr("head", " ") > 0, F.expr("substring(head, instr(head, ' ') + 1)")).alias("description"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
+    """(ord, id, description, seq) of each record; the lines of a record are joined in order, as they are read. Only records over the
+    borders of blocks meet in a shuffle."""
+    rows = lines(spark, path).where("trim(value) <> ''").select("file", "block", "value")
+    rows = stored(rows.mapInPandas(_pieces, "file string, block long, rec long, head string, seq string"), "pieces")
+    blocks = rows.groupBy("file", "block").agg(F.max("rec").alias("_last"))
+    w = Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    several = F.count("*").over(Window.partitionBy("file")) > 1
+    blocks = blocks.select("file", "block", "_last", before.alias("_before"), several.alias("_several"))
+    rows = rows.join(F.broadcast(blocks), ["file", "block"]).withColumn("ord", F.col("_before") + F.col("rec") - 1)
+    edge = F.col("_several") & ((F.col("rec") == 0) | (F.col("rec") == F.col("_last")))
+    cut = rows.where(edge).groupBy("file", "ord").agg(F.max("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    out = rows.where(~edge).select("file", "ord", "head", "seq").unionByName(cut)
+    return out.where("ord >= 0").select("ord", F.substring_index("head", " ", 1).alias("id"), F.when(F.instr("head", " ") > 0, F.expr("substring(head, instr(head, ' ') + 1)")).alias("description"), "seq")
 
 
 # --- tables ---------------------------------------------------------------------------------------------------------

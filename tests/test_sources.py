@@ -103,6 +103,29 @@ def test_vcf(spark, tmp_path):
     assert S.read_vcf(spark, str(tmp_path / "a.vcf.gz"), pass_only=False, snv=False).count() == 4
 
 
+def test_records_over_block_borders(spark, tmp_path):
+    fq = "".join(f"@r{k}\n{'ACGT' * (k % 5)}A\n+\n{'@' * (4 * (k % 5) + 1)}\n" for k in range(300))
+    fa = "".join(f">c{k} text {k}\n" + "".join(f"{'ACGT'[j % 4] * 5}\n" for j in range(k % 7)) + "\n" * (k % 2) for k in range(300))
+    (tmp_path / "a.fastq").write_text(fq)
+    (tmp_path / "a.fa").write_text(fa)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "301")
+    try:
+        assert S.lines(spark, str(tmp_path / "a.fa")).select("block").distinct().count() > 5
+        reads = S.read_fastq(spark, str(tmp_path / "a.fastq"))
+        got = sorted((r.ordinal, r.id, len(r.seq), r.qual[0]) for r in reads.collect())
+        fasta = S.read_fasta(spark, str(tmp_path / "a.fa"))
+        found = sorted((r.ord, r.id, r.description, r.seq) for r in fasta.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k, f"r{k}", 4 * (k % 5) + 1, "@") for k in range(300)]
+    assert found == [(k, f"c{k}", f"text {k}", "".join("ACGT"[j % 4] * 5 for j in range(k % 7))) for k in range(300)]
+    # whole records are not sorted: windows are over blocks, none is over lines
+    for df in (reads, fasta):
+        windows = [x.split("specifiedwindowframe")[0] for x in df._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition(")[1:]]
+        assert windows and not any("seq" in x for x in windows)
+
+
 def test_sam_fastq_fasta(spark, tmp_path):
     sam = "@HD\tVN:1\nq1\t0\tchr1\t101\t60\t15M59N15M\t*\t0\t0\tACGT\tIIII\tCB:Z:AAAC-1\tNH:i:1\n"
     r = S.read_sam(spark, put(tmp_path, "a.sam", sam)).first()
