@@ -37,3 +37,20 @@ def test_sequence_id_and_welch(spark):
     rows = [("f", True, 1.0), ("f", True, 3.0), ("f", False, 2.0), ("f", False, 6.0), ("g", True, 1.0), ("h", True, 1.0), ("h", True, 1.0), ("h", False, 1.0), ("h", False, 1.0)]
     got = {r.k: (r.t, r.dof) for r in X.welch_statistics(spark.createDataFrame(rows, "k string, i boolean, v double"), ["k"], "i", "v").collect()}
     assert got["f"] == (pytest.approx(-2 / 5**0.5), pytest.approx(25 / 17)) and got["g"] == got["h"] == (0.0, 0.0)
+
+
+def test_packing_is_compiled(spark):
+    texts = [None, "", "a", "ACGTN", "ttt\nß", "G" * 32, "T" * 40, "ACGTTGCA" * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    low, high = Q.pack_low_first(F.col("s")), Q.pack_high_first(F.col("s"))
+    out = df.select("s", low.alias("low"), high.alias("high"), Q.unpack_low_first(low, F.length("s")).alias("again"))
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    for r in out.collect():
+        if r.s is None:
+            assert r.low is None and r.high is None
+            continue
+        codes = [max(0, "ACGT".find(x.upper())) for x in r.s[:32]]
+        assert r.low == signed(sum(c << 2 * i for i, c in enumerate(codes)))
+        assert r.high == signed(sum(c << 2 * (len(codes) - 1 - i) for i, c in enumerate(codes)))
+        assert r.again == "".join("ACGT"[codes[i % 32]] for i in range(len(r.s)))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
