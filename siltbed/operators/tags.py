@@ -115,5 +115,7 @@ def of_types(reads: DataFrame, wanted: str) -> DataFrame:
 
 def split_features(observations: DataFrame, features: DataFrame) -> DataFrame:
     """(feature_type, cell, feature, value): molecules of each feature type; cells without any stay out."""
-    typed = observations.join(features.select("feature", "feature_type"), "feature")
-    return typed.select("feature_type", "cell", "feature", "umi").distinct().groupBy("feature_type", "cell", "feature").agg(F.count("*").alias("value"))
+    # molecules are told apart and counted as they are, before names of types make every row longer
+    seen = observations.select("cell", "feature", "umi").distinct().groupBy("cell", "feature").agg(F.count("*").alias("value"))
+    typed = seen.join(features.select("feature", "feature_type").distinct(), "feature")
+    return typed.select("feature_type", "cell", "feature", "value")

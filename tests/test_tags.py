@@ -73,6 +73,14 @@ def test_subsets_types_and_features(spark):
     assert sorted(tuple(r) for r in split.collect()) == [("x", "c", "f", 2), ("y", "c", "h", 1)]
 
 
+def test_molecules_are_counted_before_they_get_types(spark):
+    obs = spark.createDataFrame([("c", "f", 1), ("c", "f", 1), ("d", "f", 2), ("c", "g", 1)], "cell string, feature string, umi long")
+    split = T.split_features(obs, spark.createDataFrame([("f", "x"), ("f", "y")], "feature string, feature_type string"))
+    assert sorted(tuple(r) for r in split.collect()) == [("x", "c", "f", 1), ("x", "d", "f", 1), ("y", "c", "f", 1), ("y", "d", "f", 1)]
+    counted = [x for x in split._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x and "umi" in x]
+    assert counted and not any("feature_type" in x for x in counted)  # molecules are told apart without the names of types
+
+
 def big(kind, blocks, packed):
     """A small bigWig or bigBed: header, names, data, index."""
     names = struct.pack("<IIIIQQ", 0x78CA8C91, 1, 4, 8, 1, 0) + struct.pack("<BBH", 1, 0, 1) + b"chr1" + struct.pack("<II", 0, 1000)
