@@ -152,13 +152,12 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     (ties: the smallest), half of the nodes at a time so that two can't swap for ever; ends when no label changes."""
     both = stored(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "graph")
     labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
-    from pyspark.sql import Window
-
+    # only the nodes whose turn it is look around, so only their edges meet the labels
+    halves = [stored(both.where(F.pmod(F.xxhash64(F.lit(7), "a"), F.lit(2)) == p), "half") for p in range(2)]
     for r in range(2 * rounds):
-        turn = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(2)) == r % 2
-        weight = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.round(F.sum("w"), 9).alias("w"))
-        top = weight.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "community"))).where("r = 1").select("node", F.col("community").alias("new"))
-        after = stored(labels.join(top, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")), "labels")
+        weight = halves[r % 2].join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.round(F.sum("w"), 9).alias("w"))
+        top = weight.groupBy("node").agg(F.min(F.struct(F.negative("w").alias("w"), F.col("community").alias("new"))).alias("t")).select("node", "t.new")
+        after = stored(labels.join(top, "node", "left").select("node", F.coalesce("new", "community").alias("community"), F.col("community").alias("old")), "labels")
         changed = after.where("community <> old").count()
         delete_stored(labels)
         labels = after.select("node", "community")

@@ -195,6 +195,21 @@ def test_knn_equals_brute_force(spark):
         assert rows(E.knn(df, df, "id", "v", 6, block), "id", "rank", "neighbour") == sorted(want)
 
 
+def test_nearest_measures_few_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 6)), np.repeat(rng.normal(size=(1, 6)), 60, axis=0), rng.normal(size=(540, 6)).round(1)])
+    ids, measured = np.arange(len(x)), []
+    best = E._best
+    monkeypatch.setattr(E, "_best", lambda at, *rest: measured.append(len(at)) or best(at, *rest))
+    for digits in (None, 2):
+        at, near, far = E._nearest(ids, x, 4, digits, ((ids[k::3], x[k::3]) for k in range(3)))
+        for i in range(0, len(x), 7):
+            d = np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+            d = d if digits is None else np.floor(d * 100 + 0.5) / 100
+            assert near[at == i].tolist() == sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[j], j))[:4]
+    assert sum(measured) < 2 * len(x) ** 2 / 10  # the others are ruled out by the matrix product
+
+
 def test_knn_rounds_before_it_ranks(spark):
     x = {1: [0.0, 0.0], 5: [0.0, 1.000001], 2: [1.000004, 0.0], 3: [0.0, 1.5], 4: [3.0, 0.0]}
     df = spark.createDataFrame(list(x.items()), "id long, v array<double>")
